@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketry.llm import media, packing
+from basketry.llm import decontam, langid, media, packing
 from basketry.llm.common import table
 
 QUERIES: dict = {}
@@ -21,6 +22,23 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def held_out(id_col: str = "doc_id"):
+    """The fold that no model learns from; a null id is in no fold."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = langid.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    return langid.identify(docs, filters).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_files() -> dict:
     """Where the public vocabulary lies; its path is a parameter of the operators."""
     import public_tokenizers
