@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontam, langid, media, packing
+from basketry.llm import decontam, langid, media, ngram_join, packing
 from basketry.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,11 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_groups(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 def held_out(id_col: str = "doc_id"):
     """The fold that no model learns from; a null id is in no fold."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
