@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontam, langid, media, ngram_join, packing, substring
+from basketry.llm import decontam, langid, media, ngram_join, packing, secrets, substring
 from basketry.llm.common import table
 
 QUERIES: dict = {}
@@ -39,6 +39,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, filters).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
