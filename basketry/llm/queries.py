@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontam, langid, media, ngram_join, packing, secrets, substring
+from basketry.llm import decontam, langid, media, ngram_join, packing, quality, secrets, substring
 from basketry.llm.common import table
 
 QUERIES: dict = {}
@@ -49,6 +49,15 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    known = quality.labelled_rows(docs.where(learned), table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, *quality.train(docs, known))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 @query
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
