@@ -1,6 +1,535 @@
-"""All retail queries by name, with the ANSI SQL that must give the same rows."""
+"""All retail queries by name, with the ANSI SQL that must give the same rows.
+
+Each query's docstring names the operators of the blueprint's inventory that it runs.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basketry.functions import canonical_customer, half_even
+from basketry.operators import clean, cluster, evaluate, itemcf, monitor, popularity, rules, serve, snapshot
+from basketry.params import CUTOFFS, DEFAULT
+from basketry.plans import oracles
+from basketry.sources import invoice_lines
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict = oracles.ORACLE_SQL
+
+
+def query(fn):
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+class Data:
+    """The tables a query starts from, at one cut-off. Purchases are kept for reuse within a session; Spark recomputes lost parts."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, role: str = "test"):
+        self.spark, self.cutoff = spark, CUTOFFS[role]
+        self.raw = invoice_lines(spark, sf_dir)
+        self.lines = clean.classified(self.raw)
+        self.bought = clean.purchases(self.lines).persist()
+
+    def at(self, role: str) -> Data:
+        other = object.__new__(Data)
+        other.__dict__.update(self.__dict__, cutoff=CUTOFFS[role])
+        return other
+
+    profiles = property(lambda self: snapshot.rfm_profiles(self.bought, self.cutoff))
+    items = property(lambda self: snapshot.catalog(self.bought, self.cutoff))
+    pairs = property(lambda self: snapshot.interactions(self.bought, self.items, self.cutoff))
+    names = property(lambda self: snapshot.descriptions(self.bought, self.cutoff))
+    assigned = property(lambda self: rules.rule_segments(rules.scores(self.profiles)))
+    world = property(lambda self: popularity.global_scores(self.bought, self.items, self.cutoff))
+    segment = property(lambda self: popularity.segment_scores(self.bought, self.items, self.assigned, self.cutoff))
+    n_items = property(lambda self: self.items.agg(F.count("*").alias("n_items")))
+    points = property(lambda self: cluster.measures(self.profiles))
+
+    def neighbours(self, tfidf: bool = False) -> DataFrame:
+        pairs = self.pairs.persist()
+        idf = itemcf.item_idf(pairs, self.known_count) if tfidf else None
+        return itemcf.neighbours(itemcf.co_buyers(pairs), itemcf.item_counts(pairs), idf=idf)
+
+    known_count = property(lambda self: self.profiles.agg(F.count("*").alias("n")))
+
+    def candidates(self) -> DataFrame:
+        return itemcf.candidate_scores(self.pairs, self.neighbours())
+
+    def owned(self) -> DataFrame:
+        return snapshot.history(self.bought, self.cutoff).select("customer_id", "stock_code").distinct()
+
+    def lists(self, new_only: bool = False, k: int = DEFAULT.k) -> DataFrame:
+        scored = serve.cf_scores_for(self.owned(), self.candidates(), new_only)
+        return serve.fallback_lists(scored, self.assigned.select("customer_id", "segment_id"), self.segment, self.world, self.owned(), k, new_only)
+
+    def popular_lists(self, k: int = DEFAULT.k) -> DataFrame:
+        return serve.global_lists(self.profiles.select("customer_id"), self.world, k)
+
+    def segment_lists(self, k: int = DEFAULT.k) -> DataFrame:
+        nothing = self.candidates_none()
+        return serve.fallback_lists(nothing, self.assigned.select("customer_id", "segment_id"), self.segment, self.world, self.owned(), k)
+
+    def candidates_none(self) -> DataFrame:
+        return self.spark.createDataFrame([], "customer_id string, stock_code string, score double")
+
+    def truth(self, cohort: str) -> DataFrame:
+        return evaluate.truth(self.bought, self.items, self.cutoff, cohort)
+
+
+@query
+def raw_lines_profile(spark, sf_dir):
+    """A4, A6, A12."""
+    return clean.provenance(invoice_lines(spark, sf_dir))
+
+
+@query
+def clean_audit(spark, sf_dir):
+    """C1-C10."""
+    return clean.audit(Data(spark, sf_dir).lines)
+
+
+@query
+def clean_purchases(spark, sf_dir):
+    """C1-C8, C11, S1-S8."""
+    return Data(spark, sf_dir).bought.select("invoice_no", "stock_code", "description", "quantity", "ts", "customer_id", "country", "value")
+
+
+@query
+def customer_id_canonical(spark, sf_dir):
+    """S3, S5."""
+    raw = invoice_lines(spark, sf_dir).select("CustomerID", canonical_customer(F.col("CustomerID")).alias("customer_id"))
+    return raw.groupBy("customer_id").agg(F.count("*").alias("n_rows"))
+
+
+@query
+def excluded_codes(spark, sf_dir):
+    """C9."""
+    return clean.excluded_codes(Data(spark, sf_dir).lines)
+
+
+@query
+def anonymous_value(spark, sf_dir):
+    """C4."""
+    return clean.anonymous_value(Data(spark, sf_dir).lines)
+
+
+@query
+def purchases_provenance(spark, sf_dir):
+    """A12 over kept lines, A11 on the span of time."""
+    bought = Data(spark, sf_dir).bought
+    out = bought.agg(F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return out.withColumn("digest", F.upper(F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), F.date_format("first_ts", "yyyy-MM-dd"), F.date_format("last_ts", "yyyy-MM-dd")), 256)))
+
+
+@query
+def spend_concentration(spark, sf_dir):
+    """G16."""
+    return clean.concentration(Data(spark, sf_dir).bought)
+
+
+@query
+def rfm_profiles(spark, sf_dir):
+    """F1, S9, S10, G1-G3."""
+    return Data(spark, sf_dir).profiles
+
+
+@query
+def rfm_profiles_early(spark, sf_dir):
+    """F1 at the early cut-off."""
+    return Data(spark, sf_dir, "early").profiles
+
+
+@query
+def known_inactive(spark, sf_dir):
+    """J2."""
+    return Data(spark, sf_dir).profiles.where(F.col("status") == snapshot.INACTIVE).select("customer_id", "recency_days")
+
+
+@query
+def rfm_metadata(spark, sf_dir):
+    """F2, G13."""
+    return snapshot.rfm_metadata(Data(spark, sf_dir).profiles)
+
+
+@query
+def catalog_items(spark, sf_dir):
+    """F3, J12."""
+    return Data(spark, sf_dir).items
+
+
+@query
+def catalog_descriptions(spark, sf_dir):
+    """W1, J4."""
+    return Data(spark, sf_dir).names
+
+
+@query
+def interactions(spark, sf_dir):
+    """F4, J1."""
+    return Data(spark, sf_dir).pairs
+
+
+@query
+def customer_histories(spark, sf_dir):
+    """G4."""
+    return Data(spark, sf_dir).owned().groupBy("customer_id").agg(F.array_join(F.array_sort(F.collect_set("stock_code")), ",").alias("codes"))
+
+
+@query
+def rfm_cutpoints(spark, sf_dir):
+    """G6, M5."""
+    return rules.cutpoints(Data(spark, sf_dir).profiles)
+
+
+@query
+def rfm_scores(spark, sf_dir):
+    """S13."""
+    return rules.scores(Data(spark, sf_dir).profiles).select("customer_id", "r_score", "f_score", "m_score")
+
+
+@query
+def rfm_rule_segments(spark, sf_dir):
+    """S14, M5, F5."""
+    return Data(spark, sf_dir).assigned.select("customer_id", "segment_id", "segment_label")
+
+
+@query
+def segment_profiles(spark, sf_dir):
+    """M14, G7, G8."""
+    return rules.segment_profiles(Data(spark, sf_dir).assigned)
+
+
+@query
+def segment_labels(spark, sf_dir):
+    """S15."""
+    return rules.cluster_names(rules.segment_profiles(Data(spark, sf_dir).assigned)).select("segment_id", "label", "hypothesis")
+
+
+@query
+def segment_ordinals(spark, sf_dir):
+    """W7, S21."""
+    return rules.ordinals(rules.segment_profiles(Data(spark, sf_dir).assigned)).select("segment_id", "ordinal")
+
+
+@query
+def global_popularity(spark, sf_dir):
+    """R1, R2, W2."""
+    return popularity.top_ranked(Data(spark, sf_dir).world, 100)
+
+
+@query
+def segment_popularity(spark, sf_dir):
+    """R3, W3, J3."""
+    return popularity.top_ranked(Data(spark, sf_dir).segment, 20, ("segment_id",))
+
+
+@query
+def item_pair_cobuyers(spark, sf_dir):
+    """J5."""
+    return itemcf.co_buyers(Data(spark, sf_dir).pairs).where("n_both >= 2")
+
+
+@query
+def item_cosine_neighbors(spark, sf_dir):
+    """R5, W4."""
+    near = Data(spark, sf_dir).neighbours()
+    return near.select("seed", "neighbour", half_even(F.col("sim"), 10).alias("sim"), "rank")
+
+
+@query
+def item_idf(spark, sf_dir):
+    """R6."""
+    d = Data(spark, sf_dir)
+    return itemcf.item_idf(d.pairs, d.known_count).select("stock_code", "n_buyers", half_even(F.col("idf"), 8).alias("idf"))
+
+
+@query
+def item_tfidf_neighbors(spark, sf_dir):
+    """R6."""
+    near = Data(spark, sf_dir, "early").neighbours(tfidf=True)
+    return near.select("seed", "neighbour", half_even(F.col("sim"), 10).alias("sim"), "rank")
+
+
+@query
+def cf_candidate_scores(spark, sf_dir):
+    """R7, J6."""
+    return Data(spark, sf_dir, "early").candidates().select("customer_id", "stock_code", half_even(F.col("score"), 8).alias("score"))
+
+
+@query
+def cf_supporters(spark, sf_dir):
+    """R8, W6, S17, S19."""
+    d = Data(spark, sf_dir, "early")
+    found = itemcf.supporters(d.pairs, d.neighbours())
+    return found.select("customer_id", "stock_code", F.array_join("supporters", ", ").alias("supporters"))
+
+
+@query
+def cf_topk_repeat(spark, sf_dir):
+    """W5."""
+    return itemcf.top_candidates(Data(spark, sf_dir).candidates(), DEFAULT.k).select("customer_id", "rank", "stock_code", half_even(F.col("score"), 8).alias("score"))
+
+
+@query
+def cf_topk_new_items(spark, sf_dir):
+    """W5, J7."""
+    d = Data(spark, sf_dir)
+    return itemcf.top_candidates(itemcf.without_owned(d.candidates(), d.pairs), DEFAULT.k).select("customer_id", "rank", "stock_code", half_even(F.col("score"), 8).alias("score"))
+
+
+def _rounded(lists: DataFrame) -> DataFrame:
+    return lists.select("customer_id", "rank", "stock_code", half_even(F.col("score"), 8).alias("score"), "method")
+
+
+@query
+def recs_with_fallback(spark, sf_dir):
+    """R9, R10, J13, J14, W10."""
+    return _rounded(Data(spark, sf_dir, "test").lists())
+
+
+@query
+def recs_with_fallback_early(spark, sf_dir):
+    """R9 where most lists fall back."""
+    return _rounded(Data(spark, sf_dir, "early").lists())
+
+
+@query
+def recs_new_items_with_fallback(spark, sf_dir):
+    """R9, J7."""
+    return _rounded(Data(spark, sf_dir, "early").lists(new_only=True))
+
+
+@query
+def recs_segment_popularity(spark, sf_dir):
+    """R4."""
+    return _rounded(Data(spark, sf_dir, "early").segment_lists())
+
+
+@query
+def recs_unknown_customers(spark, sf_dir):
+    """R2, V4: customers that only the future knows."""
+    d = Data(spark, sf_dir, "early")
+    return serve.global_lists(d.truth("cold_start").select("customer_id").distinct(), d.world, DEFAULT.k)
+
+
+@query
+def response_status(spark, sf_dir):
+    """V5."""
+    d = Data(spark, sf_dir, "early")
+    return serve.response_status(d.lists(), d.profiles, d.n_items, DEFAULT.k)
+
+
+@query
+def recs_csv_safe(spark, sf_dir):
+    """A7, S17-S19."""
+    d = Data(spark, sf_dir, "early")
+    return serve.csv_rows(serve.explained(d.lists(), itemcf.supporters(d.pairs, d.neighbours()), d.names))
+
+
+@query
+def customer_profile_lookup(spark, sf_dir):
+    """Every known customer with segment."""
+    return Data(spark, sf_dir).assigned.select("customer_id", "recency_days", "frequency_invoices", "monetary_gbp", "status", "segment_id", "segment_label")
+
+
+def _truth(spark, sf_dir, cohort, role):
+    return Data(spark, sf_dir, role).truth(cohort)
+
+
+@query
+def cohort_counts(spark, sf_dir):
+    """E1, J8, J9, G5."""
+    d = Data(spark, sf_dir, "early")
+    return evaluate.cohort_counts(d.bought, d.items, d.cutoff)
+
+
+@query
+def cohort_primary_truth(spark, sf_dir):
+    """E1."""
+    return _truth(spark, sf_dir, "primary", "test")
+
+
+@query
+def cohort_cold_start_truth(spark, sf_dir):
+    """E1."""
+    return _truth(spark, sf_dir, "cold_start", "early")
+
+
+@query
+def cohort_new_product_truth(spark, sf_dir):
+    """E1."""
+    return _truth(spark, sf_dir, "new_product", "test")
+
+
+@query
+def future_item_coverage(spark, sf_dir):
+    """E1, G5."""
+    d = Data(spark, sf_dir)
+    return evaluate.future_coverage(d.bought, d.items, d.cutoff)
+
+
+@query
+def user_ranking_metrics(spark, sf_dir):
+    """E2, S16, W11."""
+    d = Data(spark, sf_dir)
+    return evaluate.user_metrics(d.lists(), d.truth("primary"))
+
+
+@query
+def model_comparison(spark, sf_dir):
+    """E3, W9, G10."""
+    d = Data(spark, sf_dir)
+    models = {"GlobalPopularity": d.popular_lists(), "SegmentPopularity": d.segment_lists(), "ItemCF": d.lists()}
+    parts = [evaluate.summary(evaluate.user_metrics(x, d.truth("primary")), name) for name, x in models.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query
+def coverage_and_fallback(spark, sf_dir):
+    """G11, G12."""
+    d = Data(spark, sf_dir, "early")
+    return evaluate.list_shares(d.lists(), d.n_items)
+
+
+@query
+def bootstrap_ci_hash(spark, sf_dir):
+    """E4."""
+    d = Data(spark, sf_dir)
+    return evaluate.bootstrap(evaluate.user_metrics(d.lists(), d.truth("primary")), evaluate.user_metrics(d.segment_lists(), d.truth("primary")))
+
+
+@query
+def promotion_gate(spark, sf_dir):
+    """E5."""
+    d = Data(spark, sf_dir)
+    a, b = evaluate.user_metrics(d.lists(), d.truth("primary")), evaluate.user_metrics(d.segment_lists(), d.truth("primary"))
+    return evaluate.promotion(evaluate.summary(b, "SegmentPopularity"), evaluate.summary(a, "ItemCF"), evaluate.bootstrap(a, b))
+
+
+def _six(points: DataFrame) -> DataFrame:
+    return points.select("customer_id", *(half_even(F.col(c), 6).alias(c) for c in "rfm"))
+
+
+@query
+def rfm_log1p_standardized(spark, sf_dir):
+    """M1, S11, S12."""
+    return _six(cluster.standardized(cluster.log1p(Data(spark, sf_dir).points)))
+
+
+# Lambdas and centres of the queries that SQL repeats.
+LAMBDAS = {"r": 0.5, "f": 0.0, "m": 0.25}
+CENTRES = ((0, -1.0, -1.0, -1.0), (1, 0.0, 0.0, 0.0), (2, 1.0, 1.0, 1.0))
+
+
+@query
+def yeo_johnson_fixed_lambda(spark, sf_dir):
+    """M2 with given lambdas."""
+    return _six(cluster.powered(Data(spark, sf_dir).points, LAMBDAS))
+
+
+@query
+def yeo_johnson_lambda_grid(spark, sf_dir):
+    """M2: likelihood over a grid."""
+    grid = spark.createDataFrame([(c, i / 4) for c in "rfm" for i in range(-4, 9)], "measure string, lambda double")
+    found = cluster.power_likelihood(Data(spark, sf_dir).points, grid)
+    return found.select("measure", "lambda", half_even(F.col("loglik"), 3).alias("loglik"))
+
+
+@query
+def quantile_normal_rfm(spark, sf_dir):
+    """M3."""
+    return cluster.quantile_normal(Data(spark, sf_dir).points)
+
+
+@query
+def kmeans_lloyd_step(spark, sf_dir):
+    """M6: one step from given centres."""
+    centres = spark.createDataFrame(CENTRES, "cluster int, r double, f double, m double")
+    return cluster.lloyd_step(cluster.standardized(cluster.log1p(Data(spark, sf_dir).points)), centres)
+
+
+@query
+def kmeans_segments(spark, sf_dir):
+    """M6, M2, F5."""
+    return cluster.kmeans(cluster.transformed(Data(spark, sf_dir).points), 3)
+
+
+@query
+def gmm_segments(spark, sf_dir):
+    """M7."""
+    return cluster.gaussian_mixture(cluster.transformed(Data(spark, sf_dir).points), 3)
+
+
+def _rule_labelled(d: Data) -> DataFrame:
+    z = cluster.standardized(cluster.log1p(d.points))
+    return z.join(d.assigned.select("customer_id", F.col("segment_id").alias("cluster")), "customer_id").select("customer_id", "cluster", *(half_even(F.col(c), 6).alias(c) for c in "rfm"))
+
+
+@query
+def silhouette_rules(spark, sf_dir):
+    """M8."""
+    return cluster.silhouette(_rule_labelled(Data(spark, sf_dir)).persist())
+
+
+@query
+def davies_bouldin_rules(spark, sf_dir):
+    """M9."""
+    return cluster.davies_bouldin(_rule_labelled(Data(spark, sf_dir)))
+
+
+@query
+def adjusted_rand(spark, sf_dir):
+    """Rule segments at the validation and test cut-offs."""
+    d = Data(spark, sf_dir)
+    label = lambda x: x.assigned.where(F.col("status") == snapshot.ACTIVE).select("customer_id", F.col("segment_id").alias("cluster"))
+    return cluster.adjusted_rand(label(d.at("validation")), label(d))
+
+
+@query
+def cluster_selection(spark, sf_dir):
+    """K-Means of several k and seeds, gated and ranked."""
+    points = cluster.transformed(Data(spark, sf_dir).points).persist()
+    rows = []
+    for k in (3, 4):
+        fits = [cluster.kmeans(points, k, seed, 1).persist() for seed in (11, 22)]
+        ari = cluster.adjusted_rand(*fits).first()[0]
+        sil = cluster.silhouette(points.join(fits[0], "customer_id").persist()).first().silhouette
+        sizes = [r["count"] for f in fits for r in f.groupBy("cluster").count().collect()]  # k rows a fit
+        rows.append(("KMeans", k, min(sizes) / max(1, sum(sizes) / len(fits)), float(ari), float(sil or 0)))
+    return cluster.selection(spark.createDataFrame(rows, "family string, k int, min_share double, ari double, silhouette double"))
+
+
+@query
+def snapshot_summary(spark, sf_dir):
+    """D1."""
+    return monitor.snapshot_summary(Data(spark, sf_dir).profiles)
+
+
+@query
+def drift_rfm(spark, sf_dir):
+    """D2."""
+    d = Data(spark, sf_dir)
+    return monitor.median_drift(monitor.snapshot_summary(d.at("early").profiles), monitor.snapshot_summary(d.profiles))
+
+
+@query
+def drift_segments(spark, sf_dir):
+    """D3, J11."""
+    d = Data(spark, sf_dir)
+    return monitor.share_drift(monitor.segment_shares(d.at("early").assigned), monitor.segment_shares(d.assigned))
+
+
+@query
+def drift_catalog(spark, sf_dir):
+    """D4, J10, G14."""
+    d = Data(spark, sf_dir)
+    return monitor.catalog_drift(d.at("early").items, d.items)
+
+
+@query
+def drift_alerts(spark, sf_dir):
+    """D2-D6, S20."""
+    d = Data(spark, sf_dir)
+    return monitor.report(monitor.alerts(drift_rfm(spark, sf_dir), drift_segments(spark, sf_dir), monitor.catalog_drift(d.at("early").items, d.items)))
