@@ -1,7 +1,7 @@
 """Shared pieces: table access, shared scratch tables and the numpy text kernels.
 
-The kernels run inside Spark tasks on one Arrow batch at a time and cut it into
-slabs of a few megabytes, so their memory doesn't follow the data.
+The kernels run inside Spark tasks on slices of an Arrow batch, cut into slabs of half a
+megabyte, so their memory doesn't follow the data.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 U = np.uint64
-SLAB_BYTES = 2_000_000
+SLAB_BYTES = 500_000
+SLICE_ROWS = 1000
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _BYTE = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * U(2) + U(1)
@@ -151,6 +152,13 @@ def shingle_sets(blobs: list[bytes], size: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, U)
 
 
+def slices(batches: Iterator, rows: int = SLICE_ROWS) -> Iterator:
+    """The batches in slices of few rows (no copies), so that few texts at a time become Python objects."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def as_bytes(values, lower: bool = False) -> list[bytes]:
     """UTF-8 of each text of an Arrow column, null as empty; optionally A-Z lowered."""
     out = [(v or "").encode("utf-8", "surrogatepass") for v in values.to_pylist()]

@@ -4,7 +4,8 @@ Levels are window lengths that double up to `window` (50: 25, 50). At the first
 level each document sends only its local minima: the window with the least hash among
 those inside any one window of full length, so every full window holds a sent one and
 equal full windows send equal ones. Windows repeated in another document survive, and
-only windows that contain a survivor are tried at twice the length, until the full
+only windows that contain a survivor are tried at twice the length (where the first
+doubling reaches full length, only those whose least window survived), until the full
 length is reached or no candidate survives. The documents' texts meet their surviving
 places once, and once more, by the same exchange, the words to remove.
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import U, as_bytes, slabs, stored, windows, words_of
+from basketry.llm.common import U, as_bytes, slabs, slices, stored, windows, words_of
 
 WINDOW = 50
 FIRST = 25
@@ -37,21 +38,24 @@ def levels(window: int, first: int = FIRST) -> list[int]:
     return out
 
 
-def local_minima(h: np.ndarray, width: int) -> np.ndarray:
-    """Places of the least value (the last of equals) of each run of `width` values; of all values where fewer."""
+def least_places(h: np.ndarray, width: int) -> np.ndarray:
+    """For each run of `width` values the place of the least (the last of equals); one run where there are fewer."""
     if len(h) == 0:
         return np.zeros(0, np.int64)
     width = min(width, len(h))
     view = np.lib.stride_tricks.sliding_window_view(h, width)
-    least = view[:, ::-1].argmin(axis=1)
-    return np.unique(np.arange(len(view)) + width - 1 - least)
+    return np.arange(len(view)) + width - 1 - view[:, ::-1].argmin(axis=1)
+
+
+def local_minima(h: np.ndarray, width: int) -> np.ndarray:
+    return np.unique(least_places(h, width))
 
 
 def first_level(docs: DataFrame, length: int, window: int) -> DataFrame:
     """(h, doc_id, row, place): the local minima among windows of `length` words."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, rows = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             blobs = as_bytes(batch.column(2))
             for lo, hi in slabs(blobs):
@@ -78,7 +82,7 @@ def first_level(docs: DataFrame, length: int, window: int) -> DataFrame:
 def repeated(found: DataFrame) -> DataFrame:
     """The windows that start in at least two documents, each with the least doc_id that has it."""
     shared = found.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "least")
-    return found.join(shared, "h")
+    return found.join(stored(shared, "shared"), "h")  # stored: only a join of two plain exchanges splits a frequent window
 
 
 def _packed(found: DataFrame) -> DataFrame:
@@ -86,25 +90,29 @@ def _packed(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "row").agg(F.collect_set("place").alias("at"))  # as many as the text has words at most
 
 
-def next_level(docs: DataFrame, survivors: DataFrame, length: int, target: int) -> DataFrame:
-    """Windows of `target` words that contain a surviving window of `length` words."""
+def next_level(docs: DataFrame, survivors: DataFrame, length: int, target: int, minima: bool) -> DataFrame:
+    """Windows of `target` words that contain a surviving window of `length` words; with minima, as their least one."""
     joined = docs.join(_packed(survivors), ["doc_id", "row"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             blobs, places = as_bytes(batch.column(2)), batch.column(3).to_pylist()
             for lo, hi in slabs(blobs):
                 words, _, _, at = words_of(blobs[lo:hi])
-                h = windows(words, target)
+                h, short = windows(words, target), windows(words, length)
                 for k in range(hi - lo):
                     own = h[at[k] : max(at[k], at[k + 1] - target + 1)]
-                    # a window of full length keeps a survivor inside: try every start that covers one
-                    mark = np.zeros(len(own) + 1, dtype=np.int32)
                     p = np.array(places[lo + k], dtype=np.int64)
-                    np.add.at(mark, np.clip(p - (target - length), 0, len(own)), 1)
-                    np.add.at(mark, np.clip(p + 1, 0, len(own)), -1)
-                    start = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+                    if minima:
+                        alive = np.zeros(at[k + 1] - at[k], dtype=bool)
+                        alive[p] = True
+                        start = np.flatnonzero(alive[least_places(short[at[k] : at[k + 1] - length + 1], target - length + 1)])
+                    else:
+                        mark = np.zeros(len(own) + 1, dtype=np.int32)
+                        np.add.at(mark, np.clip(p - (target - length), 0, len(own)), 1)
+                        np.add.at(mark, np.clip(p + 1, 0, len(own)), -1)
+                        start = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
                     if len(start):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(own[start].view(np.int64)), pa.array(np.full(len(start), ids[lo + k])), pa.array(np.full(len(start), rows[lo + k], dtype=np.int32)), pa.array(start.astype(np.int32))],
@@ -116,7 +124,7 @@ def next_level(docs: DataFrame, survivors: DataFrame, length: int, target: int)
 
 def _cut_out(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, row, n_words, n_removed, kept_sha256) of (doc_id, row, text[, at])."""
-    for batch in batches:
+    for batch in slices(batches):
         places = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
         n, gone, digest = [], [], []
         for raw, at in zip(as_bytes(batch.column(2)), places, strict=True):
@@ -144,7 +152,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, first: int = FIRST)
     steps = levels(window, first)
     found = stored(first_level(docs, steps[0], window), "windows")
     for length, target in zip(steps, steps[1:], strict=False):
-        found = stored(next_level(docs, repeated(found), length, target), "windows")
+        found = stored(next_level(docs, repeated(found), length, target, len(steps) == 2), "windows")
     return repeated(found).where("least < doc_id").select("doc_id", "row", "place")
 
 
