@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import GRAM, U, mix, slabs, words_of
+from basketry.llm.common import GRAM, U, mix, slabs, slices, words_of
 
 SPAN = 12
 PER_MISS = 6
@@ -165,7 +165,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, **bounds) -> DataFrame:
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = held.value
-            for batch in batches:
+            for batch in slices(batches):
                 ids = batch.column(0).to_pylist()
                 rows = [(ids[r], index.ids[i], n, len(index.words[i]), f) for r, i, n, f in _texts(batch, 1, index)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 5)], names=["doc_id", "item_id", "n_equal", "item_words", "first_word"])
@@ -182,7 +182,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, **bounds) -> DataFrame:
         column = docs.columns.index("text")
 
         def keep(batches: Iterator[pa.RecordBatch], held=held, column=column) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 bad = {r for r, *_ in _texts(batch, column, held.value)}
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_())) if bad else batch
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import GRAM, U, mix
+from basketry.llm.common import GRAM, U, mix, slices
 
 ORDERS = (2, 3, 4)
 TRAIN_DOCS = 3000
@@ -35,7 +35,7 @@ LEAST_COUNT = 5
 TOP_GRAMS = 20_000
 ROWS = 1 << 19
 PROBES = 3
-SLAB_CHARS = 500_000
+SLAB_CHARS = 200_000
 #: A text whose best language holds less of the popcounts is in no language.
 LEAST_SCORE = 0.3
 UNDECIDED = "und"
@@ -140,7 +140,7 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, rows: int = ROWS) -
     sample = labelled.where(place < F.element_at(share, F.col("lang"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = (c.to_pylist() for c in batch.columns)
             for lang in sorted(set(langs)):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
@@ -169,7 +169,7 @@ def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id
     held = docs.sparkSession.sparkContext.broadcast(filters)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = held.value.judge([t or "" for t in batch.column(len(keep)).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
@@ -186,7 +186,7 @@ def accepted(docs: DataFrame, filters: Filters, least_score: float = LEAST_SCORE
     column = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = held.value.judge([t or "" for t in batch.column(column).to_pylist()])
             yield batch.filter(pa.array([x != UNDECIDED and s >= least_score and (languages is None or x in languages) for x, s in found], pa.bool_()))
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.llm.common import slices
+
 UNIT = 192
 RATE = 8000
 FRAME = 192
@@ -91,7 +93,7 @@ def to_media(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
     """(id, n_bytes, media): the whole text as a WAV."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw = [(v or "").encode() for v in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array([write_wav(pad_payload(b)) for b in raw], pa.binary())],
@@ -106,7 +108,7 @@ def fingerprint(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("d
     """The kept columns, digests of payload and stored form, and codes array<bigint> read from the stored bytes."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cols: list[list] = [[] for _ in range(7)]
             for item in batch.column(len(keep)):
                 m = item.as_py()

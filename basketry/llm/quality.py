@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import U, as_bytes, mix, slabs, words_of
+from basketry.llm.common import U, as_bytes, mix, slabs, slices, words_of
 
 WORDS = 1 << 14
 WIDTH = 32
@@ -53,7 +53,7 @@ def word_vectors(docs: DataFrame, words: int = WORDS, width: int = WIDTH) -> np.
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, total, seen = index_vectors(words, width), np.zeros((words, width)), np.zeros(words)
-        for batch in batches:
+        for batch in slices(batches):
             blobs = as_bytes(batch.column(0))
             for lo, hi in slabs(blobs):
                 h, _, _, at = words_of(blobs[lo:hi])
@@ -164,7 +164,7 @@ def _pool(df: DataFrame, vectors: np.ndarray, width: int) -> DataFrame:
     held = df.sparkSession.sparkContext.broadcast(vectors)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = pooled(as_bytes(batch.column(1)), held.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), features(width)).cast(pa.list_(pa.float64()))], names=["label", "x"])
 
@@ -194,7 +194,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast((vectors, network))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             vectors, network = held.value
             p = network.probability(pooled(as_bytes(batch.column(1)), vectors))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
