@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 SLAB_BYTES = 500_000
@@ -46,6 +47,11 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df marked for broadcast if it has `most` rows at most (counted), else as it is: Spark then exchanges both sides of a join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def buckets(spark: SparkSession, least: int = 8) -> int:
     """How many partitions an explicit exchange uses: the session's shuffle width."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

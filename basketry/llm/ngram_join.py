@@ -4,7 +4,7 @@ Word shingles are hashed into groups and a document is the point of its group co
 Two directory levels replace the tree's root, since boxes over random counts overlap
 everywhere. The first is the size class: linked sets differ in at most
 (1 - t) / t of the smaller one's size, d shingles. The second cuts the groups into d + 1
-blocks: d differing shingles leave one block of counts equal, so a directory entry is
+blocks and a few spare: d differing shingles leave blocks of counts equal, so a directory entry is
 the box of all points with just these counts in one block (a "cell"), and linked points
 share a cell. Leaves hold the coarse count vector; a pair is kept if the sum of
 coordinate minima can reach the overlap its sizes ask for, and the shingle sets of what
@@ -29,13 +29,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import U, as_bytes, buckets, mix, shingle_sets, stored
+from basketry.llm.common import U, as_bytes, buckets, mix, shingle_sets, slices, small, stored
 from basketry.llm.components import components
 
 #: Each size class reaches to this multiple of its lower end.
@@ -45,6 +46,10 @@ GROUP_BITS = 44
 COARSE = 64
 #: Members of a crowded cell that one unit of work compares with as many others.
 UNIT = 1024
+#: Pairs that a task gathers, each once, before it sends them on.
+PACKED_PAIRS = 200_000
+#: Ids of documents, 8 or 16 bytes each, that are broadcast at most; with more of them the texts are exchanged.
+MOST_BROADCAST = 500_000
 #: Points under one box.
 LEAF = 64
 
@@ -53,22 +58,38 @@ def size_class(n: int) -> int:
     return int(math.log(max(n, 1)) / math.log(CLASS_STEP) + 1e-9)
 
 
-def blocks_of_class(c: int, t: Fraction) -> int:
-    """One more than the shingles in which a linked pair can differ whose smaller set is in class c."""
-    top = math.ceil(CLASS_STEP ** (c + 1))
-    return int(Fraction(top) * (1 - t) / t) + 1
+@cache
+def blocks_of_class(c: int, t: Fraction) -> tuple[int, int]:
+    """(blocks, spare) for pairs whose smaller set is in class c.
+
+    d shingles at most differ in a linked pair; d + 1 + spare blocks leave 1 + spare of
+    them equal. spare is what a set may have of empty blocks, with few exceptions.
+    """
+    d = int(Fraction(math.ceil(CLASS_STEP ** (c + 1))) * (1 - t) / t)
+    spare, least = 0, CLASS_STEP**c
+    while spare <= d:
+        empty = (d + 1 + spare) * math.exp(-least / (d + 1 + spare))
+        if spare >= empty + 2 * math.sqrt(empty):
+            break
+        spare += 1
+    return d + 1 + spare, spare
 
 
 def cell_keys(s: np.ndarray, t: Fraction) -> Iterator[np.ndarray]:
-    """The cells of one set of sorted shingle hashes, for its class and those of possible smaller partners."""
+    """The cells of one set of sorted shingle hashes, for its class and those of possible smaller partners.
+
+    Of a set with no more empty blocks than spare ones only the others count: whatever
+    it is linked to has one of them equal too. So no cell gathers all sets with a gap.
+    """
     n = len(s)
     weight = np.concatenate(([U(0)], np.cumsum(mix(s >> U(64 - GROUP_BITS)))))  # adds up to a hash of the counts by group
     for c in range(size_class(max(1, math.ceil(n * t))), size_class(n) + 1):
-        k = blocks_of_class(c, t)
+        k, spare = blocks_of_class(c, t)
         edges = np.searchsorted(s, np.arange(1, k, dtype=np.uint64) * U((2**64 - 1) // k))
         at = np.concatenate(([0], edges, [n]))
         counts = np.diff(at).astype(np.uint64)
-        yield mix(weight[at[1:]] - weight[at[:-1]] + counts * U(0xD6E8FEB86659FD93) + np.arange(k, dtype=np.uint64) * U(0xA0761D6478BD642F) + U(c))
+        keys = mix(weight[at[1:]] - weight[at[:-1]] + counts * U(0xD6E8FEB86659FD93) + np.arange(k, dtype=np.uint64) * U(0xA0761D6478BD642F) + U(c))
+        yield keys[counts > 0] if np.count_nonzero(counts == 0) <= spare else keys
 
 
 def signature(s: np.ndarray) -> int:
@@ -106,7 +127,7 @@ def nodes(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, sig, vec) of each row's shingle set."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, sig, vec = [], [], []
             for s in shingle_sets(as_bytes(batch.column(1), lower=True), size):
                 n.append(len(s))
@@ -131,14 +152,14 @@ def _sorted_entries(keys: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def shared_cells(docs: DataFrame, size: int, t: Fraction) -> DataFrame:
-    """(cell, sig): the nodes of every cell that holds more than one; rows may repeat."""
+    """(cell, sig): the nodes of every cell that holds more than one, each once."""
     n_buckets = 8 * buckets(docs.sparkSession)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sigs = [np.zeros(0, U)], [np.zeros(0, np.int64)]
             seen = set()
-            for s in shingle_sets(as_bytes(batch.column(0), lower=True), size):
+            for s in (s for part in slices([batch]) for s in shingle_sets(as_bytes(part.column(0), lower=True), size)):
                 sig = signature(s)
                 if not len(s) or sig in seen:
                     continue
@@ -203,7 +224,7 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int, t:
     """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of t.
 
     points: (sig, n, vec, doc_id), one row a node. Bounds by count vectors come first;
-    then the texts of the nodes left meet, one exchange of texts.
+    then the texts of the nodes left meet.
     """
     va, vb = (points.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("vec").alias(f"v{x}")) for x in "ab")
 
@@ -220,13 +241,13 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int, t:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     left = stored(pairs.join(va, "a").join(vb, "b").select("a", "b", "na", "va", "nb", "vb").mapInArrow(bound, "a bigint, b bigint"), "bounded")
-    wanted = left.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(points.select("sig", "doc_id"), "sig")
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("sig", "text")
+    wanted = stored(left.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(points.select("sig", "doc_id"), "sig"), "wanted")
+    texts = docs.select("doc_id", "text").join(small(wanted, MOST_BROADCAST), "doc_id").select("sig", "text")
     ta, tb = (texts.select(F.col("sig").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[str | None, np.ndarray] = (None, np.zeros(0, U))
-        for batch in batches:
+        for batch in slices(batches):
             a, b, xs, ys = (c.to_pylist() for c in batch.columns)
             ok = []
             for i, (x, y, s) in enumerate(zip(xs, ys, shingle_sets([(y or "").encode().lower() for y in ys], size), strict=True)):
@@ -246,6 +267,10 @@ def _between_groups(cells: DataFrame, group: DataFrame, points: DataFrame, t: Fr
     spans = known.groupBy("cell").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("cell", "members")
     crowd = F.ceil(F.col("members") / UNIT).cast("int")
     open_ = known.join(spans, "cell").join(points.select("sig", "n", "vec"), "sig")
+    crowd = F.ceil(F.col("members") / UNIT).cast("int")
+    open_ = stored(known.join(spans, "cell"), "open")
+    shared = open_.groupBy("sig").agg(F.collect_list("cell").alias("mine"))  # a node's cells: as many as its set asks for
+    open_ = open_.join(shared, "sig").join(points.select("sig", "n", "vec"), "sig")
     part = F.pmod(F.hash("sig", F.lit(7)), F.col("parts"))
     units = (
         open_.withColumn("parts", crowd)
@@ -273,29 +298,54 @@ def _between_groups(cells: DataFrame, group: DataFrame, points: DataFrame, t: Fr
         a, b = np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
         return np.minimum(a, b), np.maximum(a, b)
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now, done = [], None, set()
+    n_buckets = 4 * buckets(points.sparkSession)
 
-        def told():
-            a, b = pairs(held)
-            new = [p for p in dict.fromkeys(zip(a.tolist(), b.tolist(), strict=True)) if p not in done]
-            if len(done) > 200_000:
-                done.clear()
-            done.update(new)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"])
+    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.concatenate(found), axis=0)
+        bucket = (mix(both[:, 0].view(np.uint64) ^ mix(both[:, 1].view(np.uint64))) % U(n_buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        at, count = _runs(bucket[order])
+        both = both[order]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[order][at]), pa.array([both[k : k + c].tobytes() for k, c in zip(at, count, strict=True)], pa.binary())], names=["bucket", "pairs"])
 
-        for batch in batches:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, found, size = [], None, [], 0
+        for batch in slices(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != now and held:
-                    yield told()
+                    found.append(np.column_stack(pairs(held)))
+                    size += len(found[-1])
                     held = []
+                    if size > PACKED_PAIRS:
+                        yield packed(found)
+                        found, size = [], 0
                 now = row[:3]
                 held.append(row)
         if held:
-            yield told()
+            found.append(np.column_stack(pairs(held)))
+        if found:
+            yield packed(found)
 
-    dealt = units.repartition(buckets(points.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return dealt.mapInArrow(join, "a bigint, b bigint").distinct()
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(held: list[bytes]) -> pa.RecordBatch:
+            both = np.unique(np.frombuffer(b"".join(held), dtype=np.int64).reshape(-1, 2), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        held, now = [], None
+        for batch in batches:  # sorted by bucket
+            for bucket, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now and held:
+                    yield told(held)
+                    held = []
+                now = bucket
+                held.append(raw)
+        if held:
+            yield told(held)
+
+    width = buckets(points.sparkSession)
+    dealt = units.repartition(width, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    met = dealt.mapInArrow(join, "bucket int, pairs binary").repartition(width, "bucket").sortWithinPartitions("bucket")
+    return met.mapInArrow(once, "a bigint, b bigint")
 
 
 def linked_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -307,8 +357,8 @@ def linked_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100)
     t = Fraction(num, den)
     named = stored(nodes(docs, size), "nodes")
     points = stored(named.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec")), "points")
-    cells = stored(shared_cells(docs, size, t).distinct(), "cells")
-    least = cells.groupBy("cell").agg(F.min("sig").alias("a"))
+    cells = stored(shared_cells(docs, size, t), "cells")
+    least = stored(cells.groupBy("cell").agg(F.min("sig").alias("a")), "least")  # stored: a join of two plain exchanges splits a crowded cell
     stars = cells.join(least, "cell").where("sig <> a").select("a", F.col("sig").alias("b")).distinct()
     first = stored(verified(stars, points, docs, size, t), "links")
     group = components(first).withColumnRenamed("node", "sig")
@@ -323,10 +373,14 @@ def linked_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100)
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one row left of each linked group: the row of its least doc_id, all columns kept."""
-    groups = linked_groups(docs, size, num, den)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    # rows repeated under one doc_id: the first by content stays
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*(F.col(c).cast("string") for c in docs.columns if c != "doc_id")))
-    return kept.withColumn("_row", first).where("_row = 1").select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """docs with one row left of each linked group: the row of its least doc_id, all columns kept.
+
+    Of rows repeated under one doc_id the first by content stays; rows without a doc_id stay.
+    """
+    groups = stored(linked_groups(docs, size, num, den).where("doc_id IS NOT NULL"), "groups")
+    per = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("head"))
+    again = small(per.where("rows > 1 AND head").select("doc_id"), MOST_BROADCAST)
+    gone = small(stored(per.where("rows > 1 OR NOT head").select("doc_id"), "gone"), MOST_BROADCAST)
+    order = Window.partitionBy("doc_id").orderBy(*(F.col(c).cast("string") for c in docs.columns if c != "doc_id"))
+    firsts = docs.join(again, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns).unionAll(firsts.select(docs.columns))
