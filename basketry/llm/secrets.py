@@ -5,14 +5,14 @@ Patterns give the base spans. Besides, every long token of an encoding's charact
 uniform use of the alphabet (chi-squared), runs above and below the middle of the
 alphabet, and no correlation of neighbours. Each test is standardised for the token's
 length; their squares add up to one statistic that is small for random data. Its
-p-value is the share of ordinary letters of the same length class (drawn from a bounded
-sample of the corpus) that look as random, and the Benjamini-Hochberg step over all
+p-value is the share of ordinary letters of the same length class (windows over the whole
+of every distinct text) that look as random, and the Benjamini-Hochberg step over all
 tokens of the corpus, by the counts of a fixed grid of length classes and values, sets
 the cut for each length class.
 
-Everything is in the row: positions come from alternating the pieces of a split with its
-matches, so there is no exchange of texts. Only the grid of counts, of fixed size, goes
-to the driver.
+Spans are found in the row: positions come from alternating the pieces of a split with
+its matches. Texts are exchanged once, to take equal ones as one for the reference. Only
+the grid of counts, of fixed size, goes to the driver.
 
 Defined cases: null texts are empty and have no spans; repeated rows give repeated
 results; with no ordinary letters to compare with nothing is added; other columns aren't
@@ -31,6 +31,8 @@ ASSIGN_LEAST = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"[0-9a-f]{16,}+"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}+"
+#: Those of them that may be tested; words of no encoding stay among the ordinary letters.
+TESTED = r"(?=[A-Za-z+/_=-]*[0-9])" + TOKEN
 
 KINDS = ("assign", "access", "hex", "random")
 #: Least token lengths of the length classes.
@@ -39,7 +41,6 @@ LENGTHS = (20, 28, 40, 64)
 STEPS = 4
 TOP = 40
 FALSE_SHARE = 0.05
-REFERENCE_DOCS = 4000
 MASK = "[SECRET]"
 
 _SPAN = "array<struct<start:int,ord:int,end:int>>"
@@ -170,16 +171,79 @@ def tested_tokens(text: Column) -> Column:
     return _graded(_tested(_coded(spans)))
 
 
+def _bits(x: Column) -> Column:
+    return F.coalesce(F.bit_count(x), F.lit(0))
+
+
+def _apart(df: DataFrame) -> DataFrame:
+    """df through a one-row generator: what follows is compiled as a method of its own, as the JVM only interprets very long ones."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def _bit_planes(cut: DataFrame, letter_bits: int = 5) -> DataFrame:
+    """cut with p0, p1, ... for win, n letters of 64 at most: bit k of each letter (a is 1, z is 26, none is 0) as one number, the first letter's highest.
+
+    Eight letters make a number; its bits are transposed in three swaps.
+    """
+    kept = [c for c in cut.columns if c != "win"]
+    full = F.rpad("win", F.lit(64), F.lit(b"\0"))
+    names = [f"e{k}" for k in range(8)]
+    zero = F.lit(0).cast("bigint")
+    eights = cut.select(*kept, *(F.when(F.col("n") > 8 * k, F.coalesce(F.conv(F.hex(F.substring(full, 8 * k + 1, 8)), 16, 10).cast("bigint"), zero)).otherwise(zero).alias(x) for k, x in enumerate(names)))
+    for by, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        eights = eights.select(*kept, *names, *(F.col(x).bitwiseXOR(F.shiftrightunsigned(x, by)).bitwiseAND(F.lit(mask)).alias(f"t{x}") for x in names))
+        eights = eights.select(*kept, *(F.col(x).bitwiseXOR(F.col(f"t{x}")).bitwiseXOR(F.shiftleft(f"t{x}", by)).alias(x) for x in names))
+
+    def plane(b: int) -> Column:
+        out = zero
+        for k, x in enumerate(names):
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(x, 8 * b).bitwiseAND(F.lit(0xFF).cast("bigint")), 56 - 8 * k))
+        return out
+
+    return eights.select(*kept, *(plane(b).alias(f"p{b}") for b in range(letter_bits)))
+
+
 def _ordinary(docs: DataFrame) -> DataFrame:
-    """(cls, step) of ordinary letters at the least length of each class, from about REFERENCE_DOCS documents."""
-    total = docs.count()
-    share = REFERENCE_DOCS / max(total, 1)
-    drawn = docs.where(F.pmod(F.xxhash64(F.lit("reference"), "text"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
-    letters = drawn.select(F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("w")).where(F.length("w") >= LENGTHS[-1])
-    alphabet = "abcdefghijklmnopqrstuvwxyz"
-    cut = F.array(*(F.struct(F.lit(0).alias("start"), F.lit(n).alias("end"), F.split(F.substring("w", 1, n), "").alias("chars")) for n in LENGTHS))
-    coded = F.transform(cut, lambda x: F.struct(*_fields(x, "start", "end"), F.lit(float(len(alphabet))).alias("a"), F.transform(x["chars"], lambda c: F.instr(F.lit(alphabet), c) - 1).alias("v")))
-    return letters.select(F.explode(_graded(_tested(coded))).alias("x")).select("x.cls", "x.step")
+    """(cls, step) of the windows, end to end, of each class's least length over the ordinary letters of every distinct text.
+
+    Ordinary letters are those outside the runs that are tested. The sums that _tested
+    makes by walking arrays come here from bit planes of up to 64 letters, in compiled code.
+    """
+    alphabet, bits = range(1, 27), range(5)
+    rest = F.regexp_replace(F.lower(F.regexp_replace("text", TESTED, " ")), "[^a-z]+", "")
+    letters = docs.where("text IS NOT NULL").select("text").distinct().select(rest.cast("binary").alias("w"))
+    sizes = F.array(*(F.struct(F.lit(cls).alias("cls"), F.lit(n).alias("n")) for cls, n in enumerate(LENGTHS)))
+    each = letters.select("w", F.explode(sizes).alias("x")).select("w", "x.cls", "x.n").where(F.octet_length("w") >= F.col("n"))
+    placed = each.select("w", "cls", "n", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("w") / F.col("n")).cast("int") - 1)).alias("i"))
+    cut = placed.select("cls", "n", F.substring("w", F.col("i") * F.col("n") + 1, F.col("n")).alias("win"))
+    code = lambda at: F.ascii(F.substring("win", at, F.lit(1)).cast("string")) - 96
+    planes = _apart(_bit_planes(_apart(cut.select("cls", "n", code(F.lit(1)).alias("u"), code(F.col("n")).alias("v"), "win"))))
+    p, kept = [F.col(f"p{b}") for b in bits], ["cls", "n", "u", "v"]
+    pairs = F.lit(0).cast("bigint")
+    for cls, n in enumerate(LENGTHS):
+        pairs = F.when(F.col("cls") == cls, F.lit(-(1 << (65 - n))).cast("bigint")).otherwise(pairs)
+    is_bit = lambda b, x: p[b] if x else F.bitwise_not(p[b])
+    after = lambda b: F.shiftleft(f"p{b}", 1)
+    sums = _apart(planes.select(
+        *kept,
+        p[4].bitwiseOR(p[3].bitwiseAND(p[2]).bitwiseAND(p[1])).alias("upper"),  # n to z: 14 and more
+        *(is_bit(4, k & 2).bitwiseAND(is_bit(3, k & 1)).alias(f"h{k}") for k in range(4)),
+        *(is_bit(2, k & 4).bitwiseAND(is_bit(1, k & 2)).bitwiseAND(is_bit(0, k & 1)).alias(f"l{k}") for k in range(8)),
+        sum((_bits(p[a]) * (1 << a) for a in bits), F.lit(0)).alias("first"),
+        sum((_bits(p[a].bitwiseAND(p[b])) * (1 << a + b) for a in bits for b in bits), F.lit(0)).alias("second"),
+        sum((_bits(p[a].bitwiseAND(after(b))) * (1 << a + b) for a in bits for b in bits), F.lit(0)).alias("next"),
+    ))
+    counted = sums.select(*kept, "upper", "first", "second", "next", *(_bits(F.col(f"h{x >> 3}").bitwiseAND(F.col(f"l{x & 7}"))).alias(f"c{x}") for x in alphabet))
+    counted = _apart(counted)
+    n, mean = F.col("n").cast("double"), F.col("first") / F.col("n")
+    ready = counted.select(
+        "cls", n.alias("n"), sum((F.col(f"c{x}") * F.col(f"c{x}") for x in alphabet), F.lit(0)).cast("double").alias("squares"),
+        _bits(F.col("upper")).cast("double").alias("high"), (_bits(F.col("upper").bitwiseXOR(F.shiftleft("upper", 1)).bitwiseAND(pairs)) + 1).cast("double").alias("runs"),
+        (F.col("next") - mean * (2 * F.col("first") - F.col("u") - F.col("v")) + (n - 1) * mean * mean).alias("lag"), (F.col("second") - F.col("first") * mean).alias("var"),
+    )
+    ready = _apart(ready)
+    _, step = _grid({"a": F.lit(float(len(alphabet)))} | {c: F.col(c) for c in ready.columns})
+    return ready.select("cls", step.alias("step"))
 
 
 def cuts(docs: DataFrame, text: Column, false_share: float = FALSE_SHARE) -> list[int]:

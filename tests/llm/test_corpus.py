@@ -219,6 +219,28 @@ def test_randomness_battery_adds_keys_not_words(spark):
     assert secrets.report(df.limit(0)).count() == 0
 
 
+def test_reference_is_every_window_of_every_distinct_text(spark):
+    rng = random.Random(8)
+    data = [prose(rng, "en", n) for n in (700, 60, 9)] + ["ab é " * 5, "Zn9" * 20 + " " + "zz top " * 20, "donau" * 9, "", None, string.ascii_lowercase * 5]
+    df = spark.createDataFrame([(t,) for t in data * 3], "text string")
+    want = Counter()
+    for text in data:
+        w = re.sub("[^a-z]", "", re.sub(secrets.TESTED, " ", text or "").lower())
+        for cls, n in enumerate(secrets.LENGTHS):
+            for i in range(0, len(w) - n + 1, n):
+                v = [ord(c) - 97 for c in w[i : i + n]]
+                m, k = sum(v) / n, sum(x >= 13 for x in v)
+                var = sum((x - m) ** 2 for x in v)
+                chi = (26 / n * sum(c * c for c in Counter(v).values()) - n - 25) / (50 * (n - 1) / n) ** 0.5
+                mixed = 2 * k * (n - k)
+                spread = mixed * (mixed - n) / (n * n * (n - 1))
+                runs = (sum((a >= 13) != (b >= 13) for a, b in zip(v, v[1:])) - mixed / n) / spread**0.5 if spread > 0 else secrets.TOP
+                lag = sum((a - m) * (b - m) for a, b in zip(v, v[1:])) / var * n**0.5 if var else secrets.TOP
+                want[cls, min(int((max(chi, 0) ** 2 + runs**2 + lag**2) * secrets.STEPS), secrets.TOP * secrets.STEPS)] += 1
+    got = Counter((r.cls, r.step) for r in secrets._ordinary(df).collect())
+    assert got.total() == want.total() and ((got - want).total() <= want.total() // 100)  # rounding at the edge of a step
+
+
 # substring
 
 
