@@ -30,9 +30,11 @@ ASSIGN_HINT = r"(?i)passw|secret|token|api_?key"
 ASSIGN_LEAST = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"[0-9a-f]{16,}+"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}+"
-#: Those of them that may be tested; words of no encoding stay among the ordinary letters.
-TESTED = r"(?=[A-Za-z+/_=-]*[0-9])" + TOKEN
+TOKEN = r"[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: Runs in no such encoding: words of lower case, numbers, rules.
+PLAIN = r"(?:[A-Z]?[a-z]+|[0-9]+|[-_+/]+)"
+#: The tokens that are tested; plain runs stay among the ordinary letters.
+TESTED = r"(?=[A-Za-z0-9+/_-]{20})(?!" + PLAIN + r"(?![A-Za-z0-9+/_-]))" + TOKEN
 
 KINDS = ("assign", "access", "hex", "random")
 #: Least token lengths of the length classes.
@@ -165,8 +167,7 @@ def tested_tokens(text: Column) -> Column:
             F.when(text.rlike(TOKEN), F.regexp_extract_all(text, _lit(TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>")),
             lambda s, t: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.regexp_replace(t, "=+$", "").alias("core")),
         ),
-        # words of one case, and numbers, are in no such encoding; neither are strings with = inside
-        lambda x: (F.length(x["core"]) >= LENGTHS[0]) & ~x["core"].rlike("^([A-Z]?[a-z]+|[A-Z]+|[0-9]+)$|=|^[-_+/]+$") & x["core"].rlike("[0-9]"),
+        lambda x: ~x["core"].rlike(f"^{PLAIN}$"),
     )
     return _graded(_tested(_coded(spans)))
 

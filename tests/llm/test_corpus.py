@@ -241,6 +241,22 @@ def test_reference_is_every_window_of_every_distinct_text(spark):
     assert got.total() == want.total() and ((got - want).total() <= want.total() // 100)  # rounding at the edge of a step
 
 
+def test_keys_after_any_name_and_without_digits_are_tested(spark):
+    rng = random.Random(6)
+    base64, letters, base32 = string.ascii_letters + string.digits + "+/", string.ascii_letters, string.ascii_uppercase
+    forms = [("client_id=", base64, ""), ("?sig=", base64, "&x=1"), ("", letters, "=="), ("auth=", base32, ""), ("a_name_of_twenty_letters=", base64, "")]
+    keys = [(f, "".join(rng.choices(f[1], k=44))) for f in forms for _ in range(12)]
+    data = [(i, f"{prose(rng, 'en', 60)} {f[0]}{key}{f[2]} {prose(rng, 'en', 60)}") for i, (f, key) in enumerate(keys)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in secrets.report(df).collect()}
+    hits = Counter()
+    for (i, text), (f, key) in zip(data, keys, strict=True):
+        end = "==" if f[2] == "==" else ""
+        at = text.index(key)
+        hits[f] += f"random:{at}:{at + len(key + end)}" in got[i].split(",")
+    assert all(hits[f] >= 9 for f in forms), hits
+
+
 # substring
 
 
