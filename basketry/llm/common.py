@@ -52,6 +52,14 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spare_name(df: DataFrame, name: str = "spare") -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def buckets(spark: SparkSession, least: int = 8) -> int:
     """How many partitions an explicit exchange uses: the session's shuffle width."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

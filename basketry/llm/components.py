@@ -28,7 +28,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node with an edge to another; component is the least node.
+    """(node, component) of every node with an edge to a lesser node, at once or by others; component is the least one, which has no row.
 
     edges has columns a and b of one type. The rounds grow with the logarithm of the
     longest path, and each is written to the shared folder. Loops and repeated edges

@@ -7,13 +7,18 @@ everywhere. The first is the size class: linked sets differ in at most
 blocks and a few spare: d differing shingles leave blocks of counts equal, so a directory entry is
 the box of all points with just these counts in one block (a "cell"), and linked points
 share a cell. Leaves hold the coarse count vector; a pair is kept if the sum of
-coordinate minima can reach the overlap its sizes ask for, and the shingle sets of what
-survives are compared exactly.
+coordinate minima can reach the overlap its sizes ask for.
 
-Equal sets are one node from the start. In each cell all nodes are compared with the
-least one (a star, never all pairs); only for cells that then still span several linked
-groups are pairs between the groups bounded, in blocks of members, on count vectors
-alone. So no link between different texts is lost.
+Equal sets are one node from the start. Only linked groups are wanted, so no task ever
+sends pairs: inside a cell the bounds join members to a forest (at most members - 1
+rows), the components of all forests are crowds that a link can't leave, and each
+node's shingle set travels once to its crowd, where exact overlaps from the crowd's
+postings give the forest of true links.
+
+A key (cell or crowd) above the limit is dealt to parts, each with the key's least
+member beside its own. What the parts leave apart from the key's largest group is then
+compared with all of the key, block by block; so a large group that hangs together costs
+two passes, and only members that are alike but not linked cost the square.
 
 Mappers keep one entry per cell and batch and send packed arrays, one row for each
 bucket, so a cell shared by many documents reaches a task once per batch.
@@ -21,7 +26,8 @@ bucket, so a cell shared by many documents reaches a task once per batch.
 Defined cases: null texts and texts without words have an empty set and stay alone;
 fewer words than a shingle make one shingle; rows repeated under one doc_id are rows of
 one node each and keep their row; rows without a doc_id link with nothing; other columns
-aren't looked at.
+aren't looked at. Two sets with one 64-bit name are told apart by a second hash and get
+names of their own.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import U, as_bytes, buckets, mix, shingle_sets, slices, small, stored
+from basketry.llm.common import U, as_bytes, buckets, mix, shingle_sets, slices, small, spare_name, stored
 from basketry.llm.components import components
 
 #: Each size class reaches to this multiple of its lower end.
@@ -44,10 +50,13 @@ CLASS_STEP = 1.5
 #: Shingle groups of the fine count vector, and coordinates of the coarse one in the leaves.
 GROUP_BITS = 44
 COARSE = 64
-#: Members of a crowded cell that one unit of work compares with as many others.
+#: Members of a cell that one unit of work compares, and shingles of a crowd's sets.
 UNIT = 1024
-#: Pairs that a task gathers, each once, before it sends them on.
-PACKED_PAIRS = 200_000
+UNIT_SHINGLES = 1 << 18
+#: Shingles whose cells meet in one bucket, about.
+BUCKET_SHINGLES = 1 << 21
+#: Sets whose 64-bit names clash that are told to all tasks at most.
+MOST_CLASHES = 10_000
 #: Ids of documents, 8 or 16 bytes each, that are broadcast at most; with more of them the texts are exchanged.
 MOST_BROADCAST = 500_000
 #: Points under one box.
@@ -92,9 +101,11 @@ def cell_keys(s: np.ndarray, t: Fraction) -> Iterator[np.ndarray]:
         yield keys[counts > 0] if np.count_nonzero(counts == 0) <= spare else keys
 
 
-def signature(s: np.ndarray) -> int:
-    """One 64-bit name for a set of shingle hashes."""
-    return int(mix(np.array([int(np.sum(mix(s))) + len(s) * 0x9E3779B97F4A7C15 & 2**64 - 1], dtype=np.uint64)).view(np.int64)[0])
+def signature(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """A name of `bits` bits for a set of shingle hashes, and a second hash that tells apart sets of one name."""
+    total = np.array([int(np.sum(mix(s))) + len(s) * 0x9E3779B97F4A7C15 & 2**64 - 1, int(np.sum(mix(s ^ U(0xA0761D6478BD642F)))) & 2**64 - 1], dtype=np.uint64)
+    name, check = (int(x) for x in mix(total).view(np.int64))
+    return (name if bits == 64 else name & (1 << bits) - 1), check
 
 
 def coarse_vector(s: np.ndarray) -> bytes:
@@ -123,19 +134,29 @@ def linked(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
     return both > 0 and t.denominator * both >= t.numerator * (len(a) + len(b) - both)
 
 
-def nodes(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, sig, vec) of each row's shingle set."""
+def nodes(docs: DataFrame, size: int, bits: int = 64) -> DataFrame:
+    """(doc_id, n, sig, check, vec) of each row's shingle set."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             n, sig, vec = [], [], []
             for s in shingle_sets(as_bytes(batch.column(1), lower=True), size):
                 n.append(len(s))
-                sig.append(signature(s))
+                sig.append(signature(s, bits))
                 vec.append(coarse_vector(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(vec, pa.binary())], names=["doc_id", "n", "sig", "vec"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array([x for x, _ in sig], pa.int64()), pa.array([x for _, x in sig], pa.int64()), pa.array(vec, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "check", "vec"])
+
+    return docs.select("doc_id", "text").mapInArrow(name, "doc_id bigint, n bigint, sig bigint, check bigint, vec binary")
 
-    return docs.select("doc_id", "text").mapInArrow(name, "doc_id bigint, n bigint, sig bigint, vec binary")
+
+def clashes(named: DataFrame) -> dict[tuple[int, int], int]:
+    """New names, by (sig, check), of the different sets that share a 64-bit name: hardly ever any."""
+    found = named.groupBy("sig").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("sig")
+    rows = named.join(found, "sig").select("sig", "check").distinct().limit(MOST_CLASHES + 1).collect()
+    if len(rows) > MOST_CLASHES:
+        raise ValueError("too many shingle sets share a name")
+    return {(r.sig, r.check): r.check for r in rows}
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,16 +172,17 @@ def _sorted_entries(keys: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.
     return keys[keep], sigs[keep]
 
 
-def shared_cells(docs: DataFrame, size: int, t: Fraction) -> DataFrame:
+def shared_cells(docs: DataFrame, size: int, t: Fraction, names: dict[tuple[int, int], int], shingles: int, bits: int = 64) -> DataFrame:
     """(cell, sig): the nodes of every cell that holds more than one, each once."""
-    n_buckets = 8 * buckets(docs.sparkSession)
+    n_buckets = max(8 * buckets(docs.sparkSession), shingles // BUCKET_SHINGLES)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sigs = [np.zeros(0, U)], [np.zeros(0, np.int64)]
             seen = set()
             for s in (s for part in slices([batch]) for s in shingle_sets(as_bytes(part.column(0), lower=True), size)):
-                sig = signature(s)
+                sig = signature(s, bits)
+                sig = names.get(sig, sig[0])
                 if not len(s) or sig in seen:
                     continue
                 seen.add(sig)
@@ -220,151 +242,215 @@ def shared_cells(docs: DataFrame, size: int, t: Fraction) -> DataFrame:
     return dealt.mapInArrow(meet, "cell bigint, sig bigint")
 
 
-def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of t.
-
-    points: (sig, n, vec, doc_id), one row a node. Bounds by count vectors come first;
-    then the texts of the nodes left meet.
-    """
-    va, vb = (points.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("vec").alias(f"v{x}")) for x in "ab")
+def forest(grp: np.ndarray, pivots: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Links (i, j) that join different groups, one for each two groups that meet; pivots gives (i, places linked with i)."""
+    grp, out, groups = grp.copy(), [], len(np.unique(grp))
+    for i, near in pivots:
+        others, at = np.unique(grp[near], return_index=True)
+        for g, k in zip(others.tolist(), near[at].tolist(), strict=True):
+            if g != grp[i]:
+                out.append((i, k))
+                grp[grp == g] = grp[i]
+                groups -= 1
+        if groups == 1:
+            break
+    return out
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, q = t.numerator, t.denominator
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 4))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, COARSE) for k in (3, 5))
-            least = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            least[(x == 255).any(axis=1) & (y == 255).any(axis=1)] = 1 << 40
-            ok = (q * np.minimum(na, nb) >= p * np.maximum(na, nb)) & ((p + q) * least >= p * (na + nb))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
-
-    left = stored(pairs.join(va, "a").join(vb, "b").select("a", "b", "na", "va", "nb", "vb").mapInArrow(bound, "a bigint, b bigint"), "bounded")
-    wanted = stored(left.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(points.select("sig", "doc_id"), "sig"), "wanted")
-    texts = docs.select("doc_id", "text").join(small(wanted, MOST_BROADCAST), "doc_id").select("sig", "text")
-    ta, tb = (texts.select(F.col("sig").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[str | None, np.ndarray] = (None, np.zeros(0, U))
-        for batch in slices(batches):
-            a, b, xs, ys = (c.to_pylist() for c in batch.columns)
-            ok = []
-            for i, (x, y, s) in enumerate(zip(xs, ys, shingle_sets([(y or "").encode().lower() for y in ys], size), strict=True)):
-                if known[0] != x:
-                    known = (x, next(shingle_sets([(x or "").encode().lower()], size)))
-                # a doc_id may stand on several rows: only the text that bears the node's name counts
-                ok.append(signature(known[1]) == a[i] and signature(s) == b[i] and linked(known[1], s, t))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    met = left.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
-    return met.mapInArrow(compare, "a bigint, b bigint").distinct()
-
-
-def _between_groups(cells: DataFrame, group: DataFrame, points: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs (a, b) of nodes in one cell but different linked groups that sizes and count vectors allow."""
-    known = cells.join(group, "sig", "left").withColumn("grp", F.coalesce("component", "sig")).select("cell", "sig", "grp")
-    spans = known.groupBy("cell").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("cell", "members")
-    crowd = F.ceil(F.col("members") / UNIT).cast("int")
-    open_ = known.join(spans, "cell").join(points.select("sig", "n", "vec"), "sig")
-    crowd = F.ceil(F.col("members") / UNIT).cast("int")
-    open_ = stored(known.join(spans, "cell"), "open")
-    shared = open_.groupBy("sig").agg(F.collect_list("cell").alias("mine"))  # a node's cells: as many as its set asks for
-    open_ = open_.join(shared, "sig").join(points.select("sig", "n", "vec"), "sig")
-    part = F.pmod(F.hash("sig", F.lit(7)), F.col("parts"))
-    units = (
-        open_.withColumn("parts", crowd)
-        .withColumn("part", part)
-        .select("cell", "sig", "grp", "n", "vec", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sig", "grp", "n", "vec")
-    )
-
-    def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        _, i, j, part, sig, grp, n, vec = zip(*rows, strict=True)
-        part, sig, grp, n = (np.array(x, dtype=np.int64) for x in (part, sig, grp, n))
-        v = np.frombuffer(b"".join(vec), dtype=np.uint8).reshape(-1, COARSE)
-        left, right = np.flatnonzero(part == i[0]), np.flatnonzero(part == j[0])
-        left = left[np.argsort(n[left], kind="stable")]
-        a, b = [], []
-        for lo in range(0, len(left), LEAF):
-            leaf = left[lo : lo + LEAF]
-            box = v[leaf].max(axis=0)
-            reach = np.where((box == 255).any() & (v[right] == 255).any(axis=1), 1 << 40, np.minimum(box, v[right]).sum(axis=1, dtype=np.int64))
-            near = right[(t.numerator + t.denominator) * reach >= t.numerator * (n[leaf].min() + n[right])]
-            ok = may_link(n[leaf], v[leaf], n[near], v[near], t) & (grp[leaf][:, None] != grp[near][None, :])
-            x, y = np.nonzero(ok)
-            a.append(sig[leaf[x]])
-            b.append(sig[near[y]])
-        a, b = np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
-        return np.minimum(a, b), np.maximum(a, b)
-
-    n_buckets = 4 * buckets(points.sparkSession)
-
-    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.unique(np.concatenate(found), axis=0)
-        bucket = (mix(both[:, 0].view(np.uint64) ^ mix(both[:, 1].view(np.uint64))) % U(n_buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        at, count = _runs(bucket[order])
-        both = both[order]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[order][at]), pa.array([both[k : k + c].tobytes() for k, c in zip(at, count, strict=True)], pa.binary())], names=["bucket", "pairs"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now, found, size = [], None, [], 0
-        for batch in slices(batches):
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != now and held:
-                    found.append(np.column_stack(pairs(held)))
-                    size += len(found[-1])
-                    held = []
-                    if size > PACKED_PAIRS:
-                        yield packed(found)
-                        found, size = [], 0
-                now = row[:3]
-                held.append(row)
-        if held:
-            found.append(np.column_stack(pairs(held)))
-        if found:
-            yield packed(found)
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(held: list[bytes]) -> pa.RecordBatch:
-            both = np.unique(np.frombuffer(b"".join(held), dtype=np.int64).reshape(-1, 2), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+def bounded_links(table: pa.Table, start: np.ndarray, t: Fraction) -> list[np.ndarray]:
+    """Pairs of rows that join the groups of each unit of (..., sig, grp, left, n, vec), by sizes and count vectors.
 
-        held, now = [], None
-        for batch in batches:  # sorted by bucket
-            for bucket, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now and held:
-                    yield told(held)
-                    held = []
-                now = bucket
-                held.append(raw)
-        if held:
+    All members of all units meet the first of their unit at once; only those that
+    can't be linked with it are compared one by one, in leaves under boxes.
+    """
+    p, q = t.numerator, t.denominator
+    grp, left, n = (table.column(k).to_numpy() for k in ("grp", "left", "n"))
+    v = np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype=np.uint8).reshape(-1, COARSE)
+    size = np.diff(np.append(start, len(n)))
+    head = np.repeat(start, size)
+    least = np.minimum(v, v[head]).sum(axis=1, dtype=np.int64)
+    full = (v == 255).any(axis=1)
+    least[full & full[head]] = 1 << 40
+    ok = (q * np.minimum(n, n[head]) >= p * np.maximum(n, n[head])) & ((p + q) * least >= p * (n + n[head]))
+    rows = np.arange(len(n))
+    star = rows[ok & (grp != grp[head])]
+    out = [np.column_stack((head[star], star))]
+    todo = np.unique(np.searchsorted(start, rows[~ok], "right") - 1)
+    for a, m in zip(start[todo], size[todo], strict=True):
+        if m < 3:
+            continue
+        own = grp[a : a + m].copy()
+        own[np.isin(own, own[ok[a : a + m]])] = own[0]
+
+        def pivots(a: int = a, m: int = m, own: np.ndarray = own) -> Iterator[tuple[int, np.ndarray]]:
+            mine = left[a : a + m]
+            mine = np.flatnonzero(mine & ~ok[a : a + m] if mine.all() else mine)
+            mine = mine[np.argsort(n[a + mine], kind="stable")]
+            for lo in range(0, len(mine), LEAF):
+                leaf = mine[lo : lo + LEAF]
+                box = v[a + leaf].max(axis=0)
+                reach = np.where((box == 255).any() & full[a : a + m], 1 << 40, np.minimum(box, v[a : a + m]).sum(axis=1, dtype=np.int64))
+                near = np.flatnonzero((p + q) * reach >= p * (n[a + leaf].min() + n[a : a + m]))
+                for i, row in zip(leaf.tolist(), may_link(n[a + leaf], v[a + leaf], n[a + near], v[a + near], t), strict=True):
+                    yield i, near[row]
+
+        links = np.array(forest(own, pivots()), dtype=np.int64).reshape(-1, 2)
+        out.append(links + a)
+    return out
+
+
+def exact_links(table: pa.Table, start: np.ndarray, t: Fraction) -> list[np.ndarray]:
+    """Pairs of rows that join the groups of each unit of (..., sig, grp, left, set), by the overlaps of their shingle sets."""
+    p, q = t.numerator, t.denominator
+    grp, left, raw = table.column("grp").to_numpy(), table.column("left").to_numpy(), table.column("set").to_pylist()
+    out = []
+    for a, z in zip(start, np.append(start[1:], len(grp)), strict=True):
+        if z - a < 2 or (grp[a:z] == grp[a]).all():
+            continue
+        n = np.array([len(x) // 8 for x in raw[a:z]])
+        every, place = np.unique(np.frombuffer(b"".join(raw[a:z]), dtype=np.uint64), return_inverse=True)
+        owner = np.repeat(np.arange(z - a), n)[np.argsort(place, kind="stable")]  # the postings: owners of each shingle
+        count = np.bincount(place, minlength=len(every))
+        first, at = np.cumsum(count) - count, np.concatenate(([0], np.cumsum(n)))
+
+        def pivots(n=n, place=place, owner=owner, count=count, first=first, at=at, mine=np.flatnonzero(left[a:z])) -> Iterator[tuple[int, np.ndarray]]:
+            for i in mine.tolist():
+                own = place[at[i] : at[i + 1]]
+                c = count[own]
+                both = np.bincount(owner[np.repeat(first[own] - np.cumsum(c) + c, c) + np.arange(c.sum())], minlength=len(n))
+                yield i, np.flatnonzero((both > 0) & (q * both >= p * (n[i] + n - both)))
+
+        out.append(np.array(forest(grp[a:z], pivots()), dtype=np.int64).reshape(-1, 2) + a)
+    return out
+
+
+def whole_units(batches: Iterator[pa.RecordBatch], keys: int = 3) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, start of each unit) for batches sorted by their first columns: only the last unit of a batch waits for the next."""
+    held, last = [], None
+
+    def told(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(parts)
+        return table, np.flatnonzero(np.concatenate(([True], changes([table.column(k).to_numpy() for k in range(keys)]))))
+
+    def changes(columns: list[np.ndarray]) -> np.ndarray:
+        return np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        if held and last != [c[0] for c in columns]:
             yield told(held)
+            held = []
+        if len(cut := np.flatnonzero(changes(columns)) + 1):
+            yield told([*held, batch.slice(0, cut[-1])])
+            held = []
+            batch = batch.slice(cut[-1])
+        held.append(batch)
+        last = [c[-1] for c in columns]
+    if held:
+        yield told(held)
+
+
+def joining_links(rows: DataFrame, hot: DataFrame, limit: int, kernel, t: Fraction, tag: str) -> DataFrame:
+    """(a, b): links that join all the nodes of a key that the kernel links, a forest for each unit of work.
+
+    rows: (key, sig, weight, ...) with what the kernel reads; hot: (key, total, hub) of
+    the keys that weigh more than the limit, hub being their least sig.
+    """
+    width = buckets(rows.sparkSession)
+    payload = [c for c in rows.columns if c not in ("key", "sig", "weight")]
+
+    def dealt(units: DataFrame) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table, start in whole_units(batches):
+                sig = table.column("sig").to_numpy()
+                links = np.concatenate([*kernel(table, start, t), np.zeros((0, 2), np.int64)])
+                ends = np.sort(np.column_stack((sig[links[:, 0]], sig[links[:, 1]])), axis=1)
+                ends = np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
+        ready = units.select("key", "i", "j", "sig", "grp", "left", *payload).repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j", "sig")
+        return ready.mapInArrow(work, "a bigint, b bigint")
+
+    deal = lambda parts: F.pmod(F.hash("sig", F.lit(7)), parts)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    hot = stored(hot.select("key", "hub", F.ceil(F.col("total") / limit).cast("int").alias("parts")), "hot")
+    plain = rows.withColumn("grp", F.col("sig")).withColumn("left", F.lit(True)).withColumn("j", F.lit(0))
+    if not hot.take(1):
+        return stored(dealt(plain.withColumn("i", F.lit(0))), tag)
+    split = plain.join(small(hot, MOST_BROADCAST), "key", "left")
+    own = split.withColumn("i", deal(F.coalesce("parts", F.lit(1))))
+    hubs = split.where("sig = hub").withColumn("i", upto("parts"))
+    first = stored(dealt(own.unionByName(hubs)), tag)
+    # What the parts have left apart from the largest group of a key meets all of the key.
+    group = components(first).withColumnRenamed("node", "sig")
+    crowded = stored(rows.join(small(hot, MOST_BROADCAST), "key").join(group, "sig", "left").withColumn("grp", F.coalesce("component", "sig")), "crowded")
+    weights = crowded.groupBy("key", "grp").agg(F.sum("weight").alias("w"))
+    apart = weights.groupBy("key").agg(F.max(F.struct("w", "grp")).alias("top"), F.sum("w").alias("total")).where("top.w < total")
+    blocks = lambda x: F.ceil(x / limit).cast("int")
+    apart = stored(apart.select("key", F.col("top.grp").alias("main"), blocks(F.col("total")).alias("across"), blocks(F.col("total") - F.col("top.w")).alias("down")), "apart")
+    if not apart.take(1):
+        return first
+    both = crowded.join(small(apart, MOST_BROADCAST), "key")
+    rest = both.where("grp <> main").withColumn("left", F.lit(True)).withColumn("i", deal(F.col("down"))).withColumn("j", upto("across"))
+    whole = both.withColumn("left", F.lit(False)).withColumn("j", deal(F.col("across"))).withColumn("i", upto("down"))
+    return stored(first.unionAll(dealt(rest.unionByName(whole))), tag)
+
+
+def crowds(cells: DataFrame, points: DataFrame, t: Fraction) -> DataFrame:
+    """(sig, crowd): nodes that sizes and count vectors don't keep from links with each other; a crowd holds all links of its nodes."""
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("total"), F.min("sig").alias("hub"), F.bit_xor("sig").alias("x"), F.bit_xor(F.xxhash64("sig")).alias("y"))
+    # Of cells with just the same members one is enough.
+    kept = stored(sizes.groupBy("total", "x", "y").agg(F.min(F.struct("cell", "hub")).alias("c")).select(F.col("c.cell").alias("cell"), "total", F.col("c.hub").alias("hub")), "kept")
+    members = cells.join(kept.select("cell"), "cell").join(points.select("sig", "n", "vec"), "sig")
+    rows = members.select(F.col("cell").alias("key"), "sig", F.lit(1).alias("weight"), "n", "vec")
+    hot = kept.where(F.col("total") > UNIT).select(F.col("cell").alias("key"), "total", "hub")
+    near = joining_links(rows, hot, UNIT, bounded_links, t, "near")
+    found = components(near).select(F.col("node").alias("sig"), F.col("component").alias("crowd"))
+    return found.unionAll(found.select("crowd", "crowd").distinct())
+
+
+def links(docs: DataFrame, members: DataFrame, size: int, t: Fraction, names: dict[tuple[int, int], int], bits: int = 64) -> DataFrame:
+    """(a, b): true links that join all linked nodes of each crowd. members: (crowd, sig, n, doc_id), one row a node."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            wanted, raw = batch.column(1).to_pylist(), []
+            for k, s in enumerate(shingle_sets(as_bytes(batch.column(3), lower=True), size)):
+                sig = signature(s, bits)
+                # a doc_id may stand on several rows: only the text that bears the node's name counts
+                raw.append(s.tobytes() if names.get(sig, sig[0]) == wanted[k] else None)
+            out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary())], names=["key", "sig", "weight", "set"])
+            yield out.filter(out.column(3).is_valid())
 
-    width = buckets(points.sparkSession)
-    dealt = units.repartition(width, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    met = dealt.mapInArrow(join, "bucket int, pairs binary").repartition(width, "bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(once, "a bigint, b bigint")
+    wanted = small(members.select("doc_id", F.col("crowd").alias("key"), "sig", F.col("n").alias("weight")), MOST_BROADCAST)
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("key", "sig", "weight", "text")
+    rows = stored(texts.mapInArrow(read, "key bigint, sig bigint, weight bigint, set binary"), "sets")
+    hot = members.groupBy(F.col("crowd").alias("key")).agg(F.sum("n").alias("total"), F.min("sig").alias("hub")).where(F.col("total") > UNIT_SHINGLES)
+    return joining_links(rows, hot, UNIT_SHINGLES, exact_links, t, "links")
 
 
-def linked_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def linked_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs.
 
     Two documents link when den * |intersection| >= num * |union| of their sets of
-    distinct `size`-word shingles; component_id is the least doc_id reachable.
+    distinct `size`-word shingles; component_id is the least doc_id reachable. Names of
+    nodes have `bits` bits.
     """
     t = Fraction(num, den)
-    named = stored(nodes(docs, size), "nodes")
+    spark = docs.sparkSession
+    named = stored(nodes(docs, size, bits), "nodes")
+    names = clashes(named)
+    if names:
+        again = spark.createDataFrame([(*k, v) for k, v in names.items()], "sig bigint, check bigint, own bigint")
+        named = stored(named.join(F.broadcast(again), ["sig", "check"], "left").withColumn("sig", F.coalesce("own", "sig")).drop("own"), "nodes")
     points = stored(named.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec")), "points")
-    cells = stored(shared_cells(docs, size, t), "cells")
-    least = stored(cells.groupBy("cell").agg(F.min("sig").alias("a")), "least")  # stored: a join of two plain exchanges splits a crowded cell
-    stars = cells.join(least, "cell").where("sig <> a").select("a", F.col("sig").alias("b")).distinct()
-    first = stored(verified(stars, points, docs, size, t), "links")
-    group = components(first).withColumnRenamed("node", "sig")
-    rest = stored(_between_groups(cells, group, points, t), "rest")
-    second = stored(verified(rest, points, docs, size, t), "links")
-    group = components(first.unionAll(second)).withColumnRenamed("node", "sig") if second.take(1) else group
+    shingles = points.agg(F.sum("n")).first()[0] or 0
+    cells = stored(shared_cells(docs, size, t, names, shingles, bits), "cells")
+    crowd = crowds(cells, points, t)
+    members = stored(points.select("sig", "n", "doc_id").join(crowd, "sig").where("doc_id IS NOT NULL"), "members")
+    group = components(links(docs, members, size, t, names, bits)).withColumnRenamed("node", "sig")
     heads = points.select("sig", "doc_id").join(group, "sig", "left").withColumn("grp", F.coalesce("component", "sig"))
     least_doc = heads.groupBy("grp").agg(F.min("doc_id").alias("component_id"))
     found = heads.join(least_doc, "grp").select("sig", "component_id")
@@ -382,5 +468,6 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
     again = small(per.where("rows > 1 AND head").select("doc_id"), MOST_BROADCAST)
     gone = small(stored(per.where("rows > 1 OR NOT head").select("doc_id"), "gone"), MOST_BROADCAST)
     order = Window.partitionBy("doc_id").orderBy(*(F.col(c).cast("string") for c in docs.columns if c != "doc_id"))
-    firsts = docs.join(again, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1")
+    row = spare_name(docs)
+    firsts = docs.join(again, "doc_id", "left_semi").withColumn(row, F.row_number().over(order)).where(F.col(row) == 1)
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns).unionAll(firsts.select(docs.columns))

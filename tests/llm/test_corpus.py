@@ -123,6 +123,37 @@ def test_linked_groups_equal_brute_force(docs, size, num, den):
     assert {tuple(r) for r in got} == groups_by_force(size, num, den)
 
 
+def alike(m, edits=6, words=60, seed=4):
+    """One chain of m texts, each a few words from the one before, and m / 2 texts each as far from a common one as from each other."""
+    rng = random.Random(seed)
+    out, base = [], [f"w{k}" for k in range(words)]
+    now = base[:]
+    for i in range(m):
+        out.append(" ".join(now))
+        now[(3 * i) % words] = f"c{i}"
+    for i in range(m // 2):
+        far = base[:]
+        for k in rng.sample(range(words), edits):
+            far[k] = f"f{i}_{k}"
+        out.append(" ".join(far))
+    return out
+
+
+@pytest.mark.parametrize("bits,unit,unit_shingles", [(64, 1024, 1 << 18), (5, 8, 300), (64, 5, 150)])
+def test_crowded_cells_lose_no_link(spark, monkeypatch, bits, unit, unit_shingles):
+    monkeypatch.setattr(ngram_join, "UNIT", unit)
+    monkeypatch.setattr(ngram_join, "UNIT_SHINGLES", unit_shingles)
+    data = list(enumerate(alike(40)))
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in data for w in [t.split()]}
+    group = {i: i for i in sets}
+    for _ in range(len(sets)):
+        for a, b in combinations(sets, 2):
+            if group[a] != group[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                group[a] = group[b] = min(group[a], group[b])
+    got = ngram_join.linked_groups(spark.createDataFrame(data, "doc_id bigint, text string").repartition(5), 3, 80, 100, bits=bits)
+    assert {r.doc_id: r.component_id for r in got.collect()} == group and 1 < len(set(group.values())) < len(group)
+
+
 def test_one_of_each_keeps_columns_and_the_least(docs, none):
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns and ngram_join.one_of_each(none).count() == 0
