@@ -8,6 +8,10 @@ blocked hosts is suspect). Edges are the links between different hosts in the pa
 html and those between a host and its parent domain. A host is blocked if it has more
 distrust than trust, and more distrust than `share` times its part of all pages.
 
+A walk goes on until all that could still arrive is less than `least` of it. Mass on
+hosts without edges returns to the seeds, which only scales the ranks: what each step
+moves is added up, and the sums are divided by their total at the end.
+
 Defined cases: null urls and urls without :// have an empty host and path, fit no rule,
 and their host gives and takes no link; null html has no links; repeated rows give
 repeated results; without pages nothing is judged.
@@ -29,7 +33,10 @@ RULES = (
     ("block", "org", "/es/"),
 )
 DAMPING = 0.85
-ROUNDS = 8
+#: The part of a walk's mass that may be missing when it ends.
+LEAST = 1e-3
+#: Steps between two tables in the shared folder.
+STEPS = 4
 SHARE = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
@@ -63,24 +70,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, least: float = LEAST, damping: float = DAMPING) -> DataFrame:
     """(kind, host, rank): personalised PageRank from seeds (kind, host, mass) over edges (kind, src, dst, weight).
 
-    The masses of a kind add up to 1. Mass on hosts without edges returns to the seeds.
+    The masses of a kind add up to 1, as do its ranks.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
-    moves = stored(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("part")), "edges")
-    ranks = seeds.select("kind", "host", F.col("mass").alias("rank"))
-    for _ in range(rounds):
-        moved = ranks.join(moves, (ranks.kind == moves.kind) & (ranks.host == moves.src)).select(moves.kind, F.col("dst").alias("host"), (F.col("rank") * F.col("part") * damping).alias("rank"))
-        gathered = moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        kept = gathered.groupBy("kind").agg(F.sum("rank").alias("kept"))  # two rows
-        back = seeds.join(F.broadcast(kept), "kind", "left").select("kind", "host", (F.col("mass") * (1 - F.coalesce("kept", F.lit(0.0)))).alias("rank"))
-        ranks = stored(gathered.select("kind", "host", "rank").unionAll(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "ranks")
-    return ranks
-
-
-def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
+    moves = stored(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total") * damping).alias("part")), "edges")
+    front = seeds.select("kind", "host", F.col("mass").alias("rank"))
+    total = front
+    while True:
+        for _ in range(STEPS):
+            moved = front.join(moves, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("part")).alias("rank"))
+            front = moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+            total = total.unionAll(front)
+        # the sum so far and the last step in one table, so that each step is taken once
+        both = total.groupBy("kind", "host").agg(F.sum("rank").alias("rank")).withColumn("last", F.lit(False)).unionAll(front.withColumn("last", F.lit(True)))
+        both = stored(both, "ranks")
+        total, front = (both.where(F.col("last") == x).select("kind", "host", "rank") for x in (False, True))
+        moving = front.groupBy("kind").agg(F.sum("rank").alias("m")).agg(F.max("m")).first()[0] or 0.0
+        if moving * damping / (1 - damping) <= least:
+            break
+    sums = total.groupBy("kind").agg(F.sum("rank").alias("all"))  # two rows
+    return total.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("rank") / F.col("all")).alias("rank"))
+
+
+def judge(pages: DataFrame, rules=RULES, least: float = LEAST, share: float = SHARE) -> DataFrame:
     """(page_id, host, path, rule, verdict) of each row."""
     known = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html").withColumn("r", fitting_rule(F.col("host"), F.col("path"), rules))
     counts = stored(
@@ -95,7 +110,7 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, share: float = SH
     ).where("mass > 0")
     edges = host_edges(known)
     ways = edges.select(F.lit(0).alias("kind"), "src", "dst", "weight").unionAll(edges.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    ranks = propagate(ways, stored(seeds, "seeds"), rounds)
+    ranks = propagate(ways, stored(seeds, "seeds"), least)
     by_host = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("rank"))).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("rank"))).alias("distrust"))
     bad = (
         counts.join(by_host, "host")
