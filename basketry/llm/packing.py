@@ -3,10 +3,13 @@
 Every document becomes its token ids and an end id; only documents longer than a
 sequence are cut, from the end, so that the first piece takes the remainder. Pieces
 of one length are interchangeable, so the plan is made on the histogram of lengths
-(at most `capacity` counts, a fixed bound): full pieces stand alone; large lengths
-are rounded up within groups of equal cardinality (linear grouping) and packed by
-configurations of those few sizes; the actual lengths are put back in, and the small
-pieces fill the freed room best fit first. The plan is a bounded list of runs
+(at most `capacity` counts, a fixed bound): full pieces stand alone; large lengths, from
+a sixth of a sequence on, are rounded up within groups of equal cardinality (linear
+grouping); the configurations of those few sizes are optimised as a linear programme
+whose columns, multisets of sizes that fit, are generated by a knapsack over the duals;
+whole parts of its solution are used, the actual lengths are put back in for all but the
+last size, and the pieces left over and the small ones fill the freed room best fit first.
+Sequences that end up with room are taken apart and packed anew, best fit. The plan is a bounded list of runs
 "this length, these sequences, this offset", which Spark joins to the ranked pieces.
 
 Defined cases: null text is empty and packs as the end id alone; repeated rows are
@@ -22,7 +25,9 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,11 +39,23 @@ END_ID = 2
 #: Longer texts go to `tokenizers`: the other library's matcher recurses.
 LONG_TEXT = 1_000_000
 #: Lengths from this share of a sequence count as large.
-LARGE_SHARE = 2
+LARGE_SHARE = 6
 GROUPS = 48
+#: Tokens of room up to which a sequence counts as full.
+SLACK = 0
+#: Columns that are generated at most; the gain of later ones is a few sequences.
+MOST_COLUMNS = 600
 PIECE_SCHEMA = "doc_id bigint, row_hash bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+class Alike(NamedTuple):
+    """Sequences that hold the same lengths: what room they have left, and how many they are."""
+
+    room: int
+    lengths: tuple[int, ...]
+    count: int
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, by the `tokenizers` file.
 
@@ -93,100 +110,117 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     return docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text").mapInArrow(tokenise, PIECE_SCHEMA)
 
 
-def _configurations(sizes: list[int], demand: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of the few rounded sizes, fullest first, each used while its sizes last.
-
-    The best pattern at each step is the fullest multiset of the sizes still in demand,
-    found by a bounded knapsack over capacity; a pattern is used as often as demand
-    allows, so every step exhausts at least one size or its multiplicity.
+def _fullest(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each size is in the multiset of most worth that fits: an unbounded knapsack."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for c in range(int(sizes.min()), capacity + 1):
+        best[c], last[c] = best[c - 1], last[c - 1] if best[c - 1] else -1
+        fits = np.flatnonzero(sizes <= c)
+        gain = best[c - sizes[fits]] + worth[fits]
+        k = int(gain.argmax())
+        if gain[k] > best[c] + 1e-12:
+            best[c], last[c] = gain[k], fits[k]
+    found, c = np.zeros(len(sizes)), capacity
+    while c >= sizes.min() and best[c] > 0:
+        while best[c - 1] == best[c]:
+            c -= 1
+        found[last[c]] += 1
+        c -= sizes[last[c]]
+    return found
+
+
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
+    """(how often each size is in it, how often it is used) of the configurations of fewest sequences, rounded down.
+
+    Column generation: the basis starts with one size in each configuration; the
+    knapsack over its duals brings in the configuration that saves most, until none does.
     """
-    left, out = dict(demand), []
-    while any(left.values()):
-        reach: list[tuple[int, int] | None] = [None] * (capacity + 1)  # (size added last, how often so far)
-        reach[0] = (0, 0)
-        for s in sizes:
-            if left[s] <= 0:
+    if not sizes:
+        return []
+    size, need = np.array(sizes), np.array(demand, dtype=float)
+    basis = np.diag((capacity // size).astype(float))
+    for _ in range(MOST_COLUMNS):
+        inverse = np.linalg.inv(basis)
+        used, dual = np.maximum(inverse @ need, 0), np.ones(len(size)) @ inverse
+        column = _fullest(size, np.maximum(dual, 0), capacity)
+        if dual @ column <= 1 + 1e-9:
+            break
+        way = inverse @ column
+        ratio = np.where(way > 1e-9, used / np.where(way > 1e-9, way, 1), np.inf)
+        basis[:, int(ratio.argmin())] = column
+    times = np.floor(np.maximum(np.linalg.solve(basis, need), 0) + 1e-6).astype(int)
+    return [(basis[:, k].astype(int), int(times[k])) for k in range(len(size)) if times[k]]
+
+
+def best_fit(stock: Counter, bins: list[Alike], capacity: int) -> list[Alike]:
+    """The bins with all of stock put in, longest first, each into the least room that takes it."""
+    done = [x for x in bins if x.room == 0]
+    rooms = sorted((x for x in bins if x.room), key=lambda x: x.room)
+    for n in sorted(stock, reverse=True):
+        need = stock[n]
+        while need:
+            at = bisect.bisect_left(rooms, n, key=lambda x: x.room)
+            if at == len(rooms):
+                rooms.append(Alike(capacity, (), -(-need // (capacity // n))))
                 continue
-            for total in range(s, capacity + 1):
-                prev = reach[total - s]
-                if reach[total] is None and prev is not None:
-                    count = prev[1] + 1 if prev[0] == s else 1
-                    if count <= left[s]:
-                        reach[total] = (s, count)
-        total = max(t for t in range(capacity + 1) if reach[t] is not None)
-        pattern = []
-        while total:
-            s = reach[total][0]
-            pattern.append(s)
-            total -= s
-        need = Counter(pattern)
-        times = min(left[s] // c for s, c in need.items())
-        for s, c in need.items():
-            left[s] -= c * times
-        out.append((tuple(sorted(pattern, reverse=True)), times))
-    return out
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large_share: int = LARGE_SHARE) -> list[tuple[int, int, int, int, int]]:
+            found = rooms.pop(at)
+            take = min(need, found.count)
+            need -= take
+            if take < found.count:
+                bisect.insort(rooms, found._replace(count=found.count - take), key=lambda x: x.room)
+            found = Alike(found.room - n, (*found.lengths, n), take)
+            bisect.insort(rooms, found, key=lambda x: x.room) if found.room else done.append(found)
+    return done + rooms
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large_share: int = LARGE_SHARE, slack: int = SLACK) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first rank, count, first sequence, offset) that place every piece below capacity.
 
     A run puts the pieces of one length with ranks first .. first + count - 1 into as many
     consecutive sequences at one offset. Full pieces aren't in it: each is a sequence itself.
     """
-    stock = {n: c for n, c in histogram.items() if c and n < capacity}
-    floor = max(1, capacity // large_share)
-    large = sorted((n for n in stock if n >= floor), reverse=True)
-    rounded: dict[int, int] = {}
+    stock = Counter({n: c for n, c in histogram.items() if c and n < capacity})
+    large = sorted((n for n in stock if n >= max(1, capacity // large_share)), reverse=True)
     goal = max(1, -(-sum(stock[n] for n in large) // groups))
-    held, top, members = 0, 0, {}
+    held, members = 0, {}
     for n in large:  # groups of about equal cardinality, each rounded up to its longest
-        if not top or held + stock[n] > goal and held:
-            held, top = 0, n
+        if not members or held + stock[n] > goal and held:
+            held, members[n] = 0, []
         held += stock[n]
-        rounded[n] = top
-        members.setdefault(top, []).append(n)
-    used: Counter[int] = Counter()
-    runs: list[tuple[int, int, int, int, int]] = []
-    bins: list[list[int]] = []  # [room left, first sequence, count], one for a run of alike sequences
-    next_seq = 0
-
-    def place(n: int, count: int, seq: int, offset: int) -> None:
-        runs.append((n, used[n], count, seq, offset))
-        used[n] += count
-
-    demand = {top: sum(stock[n] for n in m) for top, m in members.items()}
-    for pattern, times in _configurations(sorted(members, reverse=True), demand, capacity):
-        parts = [(next_seq, times, 0)]  # (first sequence, count, filled)
-        next_seq += times
-        for top in pattern:  # put actual lengths, longest first, in place of the rounded size
-            filled_parts = []
-            for seq, count, filled in parts:
-                while count:
-                    n = next(m for m in members[top] if used[m] < stock[m])
-                    take = min(count, stock[n] - used[n])
-                    place(n, take, seq, filled)
-                    filled_parts.append((seq, take, filled + n))
-                    seq, count = seq + take, count - take
-            parts = filled_parts
-        bins += [[capacity - filled, seq, count] for seq, count, filled in parts]
-    rooms = sorted((room, seq, count) for room, seq, count in bins if room)
-    for n in sorted((n for n in stock if used[n] < stock[n]), reverse=True):  # best fit, longest first
-        while used[n] < stock[n]:
-            need = stock[n] - used[n]
-            at = bisect.bisect_left(rooms, (n, -1, -1))
-            if at == len(rooms):
-                per = capacity // n
-                fresh = -(-need // per)
-                rooms.append((capacity, next_seq, fresh))
-                next_seq += fresh
-                continue
-            room, seq, count = rooms.pop(at)
-            take = min(need, count)
-            place(n, take, seq, capacity - room)
-            if take < count:
-                bisect.insort(rooms, (room, seq + take, count - take))
-            if room > n:
-                bisect.insort(rooms, (room - n, seq, take))
+        members[next(reversed(members))].append(n)
+    left = +stock
+    bins: list[Alike] = []
+    for counts, times in configurations(list(members), [sum(stock[n] for n in m) for m in members.values()], capacity):
+        # all but the last of a configuration: best fit finds what fills its room
+        pattern = [top for top, c in zip(members, counts.tolist(), strict=True) for _ in range(c)]
+        parts = [Alike(capacity, (), times)]
+        for top in pattern[: max(1, len(pattern) - 1)]:  # actual lengths, longest first, in place of the rounded size
+            filled = []
+            for room, lengths, count in parts:
+                while count and (n := next((m for m in members[top] if left[m]), 0)):
+                    take = min(count, left[n])
+                    left[n] -= take
+                    filled.append(Alike(room - n, (*lengths, n), take))
+                    count -= take
+                if count:
+                    filled.append(Alike(room, lengths, count))
+            parts = filled
+        bins += [x for x in parts if x.lengths]
+    bins = best_fit(+left, bins, capacity)
+    # Sequences with room left are given up, and their pieces put together best fit.
+    kept, again = [x for x in bins if x.room <= slack], Counter()
+    for x in bins:
+        if x.room > slack:
+            for n in x.lengths:
+                again[n] += x.count
+    runs, used, seq = [], Counter(), 0
+    for _, lengths, count in best_fit(again, kept, capacity):
+        offset = 0
+        for n in lengths:
+            runs.append((n, used[n], count, seq, offset))
+            used[n] += count
+            offset += n
+        seq += count
     return runs
 
 
