@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.llm.common import spare_name
+
 # The stated patterns, each with the least length that counts.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ASSIGN_HINT = r"(?i)passw|secret|token|api_?key"
@@ -43,6 +45,8 @@ LENGTHS = (20, 28, 40, 64)
 STEPS = 4
 TOP = 40
 FALSE_SHARE = 0.05
+#: Matches of a text whose places are added up at once.
+CHUNK = 256
 MASK = "[SECRET]"
 
 _SPAN = "array<struct<start:int,ord:int,end:int>>"
@@ -54,17 +58,35 @@ def _lit(text: str) -> Column:
 
 
 def _positions(text: Column, pattern: str, hint: Column) -> Column:
-    """array<struct<start,end>> of the leftmost non-overlapping matches, in code points."""
+    """array<struct<start,end>> of the leftmost non-overlapping matches, in code points.
+
+    Gaps and lengths are added up in chunks, and those from the chunks' first places, so
+    that many matches in one text don't copy all that came before.
+    """
     pieces = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, _lit(pattern), F.lit(0))
     sizes = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(F.length(p).alias("gap"), F.length(h).alias("len")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda k: F.slice(x, k * CHUNK + 1, CHUNK))
+    chunks = F.flatten(F.transform(F.array(sizes), cut))
+
+    def first_places(acc: Column, chunk: Column) -> Column:
+        length = F.aggregate(chunk, F.lit(0), lambda n, x: n + x["gap"] + x["len"])
+        return F.struct((acc["at"] + length).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + x["gap"]
         return F.struct((a + x["len"]).alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), (a + x["len"]).alias("end")))).alias("out"))
 
-    return F.when(hint, F.aggregate(sizes, start, step, lambda acc: acc["out"])).otherwise(start["out"])
+    def added(chunk: Column, at: Column) -> Column:
+        return F.aggregate(chunk, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def told(chunks: Column) -> Column:
+        places = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), first_places, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(chunks, places, added))
+
+    found = F.flatten(F.transform(F.array(chunks), told))  # through a one-element array, so that the chunks are made once
+    return F.when(hint & text.rlike(pattern), found).otherwise(none)
 
 
 def _kind(spans: Column, order: int) -> Column:
@@ -282,11 +304,11 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["ord"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs with the columns base_spans and all_spans, array<struct<start,ord,end>>."""
+def scan(docs: DataFrame, base: str = "base_spans", every: str = "all_spans") -> DataFrame:
+    """docs with two more columns, array<struct<start,ord,end>>: the pattern spans and all spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
     cut = cuts(docs.select("text"), text)
-    return docs.withColumn("base_spans", base_spans(text)).withColumn("all_spans", all_spans(F.col("base_spans"), tested_tokens(text), cut))
+    return docs.withColumn(base, base_spans(text)).withColumn(every, all_spans(F.col(base), tested_tokens(text), cut))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -299,17 +321,21 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """docs with every span of the text replaced by MASK, overlapping ones by one, and n_chars to match."""
-    found = scan(docs)
-    text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.when(x["start"] >= acc["at"], F.concat(text.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit(MASK))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
-
-    done = F.aggregate("all_spans", start, step)
-    new = F.when(F.size("all_spans") > 0, F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))).otherwise(text)
-    out = found.withColumn("_new", new)
-    replaced = {"text": F.col("_new"), "n_chars": F.when(F.size("all_spans") > 0, F.length("_new").cast("bigint")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*(replaced[c].alias(c) if replaced.get(c) is not None else F.col(c) for c in docs.columns))
+    """docs with every span of the text replaced by MASK, overlapping ones by one, and n_chars to match; no column is lost to a like name."""
+    base, every, new = (spare_name(docs, x) for x in ("base_spans", "all_spans", "new_text"))
+    spans, text = F.col(every), F.col("text")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,n:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:  # the text kept before each run of spans
+        gap = F.array(F.struct((acc["at"] + 1).alias("a"), (x["start"] - acc["at"]).alias("n")))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
+
+    def told(done: Column) -> Column:
+        kept = F.transform(done["out"], lambda g: text.substr(g["a"], g["n"]))
+        return F.concat(F.array_join(kept, MASK), F.lit(MASK), text.substr(done["at"] + 1, F.length(text)))
+
+    out = scan(docs, base, every)
+    changed = F.element_at(F.transform(F.array(F.aggregate(spans, start, step)), told), 1)
+    out = out.withColumn(new, F.when(F.size(spans) > 0, changed).otherwise(text))
+    columns = {"text": F.col(new), "n_chars": F.when(F.size(spans) > 0, F.length(new).cast("bigint")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*(columns[c].alias(c) if columns.get(c) is not None else F.col(f"`{c}`") for c in docs.columns))
