@@ -128,7 +128,7 @@ def fingerprint(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("d
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """One row per document with its digests and a digest of the time-coded fingerprint array."""
+    """One row per document with its digests, the time-coded fingerprint array and its digest."""
     found = fingerprint(to_media(docs))
     digest = F.concat_ws(":", F.col("n_peaks").cast("string"), F.size("codes").cast("string"), F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", digest.alias("feature"), F.size("codes").cast("bigint").alias("n_pairs"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", digest.alias("feature"), F.size("codes").cast("bigint").alias("n_pairs"), "codes")
