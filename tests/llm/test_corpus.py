@@ -73,18 +73,32 @@ def texts():
     return out
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from basketry.llm import common
+
+    off = N(conf=N(get=lambda *_: None), sparkContext=N(getCheckpointDir=lambda: None, master="spark://x:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.scratch_dir(off)
+    assert common.scratch_dir(N(conf=N(get=lambda *_: "hdfs://x/y"))) == "hdfs://x/y"
+
+
 # media
 
 
 def test_media_round_trip(docs, none):
     got = media.media_digests(docs)
     assert got.count() == docs.count() and media.media_digests(none).count() == 0
-    found = by_id(got)
+    codes = {r.doc_id: r.codes for r in got.collect()}
+    found = by_id(got.drop("codes"))
     for doc, ts in texts().items():
         raw = ts[0].encode()
         payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
         (row,) = found[doc]
         assert row[:4] == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        want = media.pair_codes(media.spectral_peaks(payload)).tolist()
+        assert codes[doc] == want and row[6].endswith(hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())
     wav = media.write_wav(payload)
     assert media.read_wav(wav) == payload and {(r[4], r[5]) for r in found[doc]} == {(len(wav), hashlib.sha256(wav).hexdigest())}
 
@@ -288,6 +302,21 @@ def test_keys_after_any_name_and_without_digits_are_tested(spark):
     assert all(hits[f] >= 9 for f in forms), hits
 
 
+def test_masking_keeps_columns_of_any_name(spark):
+    text = "a token=abcdefghijklmnop b deadbeefdeadbeef c"
+    df = spark.createDataFrame([(1, text, "x", 5, "y", 9), (2, None, "x", 5, "y", None), (3, "plain", "x", 5, "y", 5)], "doc_id bigint, text string, base_spans string, all_spans int, new_text string, n_chars bigint")
+    got = {r.doc_id: r for r in secrets.masked(df).collect()}
+    assert got[1].text == "a [SECRET] b [SECRET] c" and got[1].n_chars == len(got[1].text)
+    assert {tuple(r)[2:5] for r in got.values()} == {("x", 5, "y")} and got[2].text is None and got[3].text == "plain" and got[2].n_chars is None
+
+
+def test_a_long_text_with_many_matches(spark):
+    text = "é deadbeefdeadbeef0 token=abcdefghijkl " * 3000
+    r = secrets.report(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    spans = [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]{16,}", text)] + [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    assert r.n_hex == 3000 and r.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+
+
 # substring
 
 
@@ -370,6 +399,28 @@ def test_distrust_flows_to_hosts_that_link_to_blocked_ones(spark):
     assert got[6] == "block" and got[7] == "allow"
 
 
+def test_walks_equal_dense_ones(spark):
+    rng = random.Random(3)
+    hosts = [f"h{i}" for i in range(12)]
+    links = [(a, b, float(rng.randint(1, 4))) for a in hosts[:10] for b in rng.sample(hosts, 3) if a != b]
+    mass = {"h0": 0.75, "h5": 0.25}
+    m = np.zeros((12, 12))
+    for a, b, w in links:
+        m[hosts.index(b), hosts.index(a)] += w
+    m = m / np.maximum(m.sum(axis=0), 1e-12)
+    s = np.array([mass.get(h, 0.0) for h in hosts])
+    y = np.linalg.solve(np.eye(12) - 0.85 * m, s)
+    edges = spark.createDataFrame([(0, *x) for x in links], "kind int, src string, dst string, weight double").groupBy("kind", "src", "dst").agg(F.sum("weight").alias("weight"))
+    seeds = spark.createDataFrame([(0, h, x) for h, x in mass.items()], "kind int, host string, mass double")
+    got = {r.host: r["rank"] for r in url_filter.propagate(edges, seeds, 1e-4).collect()}
+    assert abs(sum(got.values()) - 1) < 1e-9 and max(abs(got.get(h, 0) - v) for h, v in zip(hosts, y / y.sum())) < 1e-3
+
+
+def test_pages_keep_other_columns_out(spark):
+    df = spark.createDataFrame([(1, "http://a.org/es/", "x", "h", 1, 2), (1, "http://a.org/es/", "x", "h", 1, 2)], "page_id bigint, url string, html string, host string, rank int, verdict int")
+    assert [tuple(r) for r in url_filter.judge(df).collect()] == [(1, "a.org", "/es/", "org/es/", "block")] * 2
+
+
 # quality
 
 
@@ -438,6 +489,50 @@ def test_plan_places_every_piece_once(hist):
     assert all(sorted(placed[n]) == list(range(c)) for n, c in hist.items() if n < 64)
 
 
+def plain_best_fit(hist, capacity):
+    rooms, n = [], 0
+    for length in sorted(hist, reverse=True):
+        for _ in range(hist[length]):
+            fit = min((r for r in rooms if r >= length), default=None)
+            if fit is None:
+                n += 1
+            else:
+                rooms.remove(fit)
+            rooms.append((capacity if fit is None else fit) - length)
+    return n
+
+
+def test_configurations_hold_several_pieces_and_pack_tightly():
+    rng = random.Random(2)
+    for low, high in ((20, 500), (60, 1023), (150, 400)):
+        hist = Counter(rng.randint(low, high) for _ in range(1500))
+        found = packing.configurations([400, 300, 250, 180], [90, 200, 310, 50], 1024)
+        assert all(sum(c * n for c, n in zip(counts, (400, 300, 250, 180))) <= 1024 for counts, _ in found) and any(sum(counts) > 1 for counts, _ in found)
+        runs = packing.plan(hist, 1024)
+        used = max(seq + count for _, _, count, seq, _ in runs)
+        assert used <= plain_best_fit(hist, 1024) * 1.002 + 1
+    # only a configuration of three pieces is full, and best fit by itself would pair the two long ones
+    assert max(seq + count for _, _, count, seq, _ in packing.plan({44: 60, 30: 60, 26: 60}, 100)) == 60
+
+
+def test_both_tokenisers_agree():
+    import pyarrow.parquet as pq
+
+    from basketry.llm.queries import tokenizer_files
+
+    files = tokenizer_files()
+    enc, plain = packing.Encoder(*files.values()), packing.Encoder(files["tokenizer_path"])
+    odd = ["", " ", "\t\n \r\n", "e\u0301 \u200d\u200b", "\U0001f468\u200d\U0001f469 \ufffd\x00", "don't I'LL 12345678 \u0661\u0662", "日本語" * 50, "\u00a0\u3000 x", "a" * 3000, "<|endoftext|>", "ſ'ſ K'K"]
+    path = "/root/testdata/sf0.01/documents.parquet"
+    import os
+
+    texts = pq.read_table(path, columns=["text"])["text"].to_pylist() if os.path.exists(path) else []
+    for t in odd + [t or "" for t in texts]:
+        assert enc.encode(t) == plain.encode(t)
+    long = "word and " * 130_000
+    assert len(long) >= packing.LONG_TEXT and enc.encode(long) == plain.encode(long)
+
+
 def test_packing_is_whole_and_tight(docs, none, spark):
     import public_tokenizers
     from tokenizers import Tokenizer
