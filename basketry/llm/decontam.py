@@ -12,7 +12,8 @@ The benchmark is small beside the corpus; it is shipped to the tasks in blocks o
 most `block_words` words, one map pass over the corpus a block, so what is broadcast
 has a fixed bound. No shuffle of texts.
 
-Defined cases: null or empty texts match nothing; items without words match nothing;
+Defined cases: null or empty texts match nothing; items of fewer than `least_words` words
+(any text holds those by chance) match nothing;
 repeated rows give repeated results; an empty benchmark flags nothing.
 """
 
@@ -31,6 +32,8 @@ from basketry.llm.common import GRAM, U, mix, slabs, slices, words_of
 
 SPAN = 12
 PER_MISS = 6
+#: Shorter items are no passages.
+LEAST_WORDS = 3
 BLOCK_WORDS = 500_000
 _APART = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 
@@ -75,7 +78,7 @@ class Index:
 
     BITS = 22
 
-    def __init__(self, items: list[tuple[int, str]], span: int, per_miss: int):
+    def __init__(self, items: list[tuple[int, str]], span: int, per_miss: int, least_words: int = LEAST_WORDS):
         blobs = [(t or "").lower().encode() for _, t in items]
         h, _, _, at = words_of(blobs, _APART)
         self.ids = [i for i, _ in items]
@@ -84,7 +87,7 @@ class Index:
         by_mask: dict[tuple[int, ...], list[tuple[np.ndarray, int]]] = {}
         for k, w in enumerate(self.words):
             width = min(span, len(w))
-            if width:
+            if width >= max(1, least_words):
                 for m in masks(width, width // per_miss):
                     by_mask.setdefault(m, []).append((seed_hashes(w, m), k))
         self.seeds = []
@@ -97,15 +100,15 @@ class Index:
             self.bitmap[hashes >> U(64 - self.BITS)] = True
             self.seeds.append((m, hashes[order], item[order], place[order]))
 
-    def hits(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(position in h, item, place in item) of equal seeds."""
+    def hits(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(position in h, item, place in item) of equal seeds, as arrays for each mask."""
         for m, hashes, item, place in self.seeds:
             s = seed_hashes(h, m)
             at = np.flatnonzero(self.bitmap[s >> U(64 - self.BITS)])
             lo, hi = np.searchsorted(hashes, s[at], "left"), np.searchsorted(hashes, s[at], "right")
-            for p, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                for k in range(a, b):
-                    yield int(p), int(item[k]), int(place[k])
+            times = hi - lo
+            k = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+            yield np.repeat(at, times), item[k], place[k]
 
     def best_window(self, h: np.ndarray, item: int, start: int) -> tuple[int, int] | None:
         """(equal words at this alignment, first word in h) if some whole window is within tolerance."""
@@ -122,27 +125,25 @@ class Index:
     def find(self, h: np.ndarray, at: np.ndarray) -> dict[int, dict[int, tuple[int, int]]]:
         """text index -> item -> (most equal words, first word there)."""
         out: dict[int, dict[int, tuple[int, int]]] = {}
-        seen = set()
+        found = [np.zeros((0, 3), np.int64)]
         for p, item, place in self.hits(h):
-            text = int(np.searchsorted(at, p, "right")) - 1
-            start = p - place - int(at[text])
-            if (text, item, start) in seen:
-                continue
-            seen.add((text, item, start))
-            if found := self.best_window(h[at[text] : at[text + 1]], item, start):
+            text = np.searchsorted(at, p, "right") - 1
+            found.append(np.unique(np.column_stack((text, item, p - place - at[text])), axis=0))
+        for text, item, start in np.unique(np.concatenate(found), axis=0).tolist():  # each alignment once
+            if window := self.best_window(h[at[text] : at[text + 1]], item, start):
                 best = out.setdefault(text, {})
-                best[item] = max(found, best.get(item, (0, 0)))
+                best[item] = max(window, best.get(item, (0, 0)))
         return out
 
 
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, span: int = SPAN, per_miss: int = PER_MISS) -> Iterator[Index]:
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, span: int = SPAN, per_miss: int = PER_MISS, least_words: int = LEAST_WORDS) -> Iterator[Index]:
     """Indexes over the benchmark, each of about block_words words at most (one item may be longer)."""
     size = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))
     total = benchmark.agg(F.sum(size)).first()[0] or 0
     n = -(-total // block_words) or 1
     for k in range(n):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text").collect()  # about block_words words
-        yield Index([(r.item_id, r.text) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id or 0, r.text or ""))], span, per_miss)
+        yield Index([(r.item_id, r.text) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id or 0, r.text or ""))], span, per_miss, least_words)
 
 
 def _texts(batch: pa.RecordBatch, column: int, index: Index):
