@@ -8,8 +8,11 @@ filter's false-positive rate; the largest decides.
 
 The n-grams are counted in Spark over a bounded sample of labelled rows (at most about
 `train_docs` a language, whole texts) and an n-gram belongs to a language if its share
-there is at least `tau` of its largest share anywhere. The table has `rows` rows of one
-64-bit mask for up to 64 languages, whatever the corpus.
+there is at least `tau` of its largest share anywhere. The table has `rows` rows, each of
+one 64-bit mask for every 64 languages, whatever the corpus.
+
+A text is in no learned language if its best one knows too small a part of the text's own
+n-grams; texts of a few n-grams are too short to tell and are not turned away.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; a text whose
 n-grams are in no filter takes the language with most training rows and score 0; ties go
@@ -31,13 +34,15 @@ from basketry.llm.common import GRAM, U, mix, slices
 ORDERS = (2, 3, 4)
 TRAIN_DOCS = 3000
 TAU = 0.5
+#: Bounds of a filter: n-grams counted less often are left out, and so are those beyond the most frequent of a language.
 LEAST_COUNT = 5
 TOP_GRAMS = 20_000
 ROWS = 1 << 19
 PROBES = 3
 SLAB_CHARS = 200_000
-#: A text whose best language holds less of the popcounts is in no language.
-LEAST_SCORE = 0.3
+#: A text is in no language if the best one knows less of its n-grams, where it has so many.
+LEAST_KNOWN = 0.1
+LEAST_GRAMS = 40
 UNDECIDED = "und"
 _tables: dict[str, np.ndarray] = {}
 
@@ -82,15 +87,15 @@ def slabs_of(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 class Filters:
-    """The bit-sliced Bloom filters of up to 64 languages."""
+    """The bit-sliced Bloom filters of all languages."""
 
     def __init__(self, languages: list[str], fallback: str | None, members: dict[str, np.ndarray], rows: int = ROWS):
         self.languages, self.fallback, self.rows = languages, fallback, rows
-        self.table = np.zeros(rows, dtype=np.uint64)
+        self.table = np.zeros((-(-len(languages) // 64), rows), dtype=np.uint64)
         for k, lang in enumerate(languages):
             for r in self.places(members[lang]):
-                self.table[r] |= U(1) << U(k)  # the mask of row r gains language k
-        fill = [float((self.table >> U(k) & U(1)).mean()) for k in range(len(languages))]
+                self.table[k // 64, r] |= U(1) << U(k % 64)  # the mask of row r gains language k
+        fill = [float((self.table[k // 64] >> U(k % 64) & U(1)).mean()) for k in range(len(languages))]
         self.false_rate = np.array([f**PROBES for f in fill])
 
     def places(self, g: np.ndarray) -> Iterator[np.ndarray]:
@@ -98,14 +103,15 @@ class Filters:
             yield ((g * GRAM[8 + p]) >> U(20)) % U(self.rows)
 
     def masks(self, g: np.ndarray) -> np.ndarray:
-        """The languages of each n-gram, as a bitmask."""
+        """The languages of each n-gram, as bitmasks: a row of them for every 64 languages."""
         places = self.places(g)
-        out = self.table[next(places)]
+        out = self.table[:, next(places)]
         for r in places:
-            out &= self.table[r]
+            out &= self.table[:, r]
         return out
 
-    def judge(self, texts: list[str]) -> list[tuple[str, float]]:
+    def judge(self, texts: list[str]) -> list[tuple[str, float, bool]]:
+        """(language, its part of all popcounts, whether it may be in no language after all) of each text."""
         has_letter = [any(map(str.isalpha, t)) for t in texts]
         counts = np.zeros((len(texts), len(self.languages)))
         total = np.zeros(len(texts))
@@ -114,24 +120,23 @@ class Filters:
                 m = self.masks(g)
                 total[lo:hi] += np.bincount(owner, minlength=hi - lo)
                 for k in range(len(self.languages)):
-                    counts[lo:hi, k] += np.bincount(owner, weights=(m >> U(k) & U(1)).astype(float), minlength=hi - lo)
+                    counts[lo:hi, k] += np.bincount(owner, weights=(m[k // 64] >> U(k % 64) & U(1)).astype(float), minlength=hi - lo)
         true = np.maximum(0, (counts - total[:, None] * self.false_rate) / (1 - self.false_rate)) if self.languages else counts
         out = []
-        for ok, row in zip(has_letter, true, strict=True):
+        for ok, row, n in zip(has_letter, true, total, strict=True):
             if not ok or not self.languages:
-                out.append((UNDECIDED, 0.0))
-            elif row.sum() <= 0:
-                out.append((self.fallback, 0.0))
-            else:
-                k = int(row.argmax())
-                out.append((self.languages[k], float(row[k] / row.sum())))
+                out.append((UNDECIDED, 0.0, True))
+                continue
+            k = int(row.argmax())
+            foreign = n >= LEAST_GRAMS and row[k] < LEAST_KNOWN * n
+            out.append((self.languages[k], float(row[k] / row.sum()), foreign) if row[k] > 0 else (self.fallback, 0.0, foreign))
         return out
 
 
 def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, rows: int = ROWS) -> Filters:
     """Filters from rows with text and lang; about train_docs rows a language at most, chosen by a hash of doc_id."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many rows as languages
     languages = sorted(sizes)
     if not languages:
         return Filters([], None, {}, rows)
@@ -172,7 +177,7 @@ def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id
         for batch in slices(batches):
             found = held.value.judge([t or "" for t in batch.column(len(keep)).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
+                [*batch.columns[: len(keep)], pa.array([x for x, _, _ in found], pa.string()), pa.array([s for _, s, _ in found], pa.float64())],
                 names=[*keep, "lang_pred", "score"],
             )
 
@@ -180,14 +185,14 @@ def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id
     return docs.select(*keep, "text").mapInArrow(judge, f"{head}, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, filters: Filters, least_score: float = LEAST_SCORE, languages: tuple[str, ...] | None = None) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is in one of the languages (null: any learned one) by at least least_score."""
+def accepted(docs: DataFrame, filters: Filters, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in one of the languages (null: any learned one)."""
     held = docs.sparkSession.sparkContext.broadcast(filters)
     column = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = held.value.judge([t or "" for t in batch.column(column).to_pylist()])
-            yield batch.filter(pa.array([x != UNDECIDED and s >= least_score and (languages is None or x in languages) for x, s in found], pa.bool_()))
+            yield batch.filter(pa.array([x != UNDECIDED and not foreign and (languages is None or x in languages) for x, _, foreign in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

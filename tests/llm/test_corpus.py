@@ -203,7 +203,9 @@ def test_components_of_paths_and_stars(spark):
 
 def test_languages(docs, none, spark):
     filters = langid.train(docs.where("doc_id % 4 <> 2"), rows=1 << 14)
-    got = by_id(langid.identify(docs, filters))
+    again = docs.select("text", "doc_id", F.lit("z").alias("score"), F.lit(1).alias("lang_pred")).unionAll(docs.select("text", "doc_id", F.lit("z"), F.lit(1)))
+    got = by_id(langid.identify(again, filters))
+    assert all(len(x) == 1 for d, x in got.items() if d < 60)
     right = [got[r[0]] for r in corpus() if r[1] and len(r[1]) > 200 and r[0] % 4 == 2]
     truth = [r[2] for r in corpus() if r[1] and len(r[1]) > 200 and r[0] % 4 == 2]
     assert all({x for x, _ in g} == {t} for g, t in zip(right, truth, strict=True))
@@ -217,9 +219,21 @@ def test_languages(docs, none, spark):
 
 def test_filters_return_every_language_of_a_gram():
     grams = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    one = np.uint64(1)
     f = langid.Filters(["a", "b"], "a", {"a": grams[:200], "b": grams[100:300]}, rows=1 << 12)
-    assert (f.masks(grams[:200]) & np.uint64(1) == 1).all() and (f.masks(grams[100:300]) >> np.uint64(1) & np.uint64(1) == 1).all()
+    assert (f.masks(grams[:200])[0] & one == 1).all() and (f.masks(grams[100:300])[0] >> one & one == 1).all()
     assert (f.masks(grams[300:]) == 0).mean() > 0.9
+    names = [f"l{k:03d}" for k in range(150)]
+    many = langid.Filters(names, "l000", {x: grams[k : k + 3] for k, x in enumerate(names)})
+    for k in (0, 63, 64, 149):
+        assert (many.masks(grams[k : k + 3])[k // 64] >> np.uint64(k % 64) & one == 1).all()
+
+
+def test_only_texts_of_no_known_language_are_turned_away(docs, spark):
+    filters = langid.train(docs.where("doc_id % 4 <> 2"), rows=1 << 14)
+    rng = random.Random(4)
+    data = [(1, prose(rng, "en", 300)), (2, "\u4e00\u4e8c\u4e09\u56db\u4e94" * 40), (3, "xq"), (4, f"{prose(rng, 'fr', 40)} {prose(rng, 'en', 40)}"), (5, "12 34"), (6, " ".join("".join(rng.choices("qxzwjk", k=6)) for _ in range(60)))]
+    assert {r.doc_id for r in langid.accepted(spark.createDataFrame(data, "doc_id bigint, text string"), filters).collect()} == {1, 3, 4}
 
 
 # secrets
@@ -462,12 +476,35 @@ def test_planted_passages(docs, none, spark):
     for size in (500_000, 30):
         got = {(r.doc_id, r.item_id) for r in decontam.matches(df, bench, block_words=size).collect()}
         assert {p for p in got if p[1] != 4} == {(1000, 1), (1001, 0), (1003, 3)} and (1004, 4) in got
+    assert not [r for r in decontam.matches(df, bench, least_words=4).collect() if r.item_id == 4]
+    twice = spark.createDataFrame([(1, items[1][1], "x", 1), (1, items[1][1], "x", 1)], "doc_id bigint, text string, item_id string, n_equal int")
+    assert [tuple(r)[:2] for r in decontam.matches(twice, bench).where("item_id = 1").collect()] == [(1, 1)] * 2 and decontam.clean(twice, bench).count() == 0
     assert decontam.matches(none, bench).count() == 0 and decontam.matches(df, bench.limit(0)).count() == 0
     long = bench.where("item_id < 3")
     kept = decontam.clean(docs, long)
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcdef"), max_size=30), min_size=1, max_size=5), st.lists(st.lists(st.sampled_from("abcdef"), max_size=16), min_size=1, max_size=4))
+def test_overlaps_equal_brute_force(texts, items):
+    """Every alignment of every item with every text, window by window."""
+    index = decontam.Index([(k, " ".join(w)) for k, w in enumerate(items)], 6, 3, 2)
+    h, _, _, at = decontam.words_of([" ".join(w).encode() for w in texts], decontam._APART)
+    want = defaultdict(dict)
+    for t, text in enumerate(texts):
+        for k, item in enumerate(items):
+            width = min(6, len(item))
+            if width < 2:
+                continue
+            for start in range(-len(item) + 1, len(text)):
+                same = [text[start + j] == item[j] if 0 <= start + j < len(text) else None for j in range(len(item))]
+                ok = any(None not in same[j : j + width] and sum(same[j : j + width]) >= width - width // 3 for j in range(len(item) - width + 1))
+                if ok:
+                    want[t][k] = max(want[t].get(k, (0, 0)), (sum(x is True for x in same), max(0, start)))
+    assert index.find(h, at) == want
+
+
 # packing
 
 
