@@ -20,8 +20,8 @@ member beside its own. What the parts leave apart from the key's largest group i
 compared with all of the key, block by block; so a large group that hangs together costs
 two passes, and only members that are alike but not linked cost the square.
 
-Mappers keep one entry per cell and batch and send packed arrays, one row for each
-bucket, so a cell shared by many documents reaches a task once per batch.
+Mappers gather entries, keep one per cell and send packed arrays, one row for each
+bucket, so a cell shared by many documents reaches a task a few times.
 
 Defined cases: null texts and texts without words have an empty set and stay alone;
 fewer words than a shingle make one shingle; rows repeated under one doc_id are rows of
@@ -55,6 +55,8 @@ UNIT = 1024
 UNIT_SHINGLES = 1 << 18
 #: Shingles whose cells meet in one bucket, about.
 BUCKET_SHINGLES = 1 << 21
+#: Cell entries that a task gathers, each cell once, before it sends them on.
+PACKED_ENTRIES = 400_000
 #: Sets whose 64-bit names clash that are told to all tasks at most.
 MOST_CLASHES = 10_000
 #: Ids of documents, 8 or 16 bytes each, that are broadcast at most; with more of them the texts are exchanged.
@@ -176,38 +178,43 @@ def shared_cells(docs: DataFrame, size: int, t: Fraction, names: dict[tuple[int,
     """(cell, sig): the nodes of every cell that holds more than one, each once."""
     n_buckets = max(8 * buckets(docs.sparkSession), shingles // BUCKET_SHINGLES)
 
+    def packed(keys: list[np.ndarray], sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        k, s = _sorted_entries(np.concatenate(keys), np.concatenate(sigs))
+        start, length = _runs(k)
+        multi = np.repeat(length > 1, length)
+        # One entry a cell goes on; cells shared within the entries at hand are told at once.
+        for local, (kk, ss) in enumerate(((k[start], s[start]), (k[multi], s[multi]))):
+            bucket = (kk % U(n_buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            at, count = _runs(bucket[order])
+            kk, ss = kk[order], ss[order]
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(bucket[order][at].astype(np.int32)),
+                        pa.array(np.full(len(at), bool(local))),
+                        pa.array([kk[i : i + c].tobytes() for i, c in zip(at, count, strict=True)], pa.binary()),
+                        pa.array([ss[i : i + c].tobytes() for i, c in zip(at, count, strict=True)], pa.binary()),
+                    ],
+                    names=["bucket", "known", "cells", "sigs"],
+                )
+
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sigs = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-            seen = set()
-            for s in (s for part in slices([batch]) for s in shingle_sets(as_bytes(part.column(0), lower=True), size)):
-                sig = signature(s, bits)
-                sig = names.get(sig, sig[0])
-                if not len(s) or sig in seen:
-                    continue
-                seen.add(sig)
-                for k in cell_keys(s, t):
-                    keys.append(k)
-                    sigs.append(np.full(len(k), sig, dtype=np.int64))
-            k, s = _sorted_entries(np.concatenate(keys), np.concatenate(sigs))
-            start, length = _runs(k)
-            multi = np.repeat(length > 1, length)
-            # One entry a cell goes on; cells shared within the batch are told at once.
-            for local, (kk, ss) in enumerate(((k[start], s[start]), (k[multi], s[multi]))):
-                bucket = (kk % U(n_buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                at, count = _runs(bucket[order])
-                kk, ss = kk[order], ss[order]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(bucket[order][at].astype(np.int32)),
-                            pa.array(np.full(len(at), bool(local))),
-                            pa.array([kk[i : i + c].tobytes() for i, c in zip(at, count, strict=True)], pa.binary()),
-                            pa.array([ss[i : i + c].tobytes() for i, c in zip(at, count, strict=True)], pa.binary()),
-                        ],
-                        names=["bucket", "known", "cells", "sigs"],
-                    )
+        keys, sigs, held, seen = [], [], 0, set()
+        for s in (s for part in slices(batches) for s in shingle_sets(as_bytes(part.column(0), lower=True), size)):
+            sig = signature(s, bits)
+            sig = names.get(sig, sig[0])
+            if not len(s) or sig in seen:
+                continue
+            seen.add(sig)
+            keys.append(np.concatenate(list(cell_keys(s, t))))
+            sigs.append(np.full(len(keys[-1]), sig, dtype=np.int64))
+            held += len(keys[-1])
+            if held > PACKED_ENTRIES:
+                yield from packed(keys, sigs)
+                keys, sigs, held, seen = [], [], 0, set()
+        if keys:
+            yield from packed(keys, sigs)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(rows):
@@ -237,8 +244,8 @@ def shared_cells(docs: DataFrame, size: int, t: Fraction, names: dict[tuple[int,
         if held:
             yield told(held)
 
-    packed = docs.select("text").mapInArrow(entries, "bucket int, known boolean, cells binary, sigs binary")
-    dealt = packed.repartition(buckets(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    sent = docs.select("text").mapInArrow(entries, "bucket int, known boolean, cells binary, sigs binary")
+    dealt = sent.repartition(buckets(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(meet, "cell bigint, sig bigint")
 
 
