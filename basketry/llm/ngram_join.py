@@ -11,9 +11,10 @@ coordinate minima can reach the overlap its sizes ask for.
 
 Equal sets are one node from the start. Only linked groups are wanted, so no task ever
 sends pairs: inside a cell the bounds join members to a forest (at most members - 1
-rows), the components of all forests are crowds that a link can't leave, and each
-node's shingle set travels once to its crowd, where exact overlaps from the crowd's
-postings give the forest of true links.
+rows), the components of all forests are crowds that a link can't leave. In a crowd each
+node's finer vector, whose length follows its set, bounds again and splits it, and each
+node's shingle set travels once to what is left, where exact overlaps from postings give
+the forest of true links.
 
 A key (cell or crowd) above the limit is dealt to parts, each with the key's least
 member beside its own. What the parts leave apart from the key's largest group is then
@@ -115,6 +116,12 @@ def coarse_vector(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((mix(s) >> U(58)).astype(np.int64), minlength=COARSE), 255).astype(np.uint8).tobytes()
 
 
+def fine_vector(s: np.ndarray) -> bytes:
+    """Counts by a power of two of groups, 64 at least and one for each 8 to 16 shingles: where sets are large a coarse vector bounds nothing."""
+    bits = max(6, (len(s) // 8).bit_length() - 1)
+    return np.minimum(np.bincount((mix(s) >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
 def most_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Bound on the overlap of points a[i] and b[j]: the sum of coordinate minima (full bytes bound nothing)."""
     least = np.minimum(a[:, None, :], b[None, :, :]).sum(axis=2, dtype=np.int64)
@@ -137,19 +144,20 @@ def linked(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
 
 
 def nodes(docs: DataFrame, size: int, bits: int = 64) -> DataFrame:
-    """(doc_id, n, sig, check, vec) of each row's shingle set."""
+    """(doc_id, n, sig, check, vec, fine) of each row's shingle set."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            n, sig, vec = [], [], []
+            n, sig, vec, fine = [], [], [], []
             for s in shingle_sets(as_bytes(batch.column(1), lower=True), size):
                 n.append(len(s))
                 sig.append(signature(s, bits))
                 vec.append(coarse_vector(s))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array([x for x, _ in sig], pa.int64()), pa.array([x for _, x in sig], pa.int64()), pa.array(vec, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "check", "vec"])
+                fine.append(fine_vector(s) if len(s) >= 16 * COARSE else vec[-1])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array([x for x, _ in sig], pa.int64()), pa.array([x for _, x in sig], pa.int64()), pa.array(vec, pa.binary()), pa.array(fine, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "check", "vec", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(name, "doc_id bigint, n bigint, sig bigint, check bigint, vec binary")
+    return docs.select("doc_id", "text").mapInArrow(name, "doc_id bigint, n bigint, sig bigint, check bigint, vec binary, fine binary")
 
 
 def clashes(named: DataFrame) -> dict[tuple[int, int], int]:
@@ -306,6 +314,42 @@ def bounded_links(table: pa.Table, start: np.ndarray, t: Fraction) -> list[np.nd
     return out
 
 
+def fine_links(table: pa.Table, start: np.ndarray, t: Fraction) -> list[np.ndarray]:
+    """Pairs of rows that join the groups of each unit of (..., sig, grp, left, n, fine), by sizes and fine vectors; of two lengths the longer is folded."""
+    p, q = t.numerator, t.denominator
+    grp, left, n, raw = table.column("grp").to_numpy(), table.column("left").to_numpy(), table.column("n").to_numpy(), table.column("fine").to_pylist()
+    out = []
+    for a, z in zip(start, np.append(start[1:], len(grp)), strict=True):
+        if z - a < 2 or (grp[a:z] == grp[a]).all():
+            continue
+        width = np.array([len(x) for x in raw[a:z]])
+        vectors = {w: np.frombuffer(b"".join(x for x in raw[a:z] if len(x) == w), dtype=np.uint8).reshape(-1, w) for w in np.unique(width).tolist()}
+        rows = {w: np.flatnonzero(width == w) for w in vectors}
+        full = {w: (v == 255).any(axis=1) for w, v in vectors.items()}
+        place = np.empty(z - a, dtype=np.int64)
+        for r in rows.values():
+            place[r] = np.arange(len(r))
+
+        def folded(v: np.ndarray, w: int) -> np.ndarray:
+            return v.reshape(*v.shape[:-1], w, -1).sum(axis=-1, dtype=np.int32)
+
+        def pivots(n=n[a:z], mine=np.flatnonzero(left[a:z]), width=width, vectors=vectors, rows=rows, full=full, place=place) -> Iterator[tuple[int, np.ndarray]]:
+            for i in mine.tolist():
+                own, found = vectors[width[i]][place[i]], [np.zeros(0, np.int64)]
+                for w, v in vectors.items():
+                    near = np.flatnonzero(q * np.minimum(n[i], n[rows[w]]) >= p * np.maximum(n[i], n[rows[w]]))
+                    if not len(near):
+                        continue
+                    g = min(w, int(width[i]))
+                    least = np.minimum(folded(own, g), folded(v[near], g)).sum(axis=1)
+                    unbounded = full[w][near] & full[width[i]][place[i]]
+                    found.append(rows[w][near[unbounded | ((p + q) * least >= p * (n[i] + n[rows[w][near]]))]])
+                yield i, np.concatenate(found)
+
+        out.append(np.array(forest(grp[a:z], pivots()), dtype=np.int64).reshape(-1, 2) + a)
+    return out
+
+
 def exact_links(table: pa.Table, start: np.ndarray, t: Fraction) -> list[np.ndarray]:
     """Pairs of rows that join the groups of each unit of (..., sig, grp, left, set), by the overlaps of their shingle sets."""
     p, q = t.numerator, t.denominator
@@ -414,7 +458,16 @@ def crowds(cells: DataFrame, points: DataFrame, t: Fraction) -> DataFrame:
     rows = members.select(F.col("cell").alias("key"), "sig", F.lit(1).alias("weight"), "n", "vec")
     hot = kept.where(F.col("total") > UNIT).select(F.col("cell").alias("key"), "total", "hub")
     near = joining_links(rows, hot, UNIT, bounded_links, t, "near")
-    found = components(near).select(F.col("node").alias("sig"), F.col("component").alias("crowd"))
+    # Long sets differ little in a coarse vector: within the crowds each node's fine one tells more.
+    members = stored(points.select("sig", "n", "fine").join(_with_heads(components(near)), "sig"), "members")
+    rows = members.select(F.col("crowd").alias("key"), "sig", F.lit(1).alias("weight"), "n", "fine")
+    hot = members.groupBy(F.col("crowd").alias("key")).agg(F.count("*").alias("total"), F.min("sig").alias("hub")).where(F.col("total") > UNIT)
+    return _with_heads(components(joining_links(rows, hot, UNIT, fine_links, t, "nearer")))
+
+
+def _with_heads(found: DataFrame) -> DataFrame:
+    """(sig, crowd) of all nodes of the components, the least ones too."""
+    found = found.select(F.col("node").alias("sig"), F.col("component").alias("crowd"))
     return found.unionAll(found.select("crowd", "crowd").distinct())
 
 
@@ -452,7 +505,7 @@ def linked_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     if names:
         again = spark.createDataFrame([(*k, v) for k, v in names.items()], "sig bigint, check bigint, own bigint")
         named = stored(named.join(F.broadcast(again), ["sig", "check"], "left").withColumn("sig", F.coalesce("own", "sig")).drop("own"), "nodes")
-    points = stored(named.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec")), "points")
+    points = stored(named.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("fine").alias("fine")), "points")
     shingles = points.agg(F.sum("n")).first()[0] or 0
     cells = stored(shared_cells(docs, size, t, names, shingles, bits), "cells")
     crowd = crowds(cells, points, t)
