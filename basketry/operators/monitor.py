@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import half_even
 from basketry.operators.rules import RFM
+from basketry.operators.serve import TIERS
 from basketry.operators.snapshot import ACTIVE
 from basketry.params import DEFAULT, Params
 
@@ -45,16 +46,36 @@ def catalog_drift(before: DataFrame, after: DataFrame, p: Params = DEFAULT) -> D
     return counts.select("added", "removed", "kept", jaccard.alias("jaccard")).withColumn("alert", F.col("jaccard") < p.jaccard_alert)
 
 
+def overview(profiles: DataFrame, items: DataFrame, fallback: DataFrame) -> DataFrame:
+    """One row: customers known and active, items of the catalog, share of fallback rows in the lists (fallback: one row of `share`)."""
+    customers = profiles.agg(F.count("*").alias("total_known"), F.count_if(F.col("status") == ACTIVE).alias("total_active"))
+    return customers.join(items.agg(F.count("*").alias("catalog_size"))).join(fallback.select(F.col("share").alias("fallback_item_share")))
+
+
+def fallback_share(lists: DataFrame) -> DataFrame:
+    """One row: the share of list rows that aren't similar items; 0 without lists."""
+    counts = lists.agg(F.count("*").alias("n"), F.count_if(F.col("method") != TIERS[0]).alias("fell"))
+    return counts.select(F.when(F.col("n") > 0, half_even(F.col("fell") / F.col("n"), 4)).otherwise(0.0).alias("share"))
+
+
+def fallback_drift(before: DataFrame, after: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(before, after, change, alert): only a growing share of fallbacks asks for a look."""
+    one = before.select(F.col("share").alias("before")).join(after.select(F.col("share").alias("after")))  # single rows
+    change = half_even(F.col("after") - F.col("before"), 4)
+    return one.select("before", "after", change.alias("change"), (change > p.fallback_alert).alias("alert"))
+
+
 def percent(c: Column) -> Column:
     return F.format_string("%+.2f%%", c * 100)
 
 
-def alerts(medians: DataFrame, shares: DataFrame, items: DataFrame) -> DataFrame:
+def alerts(medians: DataFrame, shares: DataFrame, items: DataFrame, fallback: DataFrame) -> DataFrame:
     """(check, key, message) of every alert."""
     return (
         medians.where("alert").select(F.lit("median").alias("check"), F.col("measure").alias("key"), F.concat(F.lit("median changed by "), percent(F.coalesce("change", F.lit(0.0)))).alias("message"))
         .unionAll(shares.where("alert").select(F.lit("segment"), "segment_id", F.concat(F.lit("share changed by "), percent(F.col("change")))))
         .unionAll(items.where("alert").select(F.lit("catalog"), F.lit("jaccard"), F.format_string("similarity %.4f", "jaccard")))
+        .unionAll(fallback.where("alert").select(F.lit("fallback"), F.lit("share"), F.concat(F.lit("share increased by "), percent(F.col("change")))))
     )
 
 

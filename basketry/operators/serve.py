@@ -12,6 +12,13 @@ from basketry.params import DEFAULT, Params
 
 # Method names by tier.
 TIERS = ("item_cf", "segment_popularity", "global_popularity")
+# Reason codes and what they say.
+REASONS = (
+    ("similar_to_purchase_history", "Frequently bought together with "),
+    ("similar_to_purchase_history", "Based on products in your purchase history"),
+    ("popular_in_segment", "Popular among shoppers in your segment "),
+    ("popular_overall", "One of the most popular products among all shoppers"),
+)
 
 
 def fallback_lists(cf: DataFrame, customers: DataFrame, segment: DataFrame, world: DataFrame, owned: DataFrame, k: int, new_only: bool = False) -> DataFrame:
@@ -29,9 +36,10 @@ def fallback_lists(cf: DataFrame, customers: DataFrame, segment: DataFrame, worl
     if new_only:
         skips = owned.groupBy("customer_id").agg(F.count("*").alias("skip"))
         short = short.join(skips, "customer_id", "left").withColumn("reach", F.lit(2 * k) + F.coalesce("skip", F.lit(0)))
+        longest = 2 * k + (skips.agg(F.max("skip")).first()[0] or 0)  # by the histories alone, before any list is made
     else:
         short = short.withColumn("reach", F.lit(2 * k))
-    longest = short.agg(F.max("reach")).first()[0] or 0
+        longest = 2 * k
     seg = top_ranked(segment, longest, ("segment_id",)).select("segment_id", "stock_code", "score", F.col("rank").alias("place"))
     all_ = top_ranked(world, longest).select("stock_code", "score", F.col("rank").alias("place"))
     places = short.withColumn("place", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("reach").cast("bigint"))))
@@ -64,20 +72,29 @@ def response_status(lists: DataFrame, customers: DataFrame, n_items: DataFrame,
     return joined.select("customer_id", n.alias("returned_k"), status.alias("status"))
 
 
-def explained(lists: DataFrame, backers: DataFrame, names: DataFrame) -> DataFrame:
-    """The lists with descriptions, reasons and the supporting codes of similar items."""
-    codes = F.when(F.col("method") == TIERS[0], F.col("supporters"))
-    named = lists.join(backers, ["customer_id", "stock_code"], "left").join(names, "stock_code", "left")
+def explained(lists: DataFrame, backers: DataFrame, names: DataFrame, segments: DataFrame) -> DataFrame:
+    """The lists with descriptions, reasons and the supporting codes of similar items, whose descriptions the reason tells.
+
+    names: (stock_code, description); segments: (customer_id, segment_id).
+    """
+    similar = lists.where(F.col("method") == TIERS[0]).select("customer_id", "stock_code").join(backers, ["customer_id", "stock_code"])
+    each = similar.select("customer_id", "stock_code", "supporters", F.posexplode("supporters").alias("place", "seed"))
+    spoken = each.join(names.select(F.col("stock_code").alias("seed"), F.col("description").alias("spoken")), "seed", "left")
+    spoken = spoken.groupBy("customer_id", "stock_code").agg(F.first("supporters").alias("supporters"), F.array_sort(F.collect_list(F.struct("place", F.coalesce("spoken", "seed").alias("name")))).alias("told"))
+    named = lists.join(spoken, ["customer_id", "stock_code"], "left").join(names, "stock_code", "left").join(segments.select("customer_id", "segment_id"), "customer_id", "left")
+    is_similar, in_segment = F.col("method") == TIERS[0], F.col("method") == TIERS[1]
+    by_history = F.when(F.size("told") > 0, F.concat(F.lit(REASONS[0][1]), F.array_join(F.transform("told", lambda x: x["name"]), ", "))).otherwise(REASONS[1][1])
+    text = F.when(is_similar, by_history).when(in_segment, F.concat(F.lit(REASONS[2][1]), F.lit("("), "segment_id", F.lit(")"))).otherwise(REASONS[3][1])
     return named.select(
         "customer_id", "rank", "stock_code", F.coalesce("description", "stock_code").alias("description"), "score", "method",
-        F.when(F.col("method") == TIERS[0], F.concat(F.lit("Frequently bought together with "), F.array_join("supporters", ", "))).otherwise(F.lit("popular_overall")).alias("reason"),
-        json_codes(codes).alias("supporting_codes"), (F.col("method") != TIERS[0]).alias("is_fallback"),
+        F.when(is_similar, REASONS[0][0]).when(in_segment, REASONS[2][0]).otherwise(REASONS[3][0]).alias("reason_code"), text.alias("reason"),
+        json_codes(F.when(is_similar, F.col("supporters"))).alias("supporting_codes"), (~is_similar).alias("is_fallback"),
     )
 
 
 def csv_rows(named: DataFrame) -> DataFrame:
     """Export rows whose texts no spreadsheet takes for formulas."""
-    return named.select("customer_id", "rank", formula_safe(F.col("stock_code")).alias("stock_code"), formula_safe(F.col("description")).alias("description"), "method", formula_safe(F.col("reason")).alias("reason"), "supporting_codes")
+    return named.select("customer_id", "rank", formula_safe(F.col("stock_code")).alias("stock_code"), formula_safe(F.col("description")).alias("description"), "method", "reason_code", formula_safe(F.col("reason")).alias("reason"), "supporting_codes")
 
 
 def cf_scores_for(pairs: DataFrame, scored: DataFrame, new_only: bool) -> DataFrame:
@@ -96,4 +113,26 @@ def request(customer_id: str, top_k: int = DEFAULT.k, mode: str = "repeat_allowe
     return cid, top_k, mode
 
 
-__all__ = ["TIERS", "Params", "cf_scores_for", "csv_rows", "explained", "fallback_lists", "global_lists", "request", "response_status"]
+def answers(requests: DataFrame, profiles: DataFrame, named: DataFrame, world: DataFrame, names: DataFrame) -> DataFrame:
+    """One row a request (customer_id, top_k): who asks, the status, and the items up to top_k.
+
+    profiles: (customer_id, status, segment_id, segment_label); named: `explained` lists of
+    known customers, as long as the longest request; an unknown customer gets the global list.
+    """
+    asked = requests.join(profiles.select("customer_id", F.col("status").alias("customer_status"), "segment_id", "segment_label"), "customer_id", "left").withColumn("customer_status", F.coalesce("customer_status", F.lit("unknown_customer")))
+    columns = ["rank", "stock_code", "description", "score", "method", "reason_code", "reason", "supporting_codes", "is_fallback"]
+    strangers = asked.where("customer_status = 'unknown_customer'").select("customer_id")
+    top = top_ranked(world, 20).join(names, "stock_code", "left")  # the longest list that may be asked for
+    theirs = strangers.join(F.broadcast(top)).select(
+        "customer_id", "rank", "stock_code", F.coalesce("description", "stock_code").alias("description"), F.col("score").cast("double").alias("score"), F.lit(TIERS[2]).alias("method"),
+        F.lit(REASONS[3][0]).alias("reason_code"), F.lit(REASONS[3][1]).alias("reason"), F.lit("[]").alias("supporting_codes"), F.lit(True).alias("is_fallback"),
+    )
+    items = named.select("customer_id", *columns).unionByName(theirs)
+    rows = asked.join(items, "customer_id", "left").withColumn("rank", F.when(F.col("rank") <= F.col("top_k"), F.col("rank")))
+    per = rows.groupBy(*asked.columns).agg(F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct(*columns)))).alias("items"))
+    n, fell = F.size("items"), F.size(F.filter("items", lambda x: x["is_fallback"]))
+    status = F.when(n == 0, "empty_catalog").when(n < F.col("top_k"), "insufficient_catalog").when(fell == n, "fallback_only").otherwise("ok")
+    return per.select("customer_id", "customer_status", "segment_id", "segment_label", "top_k", n.alias("returned_k"), status.alias("status"), fell.alias("fallback_count"), "items")
+
+
+__all__ = ["REASONS", "TIERS", "Params", "answers", "cf_scores_for", "csv_rows", "explained", "fallback_lists", "global_lists", "request", "response_status"]

@@ -10,6 +10,8 @@ CUTOFFS = {"early": "1996-01-01", "validation": "2000-12-04", "test": "2001-01-0
 
 @dataclass(frozen=True)
 class Params:
+    """Windows, thresholds and sizes of the analytics."""
+
     rfm_days: int = 180
     popular_days: int = 90
     future_days: int = 28
@@ -19,7 +21,7 @@ class Params:
     k: int = 10
     supporters: int = 3
     merchandise: str = "^[0-9]{5}[A-Z]?$"
-    bootstraps: int = 200
+    bootstraps: int = 1000
     least_share: float = 0.03
     least_ari: float = 0.80
     least_silhouette: float = 0.30

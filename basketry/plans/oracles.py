@@ -52,7 +52,7 @@ idfs AS (SELECT stock_code, n_buyers, ln(((SELECT count(*) FROM rfm) + 1) / (n_b
 contrib AS (SELECT p.customer_id, p.stock_code AS seed, n.neighbour AS stock_code, n.sim FROM pairs p JOIN near n ON p.stock_code = n.seed),
 cand AS (SELECT c.customer_id, c.stock_code, round_even(sum(sim) / any_value(s.n_seeds) * 1e10, 0) / 1e10 AS score FROM contrib c JOIN (SELECT customer_id, count(*) AS n_seeds FROM pairs GROUP BY customer_id) s ON c.customer_id = s.customer_id GROUP BY c.customer_id, c.stock_code),
 candnew AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.customer_id = c.customer_id AND o.stock_code = c.stock_code)),
-backers AS (SELECT customer_id, stock_code, string_agg(seed, ', ' ORDER BY place) AS supporters FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, stock_code ORDER BY round(sim, 12) DESC, seed) AS place FROM contrib) WHERE place <= 3 GROUP BY customer_id, stock_code),
+backers AS (SELECT customer_id, b.stock_code, string_agg(seed, ', ' ORDER BY place) AS supporters, string_agg(coalesce(n.description, seed), ', ' ORDER BY place) AS spoken FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, stock_code ORDER BY round(sim, 12) DESC, seed) AS place FROM contrib) b LEFT JOIN names n ON n.stock_code = seed WHERE place <= 3 GROUP BY customer_id, b.stock_code),
 topworld AS (SELECT stock_code, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, stock_code) AS rank FROM world)),
 chain AS (SELECT customer_id, 0 AS tier, stock_code, score FROM cand UNION ALL SELECT a.customer_id, 1, s.stock_code, CAST(s.score AS DOUBLE) FROM assigned a JOIN seg s ON a.segment_id = s.segment_id UNION ALL SELECT a.customer_id, 2, w.stock_code, CAST(w.score AS DOUBLE) FROM assigned a CROSS JOIN world w),
 chainnew AS (SELECT * FROM chain c WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.customer_id = c.customer_id AND o.stock_code = c.stock_code)),
@@ -127,6 +127,8 @@ _BOOT = f"""SELECT {', '.join(f"{_r(f'quantile_cont({c}, {q})', 6)} AS {c}_{n}"
 
 _DISTANCE = "sqrt(pow({a}.r - {b}.r, 2) + pow({a}.f - {b}.f, 2) + pow({a}.m - {b}.m, 2))"
 _RULED = "(SELECT z.*, a.segment_id AS cluster FROM zs z JOIN assigned a ON z.customer_id = a.customer_id)"
+_FELL = "(SELECT " + _r("count(*) FILTER (method <> 'item_cf') / count(*)", 4) + " FROM {})"
+_DRIFT_FALL = f"""(SELECT *, change > 0.10 AS alert FROM (SELECT b AS before, a AS after, {_r('a - b', 4)} AS change FROM (SELECT {_FELL.format('lists_0')} AS b, {_FELL.format('lists')} AS a)))"""
 _DRIFT_RFM = f"""(SELECT b.measure, b.median AS before, a.median AS after, CASE WHEN b.median <> 0 THEN {_r('(a.median - b.median) / b.median', 4)} END AS change,
   CASE WHEN b.median <> 0 THEN abs((a.median - b.median) / b.median) > 0.25 ELSE abs(a.median - b.median) > 0.01 END AS alert FROM summ_0 b JOIN summ a ON a.measure = b.measure)"""
 _DRIFT_SEG = f"""(SELECT coalesce(b.segment_id, a.segment_id) AS segment_id, coalesce(b.share, 0.0) AS before, coalesce(a.share, 0.0) AS after, {_r('coalesce(a.share, 0.0) - coalesce(b.share, 0.0)', 4)} AS change,
@@ -167,7 +169,7 @@ ORACLE_SQL: dict[str, str] = {
     "item_idf": _sql(f"SELECT stock_code, n_buyers, {_r('idf', 8)} AS idf FROM idfs"),
     "item_tfidf_neighbors": _sql(f"SELECT seed, neighbour, {_r('sim', 10)} AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(sim, 12) DESC, neighbour) AS rank FROM sides JOIN idfs ON idfs.stock_code = seed WHERE idf * n_both >= 2) WHERE rank <= 50", "early"),
     "cf_candidate_scores": _sql(f"SELECT customer_id, stock_code, {_r('score', 8)} AS score FROM cand", "early"),
-    "cf_supporters": _sql("SELECT * FROM backers", "early"),
+    "cf_supporters": _sql("SELECT customer_id, stock_code, supporters FROM backers", "early"),
     "cf_topk_repeat": _sql(_TOP.format("cand")),
     "cf_topk_new_items": _sql(_TOP.format("candnew")),
     "recs_with_fallback": _sql(_LIST + "lists"),
@@ -176,9 +178,13 @@ ORACLE_SQL: dict[str, str] = {
     "recs_segment_popularity": _sql(_LIST + "listsseg", "early"),
     "recs_unknown_customers": _sql("SELECT customer_id, rank, stock_code, CAST(score AS DOUBLE) AS score, 'global_popularity' AS method FROM (SELECT DISTINCT customer_id FROM t_cold_start) CROSS JOIN topworld WHERE rank <= 10", "early"),
     "response_status": _sql("SELECT r.customer_id, coalesce(n, 0) AS returned_k, CASE WHEN (SELECT count(*) FROM items) = 0 THEN 'empty_catalog' WHEN coalesce(n, 0) < 10 THEN 'insufficient_catalog' WHEN NOT coalesce(personal, FALSE) THEN 'fallback_only' ELSE 'ok' END AS status FROM rfm r LEFT JOIN (SELECT customer_id, count(*) AS n, bool_or(method = 'item_cf') AS personal FROM lists GROUP BY customer_id) l ON r.customer_id = l.customer_id", "early"),
-    "recs_csv_safe": _sql("""SELECT customer_id, rank, CASE WHEN substr(stock_code, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || stock_code ELSE stock_code END AS stock_code, CASE WHEN substr(description, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || description ELSE description END AS description, method, reason, supporting_codes FROM (
-  SELECT l.customer_id, l.rank, l.stock_code, coalesce(n.description, l.stock_code) AS description, l.method, CASE WHEN l.method = 'item_cf' THEN 'Frequently bought together with ' || b.supporters ELSE 'popular_overall' END AS reason,
-  CASE WHEN l.method = 'item_cf' THEN '["' || replace(b.supporters, ', ', '", "') || '"]' ELSE '[]' END AS supporting_codes FROM lists l LEFT JOIN backers b ON l.customer_id = b.customer_id AND l.stock_code = b.stock_code LEFT JOIN names n ON n.stock_code = l.stock_code)""", "early"),
+    "recs_csv_safe": _sql("""SELECT customer_id, rank, CASE WHEN substr(stock_code, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || stock_code ELSE stock_code END AS stock_code, CASE WHEN substr(description, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || description ELSE description END AS description, method, reason_code, reason, supporting_codes FROM (
+  SELECT l.customer_id, l.rank, l.stock_code, coalesce(n.description, l.stock_code) AS description, l.method, CASE l.method WHEN 'item_cf' THEN 'similar_to_purchase_history' WHEN 'segment_popularity' THEN 'popular_in_segment' ELSE 'popular_overall' END AS reason_code,
+  CASE l.method WHEN 'item_cf' THEN 'Frequently bought together with ' || b.spoken WHEN 'segment_popularity' THEN 'Popular among shoppers in your segment (' || a.segment_id || ')' ELSE 'One of the most popular products among all shoppers' END AS reason,
+  CASE WHEN l.method = 'item_cf' THEN '["' || replace(b.supporters, ', ', '", "') || '"]' ELSE '[]' END AS supporting_codes FROM lists l LEFT JOIN backers b ON l.customer_id = b.customer_id AND l.stock_code = b.stock_code LEFT JOIN names n ON n.stock_code = l.stock_code LEFT JOIN assigned a ON a.customer_id = l.customer_id)""", "early"),
+    "segment_shares": _sql("SELECT * FROM shares"),
+    "snapshot_overview": _sql(f"SELECT (SELECT count(*) FROM rfm) AS total_known, (SELECT count(*) FROM rfm WHERE status = 'known_active') AS total_active, (SELECT count(*) FROM items) AS catalog_size, {_FELL.format('lists')} AS fallback_item_share", "early"),
+    "drift_fallback": _sql(f"SELECT * FROM {_DRIFT_FALL}", "early", "test"),
     "customer_profile_lookup": _sql("SELECT customer_id, recency_days, frequency_invoices, monetary_gbp, status, segment_id, segment_label FROM assigned"),
     "cohort_counts": _sql(" UNION ALL ".join(f"SELECT '{c}' AS cohort, count(DISTINCT customer_id) AS n_customers, count(*) AS n_pairs FROM t_{c}" for c in ("primary", "cold_start", "new_product")), "early"),
     "cohort_primary_truth": _sql("SELECT * FROM t_primary"),
@@ -204,5 +210,6 @@ ORACLE_SQL: dict[str, str] = {
     "drift_segments": _sql(f"SELECT * FROM {_DRIFT_SEG}", "test", "early"),
     "drift_catalog": _sql(f"SELECT * FROM {_DRIFT_CAT}", "test", "early"),
     "drift_alerts": _sql(f"""SELECT count(*) AS n_alerts, coalesce(string_agg(c || ': ' || k || ': ' || message, '; ' ORDER BY c, k, message), '') AS alerts, count(*) > 0 AS requires_review FROM (SELECT 'median' AS c, measure AS k, 'median changed by ' || printf('%+.2f%%', coalesce(change, 0.0) * 100) AS message FROM {_DRIFT_RFM} WHERE alert
-  UNION ALL SELECT 'segment', segment_id, 'share changed by ' || printf('%+.2f%%', change * 100) FROM {_DRIFT_SEG} WHERE alert UNION ALL SELECT 'catalog', 'jaccard', printf('similarity %.4f', jaccard) FROM {_DRIFT_CAT} WHERE alert)""", "test", "early"),
+  UNION ALL SELECT 'segment', segment_id, 'share changed by ' || printf('%+.2f%%', change * 100) FROM {_DRIFT_SEG} WHERE alert UNION ALL SELECT 'catalog', 'jaccard', printf('similarity %.4f', jaccard) FROM {_DRIFT_CAT} WHERE alert
+  UNION ALL SELECT 'fallback', 'share', 'share increased by ' || printf('%+.2f%%', change * 100) FROM {_DRIFT_FALL.replace('lists_0', 'swap').replace('lists', 'lists_0').replace('swap', 'lists')} WHERE alert)""", "test", "early"),
 }

@@ -323,9 +323,9 @@ def response_status(spark, sf_dir):
 
 @query
 def recs_csv_safe(spark, sf_dir):
-    """A7, S17-S19."""
+    """A7, R8, S17-S19."""
     d = Data(spark, sf_dir, "early")
-    return serve.csv_rows(serve.explained(d.lists(), itemcf.supporters(d.pairs, d.neighbours()), d.names))
+    return serve.csv_rows(serve.explained(d.lists(), itemcf.supporters(d.pairs, d.neighbours()), d.names, d.assigned))
 
 
 @query
@@ -528,8 +528,31 @@ def drift_catalog(spark, sf_dir):
     return monitor.catalog_drift(d.at("early").items, d.items)
 
 
+def _fallback_drift(d: Data) -> DataFrame:
+    return monitor.fallback_drift(monitor.fallback_share(d.lists()), monitor.fallback_share(d.at("early").lists()))
+
+
+@query
+def drift_fallback(spark, sf_dir):
+    """From the test to the early cut-off, where lists fall back more."""
+    return _fallback_drift(Data(spark, sf_dir))
+
+
+@query
+def snapshot_overview(spark, sf_dir):
+    """D1."""
+    d = Data(spark, sf_dir, "early")
+    return monitor.overview(d.profiles, d.items, monitor.fallback_share(d.lists()))
+
+
+@query
+def segment_shares(spark, sf_dir):
+    """D1, G8."""
+    return monitor.segment_shares(Data(spark, sf_dir).assigned)
+
+
 @query
 def drift_alerts(spark, sf_dir):
-    """D2-D6, S20."""
+    """D2-D6, S20; the fallback check looks from the test to the early cut-off, so that it has something to tell."""
     d = Data(spark, sf_dir)
-    return monitor.report(monitor.alerts(drift_rfm(spark, sf_dir), drift_segments(spark, sf_dir), monitor.catalog_drift(d.at("early").items, d.items)))
+    return monitor.report(monitor.alerts(drift_rfm(spark, sf_dir), drift_segments(spark, sf_dir), monitor.catalog_drift(d.at("early").items, d.items), _fallback_drift(d)))

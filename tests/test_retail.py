@@ -154,3 +154,50 @@ def test_cluster_diagnostics(spark):
 def test_bad_requests(cid, k, mode):
     with pytest.raises(ValueError):
         serve.request(cid, k, mode)
+
+
+def test_rules_are_judged_above_the_aggregate(spark):
+    """A filter on the rule must not repeat the clean-up of texts below the aggregation."""
+    raw = spark.createDataFrame([line(), line(), line(price="0")], RAW)
+    other = spark.createDataFrame([("1", "x")], "InvoiceNo string, y string")
+    bought = clean.purchases(clean.classified(raw.join(other, "InvoiceNo").select(*RAW_COLUMNS)))
+    plan = bought._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert joins and not any("regexp_replace" in x for x in joins) and bought.count() == 1
+
+
+def test_concentration_counts_ties_once(spark):
+    df = spark.createDataFrame([buy(f"C{i:02d}", "10001", "2011-01-01 00:00:00", value=[100.0, 50.0, 50.0, 50.0][i] if i < 4 else 1.0) for i in range(20)], BOUGHT)
+    assert rows(clean.concentration(df, (0.1, 0.5))) == [(0.1, round(150 / 266, 4)), (0.5, round(256 / 266, 4))]
+
+
+def test_reasons_name_what_was_bought(spark):
+    lists = spark.createDataFrame([("A", 1, "10001", 0.5, "item_cf"), ("A", 2, "10002", 3.0, "segment_popularity"), ("A", 3, "10003", 1.0, "global_popularity")], "customer_id string, rank bigint, stock_code string, score double, method string")
+    backers = spark.createDataFrame([("A", "10001", ["10009", "10008"])], "customer_id string, stock_code string, supporters array<string>")
+    names = spark.createDataFrame([("10009", "red cup"), ("10001", "tea pot")], "stock_code string, description string")
+    segments = spark.createDataFrame([("A", "SG02")], "customer_id string, segment_id string")
+    got = {r["rank"]: r for r in serve.explained(lists, backers, names, segments).collect()}
+    assert (got[1].reason, got[1].supporting_codes, got[1].description) == ("Frequently bought together with red cup, 10008", '["10009", "10008"]', "tea pot")
+    assert (got[2].reason_code, got[2].reason) == ("popular_in_segment", "Popular among shoppers in your segment (SG02)")
+    assert (got[3].reason_code, got[3].description, got[3].is_fallback) == ("popular_overall", "10003", True)
+
+
+def test_answers_for_known_and_unknown_customers(spark):
+    profiles = spark.createDataFrame([("A", "known_active", "SG01", "x")], "customer_id string, status string, segment_id string, segment_label string")
+    lists = spark.createDataFrame([("A", r, f"1000{r}", 0.5, "item_cf" if r == 1 else "global_popularity") for r in (1, 2, 3)], "customer_id string, rank bigint, stock_code string, score double, method string")
+    names = spark.createDataFrame([("10001", "cup")], "stock_code string, description string")
+    backers = spark.createDataFrame([], "customer_id string, stock_code string, supporters array<string>")
+    world = spark.createDataFrame([("10001", 5), ("10002", 4)], "stock_code string, score bigint")
+    asked = spark.createDataFrame([("A", 2), ("Z", 2), ("Y", 5)], "customer_id string, top_k int")
+    named = serve.explained(lists, backers, names, profiles)
+    got = {r.customer_id: r for r in serve.answers(asked, profiles, named, world, names).collect()}
+    assert (got["A"].customer_status, got["A"].status, got["A"].returned_k, got["A"].fallback_count) == ("known_active", "ok", 2, 1)
+    assert (got["Z"].customer_status, got["Z"].status, [x.stock_code for x in got["Z"]["items"]]) == ("unknown_customer", "fallback_only", ["10001", "10002"])
+    assert got["Y"].status == "insufficient_catalog"
+    none = serve.answers(asked, profiles, named.limit(0), world.limit(0), names)
+    assert {r.status for r in none.collect()} == {"empty_catalog"}
+
+
+def test_fallback_drift_alerts_on_growth_only(spark):
+    low, high = (spark.createDataFrame([(x,)], "share double") for x in (0.1, 0.25))
+    assert rows(monitor.fallback_drift(low, high)) == [(0.1, 0.25, 0.15, True)] and rows(monitor.fallback_drift(high, low)) == [(0.25, 0.1, -0.15, False)]
