@@ -65,6 +65,12 @@ def summary(metrics: DataFrame, model: str) -> DataFrame:
     return metrics.agg(F.count("*").alias("n_users"), *means).select(F.lit(model).alias("model"), "n_users", *(f"mean_{c}" for c in ("ndcg", "recall", "precision", "hit")))
 
 
+def strongest(means: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """(model, mean_ndcg) of the best of a few models; of equals the first in order."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("model"))
+    return means.select("model", "mean_ndcg").orderBy(F.desc("mean_ndcg"), place).limit(1)
+
+
 def list_shares(lists: DataFrame, n_items: DataFrame) -> DataFrame:
     """Catalog coverage, share of fallback rows and share of customers with any similar item."""
     rows = lists.groupBy("customer_id").agg(F.count("*").alias("n"), F.count_if(F.col("method") != TIERS[0]).alias("fell"), F.max(F.col("method") == TIERS[0]).alias("personal"))

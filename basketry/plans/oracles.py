@@ -193,6 +193,7 @@ ORACLE_SQL: dict[str, str] = {
     "future_item_coverage": _sql(f"SELECT (SELECT count(*) FROM future) AS n_pairs, (SELECT count(*) FROM futin) AS n_in_catalog, CASE WHEN (SELECT count(*) FROM future) > 0 THEN {_r('(SELECT count(*) FROM futin) / (SELECT count(*) FROM future)', 4)} ELSE 0.0 END AS coverage"),
     "user_ranking_metrics": _sql(f"SELECT * FROM {_metrics('lists')}"),
     "model_comparison": _sql(" UNION ALL ".join(_means(x, n) for x, n in (("listspop", "GlobalPopularity"), ("listsseg", "SegmentPopularity"), ("lists", "ItemCF")))),
+    "strongest_baseline": _sql("SELECT model, mean_ndcg FROM (" + _means("listspop", "GlobalPopularity") + " UNION ALL " + _means("listsseg", "SegmentPopularity") + ") ORDER BY mean_ndcg DESC, model LIMIT 1"),
     "coverage_and_fallback": _sql(f"SELECT {_r('(SELECT count(DISTINCT stock_code) FROM lists) / (SELECT count(*) FROM items)', 4)} AS coverage, {_r('(SELECT count(*) FROM lists WHERE method <> ' + chr(39) + 'item_cf' + chr(39) + ') / (SELECT count(*) FROM lists)', 4)} AS fallback_share, {_r('(SELECT count(DISTINCT customer_id) FROM lists WHERE method = ' + chr(39) + 'item_cf' + chr(39) + ') / (SELECT count(DISTINCT customer_id) FROM lists)', 4)} AS personalised_share", "early"),
     "bootstrap_ci_hash": _sql(_BOOT),
     "promotion_gate": _sql(f"SELECT relative_gain, ndcg, base_ndcg, recall, base_recall, d_low, relative_gain >= 0.10 AND recall >= base_recall AND coalesce(d_low, 0.0) > 0 AS qualifies FROM (SELECT CASE WHEN b.mean_ndcg > 0 THEN {_r('(a.mean_ndcg - b.mean_ndcg) / b.mean_ndcg', 4)} ELSE 0.0 END AS relative_gain, a.mean_ndcg AS ndcg, b.mean_ndcg AS base_ndcg, a.mean_recall AS recall, b.mean_recall AS base_recall, d_low FROM ({_means('lists', 'x')}) a CROSS JOIN ({_means('listsseg', 'y')}) b CROSS JOIN ({_BOOT}) c)"),
