@@ -1,12 +1,60 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds."""
+"""Connected components of an edge table: tasks contract chunks of edges to stars, then large-star and small-star rounds alternate."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import stored
 
+#: Edges that a task contracts at once. Where all fit in one chunk no rounds are needed.
+CHUNK = 100_000
+
+
+def least_of_each(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0 .. n - 1 the least node reachable by the edges (a[i], b[i]): roots hook onto lesser roots, paths are halved."""
+    root = np.arange(max(a.max(initial=-1), b.max(initial=-1)) + 1)
+    while True:
+        x, y = root[a], root[b]
+        new = root.copy()
+        np.minimum.at(new, np.maximum(x, y), np.minimum(x, y))
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def contracted(edges: DataFrame, chunk: int) -> DataFrame:
+    """Edges (a, b) with the same components: each chunk of a partition's edges becomes stars around its least nodes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stars(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(parts)
+            node, place = np.unique(np.concatenate([c.to_numpy() for c in table.columns]), return_inverse=True)
+            root = least_of_each(place[: len(table)], place[len(table) :])
+            far = np.flatnonzero(root != np.arange(len(node)))
+            return pa.RecordBatch.from_arrays([pa.array(node[far], table.schema.types[0]), pa.array(node[root[far]], table.schema.types[1])], names=["a", "b"])
+
+        held, rows = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, chunk):
+                part = batch.slice(at, chunk)
+                if rows + part.num_rows > chunk:
+                    yield stars(held)
+                    held, rows = [], 0
+                held.append(part)
+                rows += part.num_rows
+        if rows:
+            yield stars(held)
+
+    kept = edges.select("a", "b").where("a <> b")
+    return kept.mapInArrow(work, kept.schema)
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint")), F.sum(F.hash("b", "a").cast("bigint"))).first())
@@ -27,19 +75,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(node, component) of every node with an edge to a lesser node, at once or by others; component is the least one, which has no row.
 
     edges has columns a and b of one type. The rounds grow with the logarithm of the
-    longest path, and each is written to the shared folder. Loops and repeated edges
-    are harmless; no edges give no rows.
+    longest path, and each is written to the shared folder; they end when nothing changes
+    or when what is left fits in one chunk, which one task then contracts. Loops and
+    repeated edges are harmless; no edges give no rows.
     """
-    edges = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    before = _state(edges)
-    while before[0]:
-        edges = stored(_small_star(_large_star(edges)), "edges")
-        now = _state(edges)
-        if now == before:
+    edges, before = stored(contracted(edges, chunk), "edges"), None
+    while (now := _state(edges)) != before:
+        if now[0] <= chunk:
+            edges = stored(contracted(edges.coalesce(1), chunk), "edges")
             break
-        before = now
+        edges, before = stored(_small_star(_large_star(edges)), "edges"), now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -191,6 +191,26 @@ def test_linked_sets_share_a_cell(n, edits, ratio, rng):
         assert ngram_join.may_link(np.array([len(x)]), v[0], np.array([len(y)]), v[1], t)[0, 0]
 
 
+@pytest.mark.parametrize("chunk", [2, 40, 100_000])
+def test_components_of_random_graphs_by_any_chunk(spark, chunk):
+    rng = random.Random(chunk)
+    edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] + [(1000 + i, 1001 + i) for i in range(30)] + [(5, 5), (2000, 2001), (2000, 2001), (None, 3)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            lo, hi = sorted((find(a), find(b)))
+            root[hi] = lo
+    table = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)
+    got = {r.node: r.component for r in components.components(table, chunk).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
