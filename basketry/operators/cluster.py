@@ -6,12 +6,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import half_even
+from basketry.operators import fits
 from basketry.operators.rules import RFM
 from basketry.operators.snapshot import ACTIVE
 from basketry.params import DEFAULT, Params
@@ -96,20 +95,14 @@ def transformed(points: DataFrame, method: str = "yeo_johnson") -> DataFrame:
     raise ValueError(f"unknown transform {method!r}; known: {', '.join(METHODS)}")
 
 
-def kmeans(points: DataFrame, k: int, seed: int = 42, restarts: int = 3) -> DataFrame:
+def kmeans(points: DataFrame, k: int, seed: int = DEFAULT.seeds[0], p: Params = DEFAULT) -> DataFrame:
     """(customer_id, cluster) of the cheapest of several fits."""
-    data = points.select("customer_id", array_to_vector(F.array(*"rfm")).alias("features")).persist()
-    fits = [KMeans(k=k, seed=seed + 1000 * i, maxIter=50, tol=1e-6).fit(data) for i in range(restarts)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best.transform(data).select("customer_id", F.col("prediction").alias("cluster"))
+    return fits.one_fit(points, "KMeans", k, seed=seed, p=p).select("customer_id", "cluster")
 
 
-def gaussian_mixture(points: DataFrame, k: int, seed: int = 42, restarts: int = 2) -> DataFrame:
-    """(customer_id, cluster, certainty) of the likeliest of several full-covariance fits."""
-    data = points.select("customer_id", array_to_vector(F.array(*"rfm")).alias("features")).persist()
-    fits = [GaussianMixture(k=k, seed=seed + 1000 * i, maxIter=60).fit(data) for i in range(restarts)]
-    best = max(fits, key=lambda m: m.summary.logLikelihood)
-    return best.transform(data).select("customer_id", F.col("prediction").alias("cluster"), F.array_max(vector_to_array("probability")).alias("certainty"))
+def gaussian_mixture(points: DataFrame, k: int, covariance: str = "full", seed: int = DEFAULT.seeds[0], p: Params = DEFAULT) -> DataFrame:
+    """(customer_id, cluster, certainty) of the likeliest of several fits; covariance is full or diag."""
+    return fits.one_fit(points, "GMM", k, covariance, seed, p)
 
 
 def _distance2(a: str, b: str) -> Column:
@@ -160,18 +153,15 @@ def adjusted_rand(a: DataFrame, b: DataFrame) -> DataFrame:
     return one.select(F.when(F.abs(top) < 1e-12, 1.0).otherwise(half_even((F.col("s") - chance) / top, 6)).alias("ari"))
 
 
-def bic(loglik: float, n: int, k: int, d: int = 3, diagonal: bool = False) -> float:
-    import math
-
-    free = 2 * k * d + k - 1 if diagonal else k * d * (d + 1) // 2 + k * d + k - 1
-    return round(-2 * loglik + free * math.log(n), 1)
-
-
 def selection(candidates: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """The chosen candidate (family, k, min_share, ari, silhouette): eligible ones within 0.01 of the best silhouette, most stable first; the rules otherwise."""
+    """The chosen candidate (family, covariance, k): eligible ones within 0.01 of the best silhouette, most stable first; the rules otherwise.
+
+    The gates see the values as they are, the choice sees them rounded to four places.
+    """
     ok = candidates.where((F.col("min_share") >= p.least_share) & (F.col("ari") >= p.least_ari) & (F.col("silhouette") >= p.least_silhouette))
+    ok = ok.select("family", "covariance", "k", half_even(F.col("ari"), 4).alias("ari"), half_even(F.col("silhouette"), 4).alias("silhouette"))
     best = ok.agg(F.max("silhouette").alias("best"))
     near = ok.join(best).where(F.col("silhouette") >= F.col("best") - 0.01 - 1e-6)
-    pick = near.orderBy(F.desc("ari"), "k", F.when(F.col("family") == "KMeans", 0).otherwise(1), F.desc("silhouette")).limit(1).select("family", "k")
-    rules = candidates.sparkSession.createDataFrame([("RFMRules", 4)], "family string, k int")
+    pick = near.orderBy(F.desc("ari"), "k", F.when(F.col("family") == "KMeans", 0).otherwise(1), F.desc("silhouette"), F.desc("covariance")).limit(1).select("family", "covariance", "k")
+    rules = candidates.sparkSession.createDataFrame([("RFMRules", "none", 4)], "family string, covariance string, k int")
     return pick.unionAll(rules.join(pick, F.lit(True), "left_anti"))

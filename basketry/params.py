@@ -26,6 +26,10 @@ class Params:
     least_ari: float = 0.80
     least_silhouette: float = 0.30
     sample: int = 2000
+    ks: tuple[int, ...] = (3, 4, 5, 6)
+    seeds: tuple[int, ...] = (42, 43, 44, 45, 46)
+    kmeans_restarts: int = 20
+    mixture_restarts: int = 5
     least_gain: float = 0.10
     median_alert: float = 0.25
     share_alert: float = 0.10

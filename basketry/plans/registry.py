@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions import canonical_customer, half_even
-from basketry.operators import clean, cluster, evaluate, itemcf, monitor, popularity, rules, serve, snapshot
+from basketry.operators import clean, cluster, evaluate, fits, itemcf, monitor, popularity, rules, serve, snapshot
 from basketry.params import CUTOFFS, DEFAULT
 from basketry.plans import oracles
 from basketry.sources import invoice_lines
@@ -467,10 +467,16 @@ def kmeans_segments(spark, sf_dir):
 
 @query
 def gmm_segments(spark, sf_dir):
-    """M7."""
+    """M7, full covariance."""
     return cluster.gaussian_mixture(cluster.transformed(Data(spark, sf_dir).points), 3)
 
 
+@query
+def gmm_diagonal_segments(spark, sf_dir):
+    """M7, diagonal covariance."""
+    return cluster.gaussian_mixture(cluster.transformed(Data(spark, sf_dir).points), 3, "diag")
+
+
 def _rule_labelled(d: Data) -> DataFrame:
     z = cluster.standardized(cluster.log1p(d.points))
     return z.join(d.assigned.select("customer_id", F.col("segment_id").alias("cluster")), "customer_id").select("customer_id", "cluster", *(half_even(F.col(c), 6).alias(c) for c in "rfm"))
@@ -496,18 +502,38 @@ def adjusted_rand(spark, sf_dir):
     return cluster.adjusted_rand(label(d.at("validation")), label(d))
 
 
+@query
+def cluster_candidates(spark, sf_dir):
+    """Every model of the grid with what the gates read."""
+    found = fits.candidates(cluster.transformed(Data(spark, sf_dir).points))
+    return found.select("family", "covariance", "k", *(half_even(F.col(c), 4).alias(c) for c in ("min_share", "ari", "silhouette")), "bic")
+
+
 @query
 def cluster_selection(spark, sf_dir):
-    """K-Means of several k and seeds, gated and ranked."""
-    points = cluster.transformed(Data(spark, sf_dir).points).persist()
-    rows = []
-    for k in (3, 4):
-        fits = [cluster.kmeans(points, k, seed, 1).persist() for seed in (11, 22)]
-        ari = cluster.adjusted_rand(*fits).first()[0]
-        sil = cluster.silhouette(points.join(fits[0], "customer_id").persist()).first().silhouette
-        sizes = [r["count"] for f in fits for r in f.groupBy("cluster").count().collect()]  # k rows a fit
-        rows.append(("KMeans", k, min(sizes) / max(1, sum(sizes) / len(fits)), float(ari), float(sil or 0)))
-    return cluster.selection(spark.createDataFrame(rows, "family string, k int, min_share double, ari double, silhouette double"))
+    """K-Means and mixtures of both covariances over k, five seeds and all restarts, gated and ranked."""
+    return cluster.selection(fits.candidates(cluster.transformed(Data(spark, sf_dir).points)))
+
+
+@query
+def learned_segments(spark, sf_dir):
+    """M14, W7, S15 on learned clusters: profile, order and name of each."""
+    d = Data(spark, sf_dir)
+    learned = cluster.kmeans(cluster.transformed(d.points), 3).select("customer_id", F.col("cluster").cast("string").alias("segment_id"))
+    active = d.profiles.where(F.col("status") == snapshot.ACTIVE).join(learned, "customer_id")
+    return rules.cluster_names(rules.ordinals(rules.segment_profiles(active))).drop("segment_id")
+
+
+@query
+def learned_assignment(spark, sf_dir):
+    """learned clusters by their ordinal; inactive customers are a segment apart."""
+    d = Data(spark, sf_dir)
+    learned = cluster.kmeans(cluster.transformed(d.points), 3).select("customer_id", F.col("cluster").cast("string").alias("segment_id")).persist()
+    profiles = d.profiles
+    named = rules.cluster_names(rules.ordinals(rules.segment_profiles(profiles.where(F.col("status") == snapshot.ACTIVE).join(learned, "customer_id"))))
+    told = learned.join(F.broadcast(named.select("segment_id", "ordinal", "label")), "segment_id").select("customer_id", "ordinal", "label")  # a row for each cluster
+    sid, label = rules.INACTIVE_SEGMENT
+    return profiles.join(told, "customer_id", "left").select("customer_id", F.coalesce("ordinal", F.lit(sid)).alias("segment_id"), F.coalesce("label", F.lit(label)).alias("segment_label"))
 
 
 @query

@@ -1,13 +1,15 @@
 """Hand-calculated cases of the retail operators."""
 
+from dataclasses import replace
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from basketry.functions import canonical_customer, formula_safe, half_even, json_codes
-from basketry.operators import clean, cluster, evaluate, itemcf, monitor, popularity, rules, serve, snapshot
-from basketry.params import Params
+from basketry.operators import clean, cluster, evaluate, fits, itemcf, monitor, popularity, rules, serve, snapshot
+from basketry.params import DEFAULT, Params
 from basketry.sources import RAW_COLUMNS, require_columns
 
 RAW = "InvoiceNo string, StockCode string, Description string, Quantity string, InvoiceDate string, UnitPrice string, CustomerID string, Country string"
@@ -150,6 +152,67 @@ def test_cluster_diagnostics(spark):
         cluster.transformed(df, "sqrt")
 
 
+def blobs(spark, n=40):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, s, (n, 3)) for c, s in ((0.0, 0.3), (4.0, 0.5), (-5.0, 0.2))])
+    return x, spark.createDataFrame([(f"c{i}", *map(float, v)) for i, v in enumerate(x)], "customer_id string, r double, f double, m double").repartition(3)
+
+
+def test_lloyd_and_expectation_steps_against_numpy(spark):
+    x, df = blobs(spark)
+    start = np.stack([x[[0, 50, 90]], x[[0, 1, 2]]])
+    got, cost = fits.kmeans_fits(df, start, tolerance=0)
+    for c, v in zip(start.copy(), got, strict=True):
+        for _ in range(100):
+            near = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+            c = np.array([x[near == k].mean(0) if (near == k).any() else c[k] for k in range(3)])
+        assert np.allclose(c, v)
+    assert cost[0] == pytest.approx(((x[:, None] - got[0]) ** 2).sum(2).min(1).sum())
+    m, likely = fits.mixture_fits(df, len(x), got[[0, 0]], np.array([False, True]))
+    for i in range(2):
+        density = np.zeros(len(x))
+        for w, mu, cov in zip(m.weight[i], m.mean[i], m.cov[i], strict=True):
+            d = x - mu
+            density += w * np.exp(-(d @ np.linalg.inv(cov) * d).sum(1) / 2) / np.sqrt((2 * np.pi) ** 3 * np.linalg.det(cov))
+        assert np.log(density).sum() == pytest.approx(likely[i], rel=1e-6)
+        assert np.allclose(m.mean[i], got[0], atol=0.01) and np.allclose(m.weight[i].sum(), 1)
+    assert np.count_nonzero(m.cov[1]) == 9 and likely[0] > likely[1]
+
+
+def test_candidates_agree_with_single_diagnostics(spark):
+    x, df = blobs(spark)
+    p = replace(DEFAULT, ks=(2, 3), seeds=(1, 2, 3), kmeans_restarts=4, mixture_restarts=2)
+    found = {(r.family, r.covariance, r.k): r for r in fits.candidates(df, p).collect()}
+    assert set(found) == {(f, c, k) for f, c in (("KMeans", "none"), ("GMM", "full"), ("GMM", "diag")) for k in (2, 3)}
+    labels = cluster.kmeans(df, 3, 1, p).join(df, "customer_id")
+    best = found["KMeans", "none", 3]
+    assert best.ari == 1.0 and best.min_share == pytest.approx(1 / 3) and best.bic is None
+    assert round(best.silhouette, 4) == cluster.silhouette(labels).first().silhouette
+    assert found["GMM", "full", 3].bic < found["GMM", "full", 2].bic
+    assert rows(cluster.selection(fits.candidates(df, p), p)) == [("KMeans", "none", 3)]
+    assert fits.candidates(df.limit(0), p).count() == 0 and cluster.kmeans(df.limit(0), 3).count() == 0
+    certain = cluster.gaussian_mixture(df, 3, "diag", p=p)
+    assert certain.count() == len(x) and certain.agg(F.min("certainty")).first()[0] > 0.99
+
+
+def test_agreement_of_unlike_seeds(spark):
+    rng = np.random.default_rng(2)
+    a, b, c = rng.integers(0, 3, (3, 60)).tolist()
+    df = spark.createDataFrame([(f"c{i}", list(v)) for i, v in enumerate(zip(a, b, c, strict=True))], "customer_id string, labels array<int>")
+    one = lambda k: df.select("customer_id", F.col("labels")[k].alias("cluster"))
+    want = sorted(cluster.adjusted_rand(one(i), one(j)).first().ari for i, j in ((0, 1), (0, 2), (1, 2)))[1]
+    assert fits.seed_agreement(df, [("KMeans", "none", 3, s) for s in range(3)]).first().ari == pytest.approx(want, abs=1e-6)
+
+
+def test_selection_gates_before_rounding_and_ranks_after(spark):
+    schema = "family string, covariance string, k int, min_share double, ari double, silhouette double"
+    of = lambda *r: rows(cluster.selection(spark.createDataFrame(list(r), schema)))
+    assert of(("KMeans", "none", 3, 0.02999, 1.0, 0.9)) == [("RFMRules", "none", 4)]
+    assert of(("KMeans", "none", 5, 0.1, 0.90001, 0.5), ("GMM", "full", 3, 0.1, 0.90004, 0.495)) == [("GMM", "full", 3)]
+    assert of(("GMM", "diag", 4, 0.1, 0.9, 0.5), ("KMeans", "none", 4, 0.1, 0.9, 0.491)) == [("KMeans", "none", 4)]
+    assert of(("KMeans", "none", 3, 0.1, 0.99, 0.45), ("GMM", "full", 6, 0.1, 0.8, 0.5)) == [("GMM", "full", 6)]
+
+
 @pytest.mark.parametrize("cid,k,mode", [("", 5, "repeat_allowed"), ("a/b", 5, "repeat_allowed"), ("..", 5, "repeat_allowed"), ("a", 0, "repeat_allowed"), ("a", True, "repeat_allowed"), ("a", 5, "any")])
 def test_bad_requests(cid, k, mode):
     with pytest.raises(ValueError):
