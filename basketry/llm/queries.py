@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontam, html_extract, langid, media, ngram_join, packing, quality, secrets, substring, url_filter
+from basketry.llm import decontam, divergence, fim, html_extract, langid, media, ngram_join, packing, quality, secrets, sentencepieces, substring, url_filter
 from basketry.llm.common import table
 
 QUERIES: dict = {}
@@ -87,3 +87,33 @@ def tokenizer_files() -> dict:
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **tokenizer_files())
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+ORACLE_SQL["op11_fill_in_middle"] = fim.DIGEST_SQL
+
+
+def piece_model() -> str:
+    """Where the public merge-type model lies; its path is a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents"), piece_model()), piece_model())
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op13_source_divergence"] = divergence.AUDIT_SQL
