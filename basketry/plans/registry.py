@@ -12,7 +12,7 @@ from basketry.functions import canonical_customer, half_even
 from basketry.operators import clean, cluster, evaluate, fits, itemcf, monitor, popularity, rules, serve, snapshot
 from basketry.params import CUTOFFS, DEFAULT
 from basketry.plans import oracles
-from basketry.sources import invoice_lines
+from basketry.sources import invoice_lines, raw_lines
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = oracles.ORACLE_SQL
@@ -28,7 +28,7 @@ class Data:
 
     def __init__(self, spark: SparkSession, sf_dir: str, role: str = "test"):
         self.spark, self.cutoff = spark, CUTOFFS[role]
-        self.raw = invoice_lines(spark, sf_dir)
+        self.raw = raw_lines(spark, sf_dir)
         self.lines = clean.classified(self.raw)
         self.bought = clean.purchases(self.lines).persist()
 

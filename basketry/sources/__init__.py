@@ -48,6 +48,21 @@ def read_invoice_csv(spark: SparkSession, path: str) -> DataFrame:
     return require_columns(df.select([F.col(c).cast(T.StringType()) for c in df.columns]))
 
 
+def read_invoice_sheet(spark: SparkSession, path: str, sheet: str | None = None, rows_per_task: int = 50_000) -> DataFrame:
+    """Raw invoice lines of a spreadsheet, every column text; cleaning parses them leniently."""
+    from basketry.sources.xlsx import Spreadsheet
+
+    spark.dataSource.register(Spreadsheet)
+    reader = spark.read.format("xlsx").option("rowsPerPartition", str(rows_per_task))
+    return require_columns((reader.option("sheet", sheet) if sheet else reader).load(path))
+
+
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Raw invoice lines of a .xlsx or .csv file, or of a folder with the order tables."""
+    readers = {"xlsx": read_invoice_sheet, "csv": read_invoice_csv}
+    return readers.get(path.rpartition(".")[2].lower(), invoice_lines)(spark, path)
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
