@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,9 +9,12 @@ from pyspark.sql import functions as F
 
 from basketry.functions import half_even
 from basketry.operators import fits
+from basketry.operators.quantiles import long
+from basketry.operators.quantiles import quantiles as exact_quantiles
 from basketry.operators.rules import RFM
 from basketry.operators.snapshot import ACTIVE
 from basketry.params import DEFAULT, Params
+from basketry.sources import stored
 
 METHODS = ("yeo_johnson", "quantile", "log1p")
 
@@ -68,16 +69,43 @@ def powered(points: DataFrame, lambdas: dict[str, float]) -> DataFrame:
     return points.select("customer_id", *(power(F.col(c), F.lit(float(lambdas[c]))).alias(c) for c in "rfm"))
 
 
+# Coefficients of the rational approximations of the normal quantile (algorithm AS 241, 16 digits), by part: numerator, denominator.
+AS241 = (
+    ((3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+     (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3)),
+    ((1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+     (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9)),
+    ((6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1, 2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+     (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15)),
+)
+
+
+def normal_quantile(u: np.ndarray) -> np.ndarray:
+    """The standard normal value below which a share u (0 < u < 1) lies."""
+    q = u - 0.5
+    tail = np.sqrt(-np.log(np.minimum(u, 1 - u)))
+    near, far = np.abs(q) <= 0.425, tail > 5
+    x = np.where(near, 0.180625 - q * q, tail - np.where(far, 5.0, 1.6))
+    parts = [np.polynomial.polynomial.polyval(x, top) / np.polynomial.polynomial.polyval(x, bottom) for top, bottom in AS241]
+    return np.where(near, q * parts[0], np.sign(q) * np.where(far, parts[2], parts[1]))
+
+
 def quantile_normal(points: DataFrame, quantiles: int = 1000) -> DataFrame:
-    """Each measure's rank among its quantiles as a standard normal value (clipped): interpolation in Arrow batches."""
-    levels = [i / (quantiles - 1) for i in range(quantiles)]
-    cuts = points.agg(*(F.percentile(c, F.array(*map(F.lit, levels))).alias(c) for c in "rfm")).first()  # 3 * quantiles numbers
+    """Each measure's rank among its quantiles as a standard normal value (clipped): interpolation in Arrow batches.
+
+    There are as many quantiles as customers at most; one customer is in the middle.
+    """
+    quantiles = min(quantiles, points.count())
+    levels = np.linspace(0, 1, quantiles) if quantiles > 1 else np.array([0.5])
+    values = long(points, {c: F.col(c) for c in "rfm"})
+    found = exact_quantiles(values, F.lit(levels.tolist()), ("measure",)).collect()  # 3 * quantiles numbers
+    cuts = {c: np.array([r.value for r in sorted(found, key=lambda r: r.level) if r.measure == c]) for c in "rfm"}
 
     def of(c: str):
         def normal(x: pd.Series) -> pd.Series:
-            q, p = np.array(cuts[c]), np.array(levels)
-            u = 0.5 * (np.interp(x, q, p) - np.interp(-x, -q[::-1], -p[::-1]))
-            return pd.Series([NormalDist().inv_cdf(float(v)) for v in np.clip(u, 1e-7, 1 - 1e-7)])
+            q = cuts[c]
+            u = 0.5 * (np.interp(x, q, levels) - np.interp(-x, -q[::-1], -levels[::-1]))
+            return pd.Series(normal_quantile(np.clip(u, 1e-7, 1 - 1e-7)))
 
         normal.__annotations__ = {"x": pd.Series, "return": pd.Series}
         return F.pandas_udf(normal, "double")
@@ -140,6 +168,20 @@ def davies_bouldin(labelled: DataFrame) -> DataFrame:
     return worst.agg(F.count("*").alias("n_clusters"), half_even(F.avg("w"), 4).alias("davies_bouldin"))
 
 
+def rule_labelled(assigned: DataFrame) -> DataFrame:
+    """(customer_id, cluster, r, f, m) of active customers by their rule segment, on standardised logs rounded to six places."""
+    z = standardized(log1p(measures(assigned)))
+    return z.join(assigned.select("customer_id", F.col("segment_id").alias("cluster")), "customer_id").select("customer_id", "cluster", *(half_even(F.col(c), 6).alias(c) for c in "rfm"))
+
+
+def rule_baseline(assigned: DataFrame) -> DataFrame:
+    """One row like those of `fits.candidates`: the rule segments, which no seed changes."""
+    labelled = stored(rule_labelled(assigned), "labelled")
+    sizes = labelled.groupBy("cluster").agg(F.count("*").alias("n")).agg((F.min("n") / F.sum("n")).alias("min_share"), F.count("*").cast("int").alias("k"))
+    one = sizes.join(silhouette(labelled).select("silhouette")).join(davies_bouldin(labelled).select("davies_bouldin"))  # single rows
+    return one.select(F.lit("RFMRules").alias("family"), F.lit("none").alias("covariance"), "k", "min_share", F.lit(1.0).alias("ari"), "silhouette", "davies_bouldin", F.lit(None).cast("double").alias("bic"))
+
+
 def adjusted_rand(a: DataFrame, b: DataFrame) -> DataFrame:
     """Agreement of two labellings (customer_id, cluster) beyond chance; 1 where either is trivial."""
     both = a.select("customer_id", F.col("cluster").alias("x")).join(b.select("customer_id", F.col("cluster").alias("y")), "customer_id").groupBy("x", "y").agg(F.count("*").alias("n"))

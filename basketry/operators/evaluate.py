@@ -66,9 +66,9 @@ def summary(metrics: DataFrame, model: str) -> DataFrame:
 
 
 def strongest(means: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """(model, mean_ndcg) of the best of a few models; of equals the first in order."""
+    """(model, mean_ndcg) of the best of the models in order; of equals the first."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("model"))
-    return means.select("model", "mean_ndcg").orderBy(F.desc("mean_ndcg"), place).limit(1)
+    return means.where(F.col("model").isin(*order)).select("model", "mean_ndcg").orderBy(F.desc("mean_ndcg"), place).limit(1)
 
 
 def list_shares(lists: DataFrame, n_items: DataFrame) -> DataFrame:

@@ -9,10 +9,22 @@ from basketry.functions import half_even
 from basketry.params import DEFAULT, Params
 
 
-def co_buyers(pairs: DataFrame) -> DataFrame:
-    """(item_a, item_b, n_both) with item_a < item_b: one half of the symmetric counts, summed before the exchange."""
-    a, b = pairs.withColumnRenamed("stock_code", "item_a"), pairs.withColumnRenamed("stock_code", "item_b")
-    return a.join(b, "customer_id").where("item_a < item_b").groupBy("item_a", "item_b").agg(F.count("*").alias("n_both"))
+def co_buyers(pairs: DataFrame, block: int = DEFAULT.basket_block) -> DataFrame:
+    """(item_a, item_b, n_both) with item_a < item_b: one half of the symmetric counts, summed before the exchange.
+
+    The items of a customer with more than `block` are dealt to blocks by hash, and two of
+    its blocks meet at a time, so the square of a heavy customer is shared by many tasks;
+    everyone else has one block.
+    """
+    n_blocks = F.ceil(F.count("*").over(Window.partitionBy("customer_id")) / F.lit(float(block))).cast("bigint")
+    dealt = pairs.withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("stock_code"), F.col("blocks")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    met = met.select("customer_id", "stock_code", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    key = ["customer_id", "low", "high"]
+    a = met.where(F.col("own") == F.col("low")).select(*key, F.col("stock_code").alias("x"))
+    b = met.where(F.col("own") == F.col("high")).select(*key, F.col("stock_code").alias("y"))
+    both = a.join(b, key).where((F.col("low") < F.col("high")) | (F.col("x") < F.col("y")))
+    return both.groupBy(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")).agg(F.count("*").alias("n_both"))
 
 
 def item_counts(pairs: DataFrame) -> DataFrame:
@@ -24,8 +36,8 @@ def item_idf(pairs: DataFrame, n_customers: DataFrame) -> DataFrame:
     return item_counts(pairs).join(F.broadcast(n_customers)).select("stock_code", "n_buyers", (F.log((F.col("n") + 1) / (F.col("n_buyers") + 1)) + 1).alias("idf"))
 
 
-def neighbours(both: DataFrame, counts: DataFrame, p: Params = DEFAULT, idf: DataFrame | None = None) -> DataFrame:
-    """(seed, neighbour, sim, rank): cosine of the buyers' sets, the best p.neighbours of each seed.
+def neighbours(both: DataFrame, counts: DataFrame, p: Params = DEFAULT, idf: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(seed, neighbour, sim, rank): cosine of the buyers' sets, the best p.neighbours (or `most`) of each seed.
 
     A pair needs p.least_co_buyers common buyers. Weights by item cancel out of the cosine
     and act on this gate alone: with idf it is idf(seed) * common buyers.
@@ -40,19 +52,34 @@ def neighbours(both: DataFrame, counts: DataFrame, p: Params = DEFAULT, idf: Dat
         kept = each.join(idf.select(F.col("stock_code").alias("seed"), "idf"), "seed").where(F.col("idf") * F.col("n_both") >= p.least_co_buyers)
     order = Window.partitionBy("seed").orderBy(F.desc(F.round("sim", 12)), "neighbour")
     ranked = kept.select("seed", "neighbour", "sim", F.row_number().over(order).cast("bigint").alias("rank"))
-    return ranked.where(F.col("rank") <= p.neighbours)
+    return ranked.where(F.col("rank") <= (most or p.neighbours))
 
 
 def contributions(pairs: DataFrame, near: DataFrame) -> DataFrame:
-    """(customer_id, seed, stock_code, sim): what each owned item says of its neighbours."""
-    return pairs.select("customer_id", F.col("stock_code").alias("seed")).join(near.select("seed", F.col("neighbour").alias("stock_code"), "sim"), "seed")
+    """(customer_id, seed, stock_code, sim, rank): what each owned item says of its neighbours."""
+    return pairs.select("customer_id", F.col("stock_code").alias("seed")).join(near.select("seed", F.col("neighbour").alias("stock_code"), "sim", "rank"), "seed")
 
 
-def candidate_scores(pairs: DataFrame, near: DataFrame) -> DataFrame:
-    """(customer_id, stock_code, score): summed similarity over the number of owned items, those without neighbours too."""
+def scores_by_bound(pairs: DataFrame, near: DataFrame, bounds: tuple[int, ...]) -> DataFrame:
+    """(customer_id, stock_code, score_N, ...): summed similarity over the number of owned items, those without neighbours too.
+
+    All numbers of neighbours N come from one join: an item's best N are the first N ranks
+    of its best max(bounds). Null where none of the first N says anything of an item.
+    """
     seeds = pairs.groupBy("customer_id").agg(F.count("*").alias("n_seeds"))
-    summed = contributions(pairs, near).groupBy("customer_id", "stock_code").agg(F.sum("sim").alias("total"))
-    return summed.join(seeds, "customer_id").select("customer_id", "stock_code", half_even(F.col("total") / F.col("n_seeds"), 10).alias("score"))
+    totals = [F.sum(F.when(F.col("rank") <= n, F.col("sim"))).alias(f"total_{n}") for n in bounds]
+    summed = contributions(pairs, near).groupBy("customer_id", "stock_code").agg(*totals)
+    return summed.join(seeds, "customer_id").select("customer_id", "stock_code", *(half_even(F.col(f"total_{n}") / F.col("n_seeds"), 10).alias(f"score_{n}") for n in bounds))
+
+
+def scores_of(scored: DataFrame, n: int) -> DataFrame:
+    """(customer_id, stock_code, score) of one number of neighbours."""
+    return scored.where(F.col(f"score_{n}").isNotNull()).select("customer_id", "stock_code", F.col(f"score_{n}").alias("score"))
+
+
+def candidate_scores(pairs: DataFrame, near: DataFrame, n: int = DEFAULT.neighbours) -> DataFrame:
+    """(customer_id, stock_code, score) by the first n ranks."""
+    return scores_of(scores_by_bound(pairs, near, (n,)), n)
 
 
 def supporters(pairs: DataFrame, near: DataFrame, p: Params = DEFAULT) -> DataFrame:

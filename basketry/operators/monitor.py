@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions import half_even
-from basketry.operators.rules import RFM
+from basketry.operators.quantiles import array_of, long, quantiles
+from basketry.operators.rules import QUARTILES, RFM
 from basketry.operators.serve import TIERS
 from basketry.operators.snapshot import ACTIVE
 from basketry.params import DEFAULT, Params
@@ -14,9 +18,11 @@ from basketry.params import DEFAULT, Params
 
 def snapshot_summary(profiles: DataFrame) -> DataFrame:
     """(measure, n, median, q25, q75) over active customers."""
-    long = profiles.where(F.col("status") == ACTIVE).select(F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("x")) for c in RFM))).alias("p")).select("p.measure", "p.x")
-    q = lambda at: half_even(F.percentile("x", F.lit(at)), 2)
-    return long.groupBy("measure").agg(F.count("*").alias("n"), q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"))
+    values = long(profiles.where(F.col("status") == ACTIVE), {c: F.col(c) for c in RFM})
+    found = quantiles(values, array_of(*QUARTILES), ("measure",))  # nine rows
+    q = lambda at: half_even(F.max(F.when(F.col("level") == at, F.col("value"))), 2)
+    told = found.groupBy("measure").agg(q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"))
+    return values.groupBy("measure").agg(F.count("x").alias("n")).join(told, "measure").select("measure", "n", "median", "q25", "q75")
 
 
 def median_drift(before: DataFrame, after: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -79,6 +85,61 @@ def alerts(medians: DataFrame, shares: DataFrame, items: DataFrame, fallback: Da
     )
 
 
+SNAPSHOT = "snapshot string, kind string, key string, value double"
+
+
+def snapshot_rows(name: str, profiles: DataFrame, assigned: DataFrame, items: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(snapshot, kind, key, value): all that a comparison reads of a snapshot, for a table that runs append to.
+
+    Kinds: median, q25 and q75 by measure, customers by status, share by segment, the
+    items of the catalog, and the share of fallback rows.
+    """
+    summary = snapshot_summary(profiles)
+    measures = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("value")) for kind in ("median", "q25", "q75")))
+    parts = [
+        summary.select(F.col("measure").alias("key"), F.explode(measures).alias("m")).select("m.kind", "key", "m.value"),
+        profiles.groupBy(F.lit("customers").alias("kind"), F.col("status").alias("key")).agg(F.count("*").cast("double").alias("value")),
+        segment_shares(assigned).select(F.lit("share").alias("kind"), F.col("segment_id").alias("key"), F.col("share").alias("value")),
+        items.select(F.lit("item").alias("kind"), F.col("stock_code").alias("key"), F.col("n_buyers").cast("double").alias("value")),
+        fallback.select(F.lit("fallback").alias("kind"), F.lit("share").alias("key"), F.col("share").alias("value")),
+    ]
+    return reduce(DataFrame.unionAll, parts).select(F.lit(name).alias("snapshot"), "kind", "key", "value")
+
+
+def append_snapshot(rows: DataFrame, path: str) -> None:
+    """Add a snapshot to the table at path; a name that is there already is refused."""
+    name = rows.select("snapshot").first()[0]
+    if name in snapshot_names(rows.sparkSession, path):
+        raise ValueError(f"the table has a snapshot {name!r} already")
+    rows.write.mode("append").partitionBy("snapshot").parquet(path)
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SNAPSHOT).parquet(path)
+
+
+def snapshot_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in the table at path, which are days, in order; none where there is no table yet."""
+    try:
+        table = read_snapshots(spark, path)
+        return sorted(r.snapshot for r in table.select("snapshot").distinct().collect())  # a row a snapshot
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def compared(table: DataFrame, reference: str, current: str, p: Params = DEFAULT) -> DataFrame:
+    """(check, key, message) of every alert between two snapshots of the table, the earlier one first."""
+    if not reference < current:
+        raise ValueError(f"the reference {reference} isn't before {current}")
+    of = lambda name, kind, key, value: table.where((F.col("snapshot") == name) & (F.col("kind") == kind)).select(F.col("key").alias(key), F.col("value").alias(value))
+    two = lambda *c: (of(reference, *c), of(current, *c))
+    return alerts(
+        median_drift(*two("median", "measure", "median"), p), share_drift(*two("share", "segment_id", "share"), p), catalog_drift(*two("item", "stock_code", "n_buyers"), p), fallback_drift(*two("fallback", "key", "share"), p)
+    )
+
+
 def report(found: DataFrame) -> DataFrame:
     """One row: how many alerts, their messages in order and whether someone has to look."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("check", "key", "message"))), lambda x: F.concat_ws(": ", x["check"], x["key"], x["message"]))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import half_even, score
+from basketry.operators.quantiles import array_of, long, pick, quantiles
 from basketry.operators.snapshot import ACTIVE
 
 # Segments of the rules, in the order they are tried.
@@ -19,14 +20,15 @@ CLUSTER_NAMES = (
     ("Dormant / Low Engagement", "Low-cost seasonal email reminders and highlight of top global bestsellers."),
     ("Standard Active Shoppers", "Targeted segment-popular product promotions and seasonal campaigns."),
 )
+QUARTILES = (0.25, 0.5, 0.75)
 RFM = ("recency_days", "frequency_invoices", "monetary_gbp")
 
 
 def cutpoints(profiles: DataFrame) -> DataFrame:
     """One row of the three quartiles of each measure over active customers."""
-    quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    cuts = profiles.where(F.col("status") == ACTIVE).agg(*(F.percentile(F.col(c).cast("double"), quartiles).alias(c) for c in RFM))
-    return cuts.select(*(F.col(c)[i].alias(f"{c[0]}_q{i + 1}") for c in RFM for i in range(3)))
+    values = long(profiles.where(F.col("status") == ACTIVE), {c: F.col(c) for c in RFM})
+    found = quantiles(values, array_of(*QUARTILES), ("measure",))  # nine rows
+    return found.agg(*(pick(c, q).alias(f"{c[0]}_q{i}") for c in RFM for i, q in enumerate(QUARTILES, 1)))
 
 
 def scores(profiles: DataFrame) -> DataFrame:
@@ -68,8 +70,10 @@ def cluster_names(profiled: DataFrame) -> DataFrame:
 def segment_profiles(assigned: DataFrame) -> DataFrame:
     """Size, share and medians of each segment of active customers."""
     active = assigned.where(F.col("status") == ACTIVE)
-    total = active.agg(F.count("*").alias("total"))
-    per = active.groupBy("segment_id").agg(F.count("*").alias("n_customers"), *(F.median(F.col(c).cast("double")).alias(f"median_{c.split('_')[0]}") for c in RFM))
+    sizes = active.groupBy("segment_id").agg(F.count("*").alias("n_customers"))  # a row a segment
+    total = sizes.agg(F.sum("n_customers").alias("total"))
+    found = quantiles(long(active, {c: F.col(c) for c in RFM}, ("segment_id",)), array_of(0.5), ("segment_id", "measure"))
+    per = sizes.join(found.groupBy("segment_id").agg(*(pick(c, 0.5).alias(f"median_{c.split('_')[0]}") for c in RFM)), "segment_id")
     return per.join(F.broadcast(total)).select(
         "segment_id", "n_customers", half_even(F.col("n_customers") / F.col("total"), 4).alias("share"),
         half_even(F.col("median_recency"), 1).alias("median_recency"), half_even(F.col("median_frequency"), 1).alias("median_frequency"), half_even(F.col("median_monetary"), 2).alias("median_monetary"),

@@ -21,11 +21,11 @@ REASONS = (
 )
 
 
-def fallback_lists(cf: DataFrame, customers: DataFrame, segment: DataFrame, world: DataFrame, owned: DataFrame, k: int, new_only: bool = False) -> DataFrame:
+def fallback_lists(cf: DataFrame, customers: DataFrame, segment: DataFrame, world: DataFrame, owned: DataFrame | None, k: int, new_only: bool = False) -> DataFrame:
     """(customer_id, rank, stock_code, score, method): similar items, then the segment's, then everyone's.
 
     cf: (customer_id, stock_code, score), owned items already out of it for new_only.
-    customers: (customer_id, segment_id). segment, world: popularity scores.
+    customers: (customer_id, segment_id). segment, world: popularity scores. owned: read for new_only alone.
     Only customers short of k similar items look at the fallbacks, and a fallback list
     need only be as long as k and what the customer may have to skip, so popular items
     meet customers by rank and never as a product with the catalog.

@@ -17,7 +17,9 @@ class Params:
     future_days: int = 28
     least_buyers: int = 5
     neighbours: int = 50
+    neighbour_choices: tuple[int, ...] = (50, 100)
     least_co_buyers: float = 2
+    basket_block: int = 2000
     k: int = 10
     supporters: int = 3
     merchandise: str = "^[0-9]{5}[A-Z]?$"

@@ -47,7 +47,8 @@ counts AS (SELECT stock_code, count(*) AS n_buyers FROM pairs GROUP BY stock_cod
 cobuy AS (SELECT a.stock_code AS item_a, b.stock_code AS item_b, count(*) AS n_both FROM pairs a JOIN pairs b ON a.customer_id = b.customer_id AND a.stock_code < b.stock_code GROUP BY a.stock_code, b.stock_code),
 sims AS (SELECT item_a, item_b, n_both, n_both / sqrt(CAST(x.n_buyers * y.n_buyers AS DOUBLE)) AS sim FROM cobuy JOIN counts x ON x.stock_code = item_a JOIN counts y ON y.stock_code = item_b),
 sides AS (SELECT item_a AS seed, item_b AS neighbour, n_both, sim FROM sims UNION ALL SELECT item_b, item_a, n_both, sim FROM sims),
-near AS (SELECT seed, neighbour, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(sim, 12) DESC, neighbour) AS rank FROM sides WHERE n_both >= {co}) WHERE rank <= {nb}),
+nearmost AS (SELECT seed, neighbour, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(sim, 12) DESC, neighbour) AS rank FROM sides WHERE n_both >= {co}) WHERE rank <= {most}),
+near AS (SELECT * FROM nearmost WHERE rank <= {nb}),
 idfs AS (SELECT stock_code, n_buyers, ln(((SELECT count(*) FROM rfm) + 1) / (n_buyers + 1)) + 1 AS idf FROM counts),
 contrib AS (SELECT p.customer_id, p.stock_code AS seed, n.neighbour AS stock_code, n.sim FROM pairs p JOIN near n ON p.stock_code = n.seed),
 cand AS (SELECT c.customer_id, c.stock_code, round_even(sum(sim) / any_value(s.n_seeds) * 1e10, 0) / 1e10 AS score FROM contrib c JOIN (SELECT customer_id, count(*) AS n_seeds FROM pairs GROUP BY customer_id) s ON c.customer_id = s.customer_id GROUP BY c.customer_id, c.stock_code),
@@ -57,6 +58,9 @@ topworld AS (SELECT stock_code, score, rank FROM (SELECT *, row_number() OVER (O
 chain AS (SELECT customer_id, 0 AS tier, stock_code, score FROM cand UNION ALL SELECT a.customer_id, 1, s.stock_code, CAST(s.score AS DOUBLE) FROM assigned a JOIN seg s ON a.segment_id = s.segment_id UNION ALL SELECT a.customer_id, 2, w.stock_code, CAST(w.score AS DOUBLE) FROM assigned a CROSS JOIN world w),
 chainnew AS (SELECT * FROM chain c WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.customer_id = c.customer_id AND o.stock_code = c.stock_code)),
 lists AS (SELECT customer_id, rank, stock_code, score, CASE tier WHEN 0 THEN 'item_cf' WHEN 1 THEN 'segment_popularity' ELSE 'global_popularity' END AS method FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY tier, score DESC, stock_code) AS rank FROM (SELECT customer_id, stock_code, min(tier) AS tier, arg_min(score, tier) AS score FROM chain GROUP BY customer_id, stock_code)) WHERE rank <= {k}),
+candmost AS (SELECT c.customer_id, c.stock_code, round_even(sum(sim) / any_value(s.n_seeds) * 1e10, 0) / 1e10 AS score FROM (SELECT p.customer_id, n.neighbour AS stock_code, n.sim FROM pairs p JOIN nearmost n ON p.stock_code = n.seed) c JOIN (SELECT customer_id, count(*) AS n_seeds FROM pairs GROUP BY customer_id) s ON c.customer_id = s.customer_id GROUP BY c.customer_id, c.stock_code),
+chainmost AS (SELECT customer_id, 0 AS tier, stock_code, score FROM candmost UNION ALL SELECT * FROM chain WHERE tier > 0),
+listsmost AS (SELECT customer_id, rank, stock_code, score, CASE tier WHEN 0 THEN 'item_cf' WHEN 1 THEN 'segment_popularity' ELSE 'global_popularity' END AS method FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY tier, score DESC, stock_code) AS rank FROM (SELECT customer_id, stock_code, min(tier) AS tier, arg_min(score, tier) AS score FROM chainmost GROUP BY customer_id, stock_code)) WHERE rank <= {k}),
 listsnew AS (SELECT customer_id, rank, stock_code, score, CASE tier WHEN 0 THEN 'item_cf' WHEN 1 THEN 'segment_popularity' ELSE 'global_popularity' END AS method FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY tier, score DESC, stock_code) AS rank FROM (SELECT customer_id, stock_code, min(tier) AS tier, arg_min(score, tier) AS score FROM chainnew GROUP BY customer_id, stock_code)) WHERE rank <= {k}),
 listsseg AS (SELECT customer_id, rank, stock_code, score, CASE tier WHEN 1 THEN 'segment_popularity' ELSE 'global_popularity' END AS method FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY tier, score DESC, stock_code) AS rank FROM (SELECT customer_id, stock_code, min(tier) AS tier, arg_min(score, tier) AS score FROM chain WHERE tier > 0 GROUP BY customer_id, stock_code)) WHERE rank <= {k}),
 listspop AS (SELECT customer_id, rank, stock_code, CAST(score AS DOUBLE) AS score, 'global_popularity' AS method FROM rfm CROSS JOIN topworld WHERE rank <= {k}),
@@ -75,12 +79,12 @@ summ AS (SELECT measure, count(*) AS n, round_even(quantile_cont(x, 0.5) * 100,
 shares AS (SELECT segment_id, round_even(count(*) / (SELECT count(*) FROM assigned WHERE status = 'known_active') * 10000, 0) / 10000 AS share FROM assigned WHERE status = 'known_active' GROUP BY segment_id)"""
 
 # Names that the second prelude defines, so that another cut-off's copy can carry a suffix.
-_NAMES = ("hist rfm items names owned pairs cuts scored assigned recent world seg counts cobuy sims sides near idfs contrib cand candnew backers topworld chain chainnew lists listsnew listsseg listspop future futin t_primary t_cold_start t_new_product points segprof logged zs summ shares").split()
+_NAMES = ("hist rfm items names owned pairs cuts scored assigned recent world seg counts cobuy sims sides nearmost near idfs contrib cand candmost candnew backers topworld chain chainmost chainnew lists listsmost listsnew listsseg listspop future futin t_primary t_cold_start t_new_product points segprof logged zs summ shares").split()
 
 
 def _at(role: str) -> str:
     p = DEFAULT
-    return _AT.format(cut=CUTOFFS[role], rfm=p.rfm_days, pop=p.popular_days, buyers=p.least_buyers, co=p.least_co_buyers, nb=p.neighbours, k=p.k, fut=p.future_days)
+    return _AT.format(cut=CUTOFFS[role], rfm=p.rfm_days, pop=p.popular_days, buyers=p.least_buyers, co=p.least_co_buyers, nb=p.neighbours, most=max(p.neighbour_choices), k=p.k, fut=p.future_days)
 
 
 def _suffixed(role: str) -> str:
@@ -98,6 +102,11 @@ def _sql(select: str, role: str | None = "test", other: str | None = None) -> st
     return "WITH " + ",\n".join(parts) + "\n" + select
 
 
+def _with(more: str, select: str, role: str = "test") -> str:
+    """Like _sql, with further common tables after those of the cut-off."""
+    return _sql("\n" + select, role).replace("\n\n" + select, more + "\n" + select)
+
+
 def _r(expr: str, places: int) -> str:
     return f"round_even(({expr}) * 1e{places}, 0) / 1e{places} + 0.0"
 
@@ -120,10 +129,21 @@ def _means(lists: str, model: str) -> str:
 
 _POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
 _W = " + ".join(f"CAST(u >= {c} AS INT)" for c in _POISSON)
-_BOOT = f"""SELECT {', '.join(f"{_r(f'quantile_cont({c}, {q})', 6)} AS {c}_{n}" for c in 'abd' for q, n in ((0.025, 'low'), (0.975, 'high')))} FROM (SELECT sa / n AS a, sb / n AS b, sa / n - sb / n AS d FROM (
+def _boot(a: str, b: str) -> str:
+    """Intervals of two models' metrics, each a query with customer_id and ndcg."""
+    return f"""SELECT {', '.join(f"{_r(f'quantile_cont({c}, {q})', 6)} AS {c}_{n}" for c in 'abd' for q, n in ((0.025, 'low'), (0.975, 'high')))} FROM (SELECT sa / n AS a, sb / n AS b, sa / n - sb / n AS d FROM (
   SELECT draw, sum(w) AS n, CAST(sum(CAST(a * w AS DECIMAL(28,8))) AS DOUBLE) AS sa, CAST(sum(CAST(b * w AS DECIMAL(28,8))) AS DOUBLE) AS sb FROM (SELECT *, {_W} AS w FROM (
   SELECT x.customer_id, x.ndcg AS a, y.ndcg AS b, draw, CAST(CAST('0x' || substr(md5(x.customer_id || ':' || CAST(draw AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u
-  FROM {_metrics('lists')} x JOIN {_metrics('listsseg')} y ON x.customer_id = y.customer_id CROSS JOIN range({DEFAULT.bootstraps}) d(draw))) GROUP BY draw HAVING sum(w) > 0))"""
+  FROM {a} x JOIN {b} y ON x.customer_id = y.customer_id CROSS JOIN range({DEFAULT.bootstraps}) d(draw))) GROUP BY draw HAVING sum(w) > 0))"""
+
+
+_MODELS = {"GlobalPopularity": "listspop", "SegmentPopularity": "listsseg", "ItemItemCF_N50": "lists", "ItemItemCF_N100": "listsmost"}
+_EACH = ",\neach AS (" + " UNION ALL ".join(f"SELECT '{name}' AS model, * FROM {_metrics(lists)}" for name, lists in _MODELS.items()) + ")"
+_MEANS_OF_EACH = ",\nmeans AS (SELECT model, count(*) AS n_users, " + ", ".join(f"coalesce({_r(f'CAST(sum(CAST({c} AS DECIMAL(18,8))) AS DOUBLE) / count(*)', 6)}, 0.0) AS mean_{c}" for c in ("ndcg", "recall", "precision", "hit")) + " FROM each GROUP BY model)"
+_CHOSEN = ",\nbase AS (SELECT * FROM means WHERE model NOT LIKE 'ItemItem%' ORDER BY mean_ndcg DESC, model LIMIT 1),\ncf AS (SELECT * FROM means WHERE model LIKE 'ItemItem%' ORDER BY mean_ndcg DESC, length(model), model LIMIT 1)"
+_GATE = f"""SELECT *, CASE WHEN qualifies THEN candidate ELSE baseline END AS selected FROM (SELECT *, relative_gain >= 0.10 AND recall >= base_recall AND coalesce(d_low, 0.0) > 0 AS qualifies FROM (SELECT b.model AS baseline, a.model AS candidate, CASE WHEN b.mean_ndcg > 0 THEN {_r('(a.mean_ndcg - b.mean_ndcg) / b.mean_ndcg', 4)} ELSE 0.0 END AS relative_gain, a.mean_ndcg AS ndcg, b.mean_ndcg AS base_ndcg, a.mean_recall AS recall, b.mean_recall AS base_recall, d_low
+  FROM cf a CROSS JOIN chosenbase b CROSS JOIN ({_boot('(SELECT * FROM each WHERE model = (SELECT model FROM cf))', '(SELECT * FROM each WHERE model = (SELECT model FROM chosenbase))')}) c))"""
+_CHOSEN = _CHOSEN.replace("base AS", "chosenbase AS")
 
 _DISTANCE = "sqrt(pow({a}.r - {b}.r, 2) + pow({a}.f - {b}.f, 2) + pow({a}.m - {b}.m, 2))"
 _RULED = "(SELECT z.*, a.segment_id AS cluster FROM zs z JOIN assigned a ON z.customer_id = a.customer_id)"
@@ -184,7 +204,7 @@ ORACLE_SQL: dict[str, str] = {
   CASE WHEN l.method = 'item_cf' THEN '["' || replace(b.supporters, ', ', '", "') || '"]' ELSE '[]' END AS supporting_codes FROM lists l LEFT JOIN backers b ON l.customer_id = b.customer_id AND l.stock_code = b.stock_code LEFT JOIN names n ON n.stock_code = l.stock_code LEFT JOIN assigned a ON a.customer_id = l.customer_id)""", "early"),
     "segment_shares": _sql("SELECT * FROM shares"),
     "snapshot_overview": _sql(f"SELECT (SELECT count(*) FROM rfm) AS total_known, (SELECT count(*) FROM rfm WHERE status = 'known_active') AS total_active, (SELECT count(*) FROM items) AS catalog_size, {_FELL.format('lists')} AS fallback_item_share", "early"),
-    "drift_fallback": _sql(f"SELECT * FROM {_DRIFT_FALL}", "early", "test"),
+    "drift_fallback": _sql(f"SELECT * FROM {_DRIFT_FALL}", "test", "early"),
     "customer_profile_lookup": _sql("SELECT customer_id, recency_days, frequency_invoices, monetary_gbp, status, segment_id, segment_label FROM assigned"),
     "cohort_counts": _sql(" UNION ALL ".join(f"SELECT '{c}' AS cohort, count(DISTINCT customer_id) AS n_customers, count(*) AS n_pairs FROM t_{c}" for c in ("primary", "cold_start", "new_product")), "early"),
     "cohort_primary_truth": _sql("SELECT * FROM t_primary"),
@@ -192,11 +212,12 @@ ORACLE_SQL: dict[str, str] = {
     "cohort_new_product_truth": _sql("SELECT * FROM t_new_product"),
     "future_item_coverage": _sql(f"SELECT (SELECT count(*) FROM future) AS n_pairs, (SELECT count(*) FROM futin) AS n_in_catalog, CASE WHEN (SELECT count(*) FROM future) > 0 THEN {_r('(SELECT count(*) FROM futin) / (SELECT count(*) FROM future)', 4)} ELSE 0.0 END AS coverage"),
     "user_ranking_metrics": _sql(f"SELECT * FROM {_metrics('lists')}"),
-    "model_comparison": _sql(" UNION ALL ".join(_means(x, n) for x, n in (("listspop", "GlobalPopularity"), ("listsseg", "SegmentPopularity"), ("lists", "ItemCF")))),
+    "model_comparison": _with(_EACH + _MEANS_OF_EACH, "SELECT * FROM means"),
     "strongest_baseline": _sql("SELECT model, mean_ndcg FROM (" + _means("listspop", "GlobalPopularity") + " UNION ALL " + _means("listsseg", "SegmentPopularity") + ") ORDER BY mean_ndcg DESC, model LIMIT 1"),
     "coverage_and_fallback": _sql(f"SELECT {_r('(SELECT count(DISTINCT stock_code) FROM lists) / (SELECT count(*) FROM items)', 4)} AS coverage, {_r('(SELECT count(*) FROM lists WHERE method <> ' + chr(39) + 'item_cf' + chr(39) + ') / (SELECT count(*) FROM lists)', 4)} AS fallback_share, {_r('(SELECT count(DISTINCT customer_id) FROM lists WHERE method = ' + chr(39) + 'item_cf' + chr(39) + ') / (SELECT count(DISTINCT customer_id) FROM lists)', 4)} AS personalised_share", "early"),
-    "bootstrap_ci_hash": _sql(_BOOT),
-    "promotion_gate": _sql(f"SELECT relative_gain, ndcg, base_ndcg, recall, base_recall, d_low, relative_gain >= 0.10 AND recall >= base_recall AND coalesce(d_low, 0.0) > 0 AS qualifies FROM (SELECT CASE WHEN b.mean_ndcg > 0 THEN {_r('(a.mean_ndcg - b.mean_ndcg) / b.mean_ndcg', 4)} ELSE 0.0 END AS relative_gain, a.mean_ndcg AS ndcg, b.mean_ndcg AS base_ndcg, a.mean_recall AS recall, b.mean_recall AS base_recall, d_low FROM ({_means('lists', 'x')}) a CROSS JOIN ({_means('listsseg', 'y')}) b CROSS JOIN ({_BOOT}) c)"),
+    "bootstrap_ci_hash": _sql(_boot(_metrics("lists"), _metrics("listsseg"))),
+    "promotion_gate": _with(_EACH + _MEANS_OF_EACH + _CHOSEN, _GATE),
+    "best_neighbour_count": _with(_EACH + _MEANS_OF_EACH + _CHOSEN, "SELECT model, mean_ndcg FROM cf"),
     "rfm_log1p_standardized": _sql("SELECT * FROM zs"),
     "yeo_johnson_fixed_lambda": _sql(f"SELECT customer_id, {_r('(pow(r + 1, 0.5) - 1) / 0.5', 6)} AS r, {_r('ln(1 + f)', 6)} AS f, {_r('(pow(m + 1, 0.25) - 1) / 0.25', 6)} AS m FROM points"),
     "yeo_johnson_lambda_grid": _sql(f"""SELECT measure, "lambda", {_r('-n / 2.0 * ln(v) + ("lambda" - 1) * jac', 3)} AS loglik FROM (SELECT measure, "lambda", count(*) AS n, var_pop(CASE WHEN "lambda" = 0 THEN ln(1 + x) ELSE (pow(x + 1, "lambda") - 1) / "lambda" END) AS v, sum(ln(1 + x)) AS jac FROM (SELECT 'r' AS measure, r AS x FROM points UNION ALL SELECT 'f', f FROM points UNION ALL SELECT 'm', m FROM points) CROSS JOIN (SELECT i / 4.0::DOUBLE AS "lambda" FROM range(-4, 9) t(i)) GROUP BY measure, "lambda") WHERE v > 0"""),
@@ -207,10 +228,29 @@ ORACLE_SQL: dict[str, str] = {
     "davies_bouldin_rules": _sql(f"""SELECT count(*) AS n_clusters, {_r('avg(w)', 4)} AS davies_bouldin FROM (SELECT x.cluster, max((x.s + y.s) / {_DISTANCE.format(a='x', b='y')}) AS w FROM wide x JOIN wide y ON x.cluster <> y.cluster GROUP BY x.cluster)""".replace("FROM wide x JOIN wide y", "FROM {w} x JOIN {w} y").replace("{w}", f"(SELECT c.cluster, any_value(c.r) AS r, any_value(c.f) AS f, any_value(c.m) AS m, avg({_DISTANCE.format(a='p', b='c')}) AS s FROM {_RULED} p JOIN (SELECT cluster, avg(r) AS r, avg(f) AS f, avg(m) AS m FROM {_RULED} GROUP BY cluster) c ON p.cluster = c.cluster GROUP BY c.cluster)")),
     "adjusted_rand": _sql(f"""SELECT CASE WHEN abs((sx + sy) / 2 - sx * sy / t2) < 1e-12 THEN 1.0::DOUBLE ELSE {_r('(s - sx * sy / t2) / ((sx + sy) / 2 - sx * sy / t2)', 6)} END AS ari FROM (SELECT (SELECT sum(n * (n - 1) / 2.0::DOUBLE) FROM c) AS s, (SELECT sum(n) * (sum(n) - 1) / 2.0::DOUBLE FROM c) AS t2, (SELECT sum(k * (k - 1) / 2.0::DOUBLE) FROM (SELECT sum(n) AS k FROM c GROUP BY x)) AS sx, (SELECT sum(k * (k - 1) / 2.0::DOUBLE) FROM (SELECT sum(n) AS k FROM c GROUP BY y)) AS sy)""".replace("FROM c)", "FROM {c} c)").replace("FROM c GROUP", "FROM {c} c GROUP").replace("{c}", "(SELECT a.segment_id AS x, b.segment_id AS y, count(*) AS n FROM assigned_0 a JOIN assigned b ON a.customer_id = b.customer_id WHERE a.status = 'known_active' AND b.status = 'known_active' GROUP BY a.segment_id, b.segment_id)"), "test", "validation"),
     "snapshot_summary": _sql("SELECT * FROM summ"),
+    "stored_snapshot": _sql(f"""SELECT '{CUTOFFS['test']}' AS snapshot, * FROM (SELECT 'median' AS kind, measure AS key, median AS value FROM summ UNION ALL SELECT 'q25', measure, q25 FROM summ UNION ALL SELECT 'q75', measure, q75 FROM summ UNION ALL SELECT 'customers', status, CAST(count(*) AS DOUBLE) FROM rfm GROUP BY status
+  UNION ALL SELECT 'share', segment_id, share FROM shares UNION ALL SELECT 'item', stock_code, CAST(n_buyers AS DOUBLE) FROM items UNION ALL SELECT 'fallback', 'share', {_FELL.format('lists')})"""),
     "drift_rfm": _sql(f"SELECT * FROM {_DRIFT_RFM}", "test", "early"),
     "drift_segments": _sql(f"SELECT * FROM {_DRIFT_SEG}", "test", "early"),
     "drift_catalog": _sql(f"SELECT * FROM {_DRIFT_CAT}", "test", "early"),
     "drift_alerts": _sql(f"""SELECT count(*) AS n_alerts, coalesce(string_agg(c || ': ' || k || ': ' || message, '; ' ORDER BY c, k, message), '') AS alerts, count(*) > 0 AS requires_review FROM (SELECT 'median' AS c, measure AS k, 'median changed by ' || printf('%+.2f%%', coalesce(change, 0.0) * 100) AS message FROM {_DRIFT_RFM} WHERE alert
   UNION ALL SELECT 'segment', segment_id, 'share changed by ' || printf('%+.2f%%', change * 100) FROM {_DRIFT_SEG} WHERE alert UNION ALL SELECT 'catalog', 'jaccard', printf('similarity %.4f', jaccard) FROM {_DRIFT_CAT} WHERE alert
-  UNION ALL SELECT 'fallback', 'share', 'share increased by ' || printf('%+.2f%%', change * 100) FROM {_DRIFT_FALL.replace('lists_0', 'swap').replace('lists', 'lists_0').replace('swap', 'lists')} WHERE alert)""", "test", "early"),
+  UNION ALL SELECT 'fallback', 'share', 'share increased by ' || printf('%+.2f%%', change * 100) FROM {_DRIFT_FALL} WHERE alert)""", "test", "early"),
 }
+
+_SHARE = _r("min(n) / sum(n)", 4)
+ORACLE_SQL["rule_baseline"] = (
+    ORACLE_SQL["silhouette_rules"].replace("SELECT count(*) AS n_sampled", "SELECT 'RFMRules' AS family, CAST(max(t.k) AS INTEGER) AS k, max(t.min_share) AS min_share, max(db.davies_bouldin) AS davies_bouldin", 1)
+    + f" CROSS JOIN (SELECT count(*) AS k, {_SHARE} AS min_share FROM (SELECT segment_id, count(*) AS n FROM assigned WHERE status = 'known_active' GROUP BY segment_id)) t CROSS JOIN (" + ORACLE_SQL["davies_bouldin_rules"].partition(")\nSELECT")[1].strip(")\n") + ORACLE_SQL["davies_bouldin_rules"].partition(")\nSELECT")[2] + ") db"
+)
+_CUTS_THEN = "(SELECT * FROM cuts_0)"
+ORACLE_SQL["rule_model_segments"] = _sql(
+    f"""SELECT p.segment_id, segment_label, n AS customer_count, {_r('n / (sum(n) OVER ())', 4)} AS customer_share, median_recency, median_frequency, median_monetary,
+  CASE WHEN median_monetary >= 1500 AND median_frequency >= 4 AND median_recency <= 30 THEN 'Loyalty perks, early product access, and premium bundles to maximize retention.' WHEN median_monetary >= 1000 AND median_recency > 50 THEN 'Re-engagement win-back campaigns with personalized high-tier product discounts.'
+  WHEN median_frequency >= 3 AND median_recency <= 40 THEN 'Category cross-sell recommendations and volume discounts to boost basket size.' WHEN median_recency <= 30 AND median_frequency <= 2 THEN 'Nurture sequence and introductory category recommendations to foster repeat purchase.'
+  WHEN median_recency > 60 THEN 'Low-cost seasonal email reminders and highlight of top global bestsellers.' ELSE 'Targeted segment-popular product promotions and seasonal campaigns.' END AS campaign_hypothesis, '{CUTOFFS['test']}' AS snapshot_cutoff, 'test' AS version
+  FROM (SELECT segment_id, CASE segment_id WHEN 'SG01' THEN 'Recent Frequent High Spend' WHEN 'SG02' THEN 'Less Recent High Spend' WHEN 'SG03' THEN 'Recent Occasional' ELSE 'Other Active' END AS segment_label, count(*) AS n, {_r('median(recency_days)', 1)} AS median_recency, {_r('median(CAST(frequency_invoices AS DOUBLE))', 1)} AS median_frequency, {_r('median(monetary_gbp)', 2)} AS median_monetary
+  FROM (SELECT *, CASE WHEN r >= 3 AND f >= 3 AND m >= 3 THEN 'SG01' WHEN r <= 2 AND m >= 3 THEN 'SG02' WHEN r >= 3 AND f <= 2 THEN 'SG03' ELSE 'SG04' END AS segment_id FROM (SELECT x.*, 4 - (CAST(recency_days >= r_q1 AS INT) + CAST(recency_days >= r_q2 AS INT) + CAST(recency_days >= r_q3 AS INT)) AS r,
+  1 + CAST(frequency_invoices >= f_q1 AS INT) + CAST(frequency_invoices >= f_q2 AS INT) + CAST(frequency_invoices >= f_q3 AS INT) AS f, 1 + CAST(monetary_gbp >= m_q1 AS INT) + CAST(monetary_gbp >= m_q2 AS INT) + CAST(monetary_gbp >= m_q3 AS INT) AS m FROM rfm x CROSS JOIN {_CUTS_THEN} WHERE status = 'known_active')) GROUP BY segment_id) p""",
+    "test", "validation",
+)

@@ -5,14 +5,16 @@ Each query's docstring names the operators of the blueprint's inventory that it
 
 from __future__ import annotations
 
+from functools import cached_property, reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions import canonical_customer, half_even
-from basketry.operators import clean, cluster, evaluate, fits, itemcf, monitor, popularity, rules, serve, snapshot
+from basketry.operators import clean, cluster, evaluate, fits, itemcf, models, monitor, popularity, rules, serve, snapshot
 from basketry.params import CUTOFFS, DEFAULT
 from basketry.plans import oracles
-from basketry.sources import invoice_lines, raw_lines
+from basketry.sources import invoice_lines, raw_lines, stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = oracles.ORACLE_SQL
@@ -24,59 +26,78 @@ def query(fn):
 
 
 class Data:
-    """The tables a query starts from, at one cut-off. Purchases are kept for reuse within a session; Spark recomputes lost parts."""
+    """The tables a query starts from, at one cut-off.
+
+    What several parts of a plan read is written once to the shared folder when first
+    asked for, so no branch makes it anew and a lost executor costs only its tasks. once:
+    the query reads the purchases a single time, so nothing of them is written.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, role: str = "test"):
-        self.spark, self.cutoff = spark, CUTOFFS[role]
+    def __init__(self, spark: SparkSession, sf_dir: str, role: str = "test", once: bool = False):
+        self.spark, self.role, self.cutoff = spark, role, CUTOFFS[role]
         self.raw = raw_lines(spark, sf_dir)
         self.lines = clean.classified(self.raw)
-        self.bought = clean.purchases(self.lines).persist()
+        bought = clean.purchases(self.lines)
+        self.bought = bought if once else stored(bought, "bought")
 
-    def at(self, role: str) -> Data:
-        other = object.__new__(Data)
-        other.__dict__.update(self.__dict__, cutoff=CUTOFFS[role])
-        return other
+    @classmethod
+    def of(cls, bought: DataFrame, role: str) -> Data:
+        """The same over purchases that are a table already."""
+        self = object.__new__(cls)
+        self.spark, self.role, self.cutoff, self.bought = bought.sparkSession, role, CUTOFFS[role], bought
+        return self
 
-    profiles = property(lambda self: snapshot.rfm_profiles(self.bought, self.cutoff))
-    items = property(lambda self: snapshot.catalog(self.bought, self.cutoff))
-    pairs = property(lambda self: snapshot.interactions(self.bought, self.items, self.cutoff))
+    def at(self, role: str) -> Data:
+        return Data.of(self.bought, role)
+
+    past = property(lambda self: (self.bought, self.cutoff))
+    profiles = property(lambda self: snapshot.rfm_profiles(*self.past))
+    known = cached_property(lambda self: stored(self.profiles, "profiles"))
+    items = cached_property(lambda self: stored(snapshot.catalog(self.bought, self.cutoff), "items"))
+    pairs = cached_property(lambda self: stored(snapshot.interactions(self.bought, self.items, self.cutoff), "pairs"))
+    owned = cached_property(lambda self: stored(snapshot.history(self.bought, self.cutoff).select("customer_id", "stock_code").distinct(), "owned"))
     names = property(lambda self: snapshot.descriptions(self.bought, self.cutoff))
-    assigned = property(lambda self: rules.rule_segments(rules.scores(self.profiles)))
-    world = property(lambda self: popularity.global_scores(self.bought, self.items, self.cutoff))
-    segment = property(lambda self: popularity.segment_scores(self.bought, self.items, self.assigned, self.cutoff))
+    assigned = cached_property(lambda self: stored(rules.rule_segments(rules.scores(self.known)), "assigned"))
+    world = cached_property(lambda self: stored(popularity.global_scores(self.bought, self.items, self.cutoff), "world"))
+    segment = cached_property(lambda self: stored(popularity.segment_scores(self.bought, self.items, self.assigned, self.cutoff), "segment"))
     n_items = property(lambda self: self.items.agg(F.count("*").alias("n_items")))
-    points = property(lambda self: cluster.measures(self.profiles))
-
-    def neighbours(self, tfidf: bool = False) -> DataFrame:
-        pairs = self.pairs.persist()
-        idf = itemcf.item_idf(pairs, self.known_count) if tfidf else None
-        return itemcf.neighbours(itemcf.co_buyers(pairs), itemcf.item_counts(pairs), idf=idf)
+    known_count = property(lambda self: self.known.agg(F.count("*").alias("n")))
+    points = property(lambda self: cluster.measures(self.known))
+    near = cached_property(lambda self: stored(self.neighbours(most=max(DEFAULT.neighbour_choices)), "near"))
+    scored = cached_property(lambda self: stored(itemcf.scores_by_bound(self.pairs, self.near, DEFAULT.neighbour_choices), "scored"))
 
-    known_count = property(lambda self: self.profiles.agg(F.count("*").alias("n")))
+    def neighbours(self, tfidf: bool = False, most: int = DEFAULT.neighbours) -> DataFrame:
+        idf = itemcf.item_idf(self.pairs, self.known_count) if tfidf else None
+        return itemcf.neighbours(itemcf.co_buyers(self.pairs), itemcf.item_counts(self.pairs), idf=idf, most=most)
 
-    def candidates(self) -> DataFrame:
-        return itemcf.candidate_scores(self.pairs, self.neighbours())
+    def candidates(self, n: int = DEFAULT.neighbours) -> DataFrame:
+        return itemcf.scores_of(self.scored, n)
 
-    def owned(self) -> DataFrame:
-        return snapshot.history(self.bought, self.cutoff).select("customer_id", "stock_code").distinct()
-
-    def lists(self, new_only: bool = False, k: int = DEFAULT.k) -> DataFrame:
-        scored = serve.cf_scores_for(self.owned(), self.candidates(), new_only)
-        return serve.fallback_lists(scored, self.assigned.select("customer_id", "segment_id"), self.segment, self.world, self.owned(), k, new_only)
+    def lists(self, new_only: bool = False, k: int = DEFAULT.k, n: int = DEFAULT.neighbours) -> DataFrame:
+        scored = serve.cf_scores_for(self.owned, self.candidates(n), True) if new_only else self.candidates(n)
+        return serve.fallback_lists(scored, self.assigned.select("customer_id", "segment_id"), self.segment, self.world, self.owned if new_only else None, k, new_only)
 
     def popular_lists(self, k: int = DEFAULT.k) -> DataFrame:
-        return serve.global_lists(self.profiles.select("customer_id"), self.world, k)
+        return serve.global_lists(self.known.select("customer_id"), self.world, k)
 
     def segment_lists(self, k: int = DEFAULT.k) -> DataFrame:
-        nothing = self.candidates_none()
-        return serve.fallback_lists(nothing, self.assigned.select("customer_id", "segment_id"), self.segment, self.world, self.owned(), k)
-
-    def candidates_none(self) -> DataFrame:
-        return self.spark.createDataFrame([], "customer_id string, stock_code string, score double")
+        nothing = self.spark.createDataFrame([], "customer_id string, stock_code string, score double")
+        return serve.fallback_lists(nothing, self.assigned.select("customer_id", "segment_id"), self.segment, self.world, None, k)
 
     def truth(self, cohort: str) -> DataFrame:
         return evaluate.truth(self.bought, self.items, self.cutoff, cohort)
 
+    @cached_property
+    def metrics(self) -> dict[str, DataFrame]:
+        """Each model's metrics by customer, baselines first."""
+        truth = stored(self.truth("primary"), "truth")
+        lists = {"GlobalPopularity": self.popular_lists(), "SegmentPopularity": self.segment_lists()} | {f"ItemItemCF_N{n}": self.lists(n=n) for n in DEFAULT.neighbour_choices}
+        return {name: stored(evaluate.user_metrics(x, truth), "metrics") for name, x in lists.items()}
+
+
+BASELINES = ("GlobalPopularity", "SegmentPopularity")
+CF_MODELS = tuple(f"ItemItemCF_N{n}" for n in DEFAULT.neighbour_choices)
+
 
 @query
 def raw_lines_profile(spark, sf_dir):
@@ -87,13 +108,13 @@ def raw_lines_profile(spark, sf_dir):
 @query
 def clean_audit(spark, sf_dir):
     """C1-C10."""
-    return clean.audit(Data(spark, sf_dir).lines)
+    return clean.audit(Data(spark, sf_dir, once=True).lines)
 
 
 @query
 def clean_purchases(spark, sf_dir):
     """C1-C8, C11, S1-S8."""
-    return Data(spark, sf_dir).bought.select("invoice_no", "stock_code", "description", "quantity", "ts", "customer_id", "country", "value")
+    return Data(spark, sf_dir, once=True).bought.select("invoice_no", "stock_code", "description", "quantity", "ts", "customer_id", "country", "value")
 
 
 @query
@@ -106,19 +127,19 @@ def customer_id_canonical(spark, sf_dir):
 @query
 def excluded_codes(spark, sf_dir):
     """C9."""
-    return clean.excluded_codes(Data(spark, sf_dir).lines)
+    return clean.excluded_codes(Data(spark, sf_dir, once=True).lines)
 
 
 @query
 def anonymous_value(spark, sf_dir):
     """C4."""
-    return clean.anonymous_value(Data(spark, sf_dir).lines)
+    return clean.anonymous_value(Data(spark, sf_dir, once=True).lines)
 
 
 @query
 def purchases_provenance(spark, sf_dir):
     """A12 over kept lines, A11 on the span of time."""
-    bought = Data(spark, sf_dir).bought
+    bought = Data(spark, sf_dir, once=True).bought
     out = bought.agg(F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     return out.withColumn("digest", F.upper(F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), F.date_format("first_ts", "yyyy-MM-dd"), F.date_format("last_ts", "yyyy-MM-dd")), 256)))
 
@@ -132,37 +153,38 @@ def spend_concentration(spark, sf_dir):
 @query
 def rfm_profiles(spark, sf_dir):
     """F1, S9, S10, G1-G3."""
-    return Data(spark, sf_dir).profiles
+    return Data(spark, sf_dir, once=True).profiles
 
 
 @query
 def rfm_profiles_early(spark, sf_dir):
     """F1 at the early cut-off."""
-    return Data(spark, sf_dir, "early").profiles
+    return Data(spark, sf_dir, "early", once=True).profiles
 
 
 @query
 def known_inactive(spark, sf_dir):
     """J2."""
-    return Data(spark, sf_dir).profiles.where(F.col("status") == snapshot.INACTIVE).select("customer_id", "recency_days")
+    return Data(spark, sf_dir, once=True).profiles.where(F.col("status") == snapshot.INACTIVE).select("customer_id", "recency_days")
 
 
 @query
 def rfm_metadata(spark, sf_dir):
     """F2, G13."""
-    return snapshot.rfm_metadata(Data(spark, sf_dir).profiles)
+    return snapshot.rfm_metadata(Data(spark, sf_dir, once=True).profiles)
 
 
 @query
 def catalog_items(spark, sf_dir):
     """F3, J12."""
-    return Data(spark, sf_dir).items
+    d = Data(spark, sf_dir, once=True)
+    return snapshot.catalog(d.bought, d.cutoff)
 
 
 @query
 def catalog_descriptions(spark, sf_dir):
     """W1, J4."""
-    return Data(spark, sf_dir).names
+    return Data(spark, sf_dir, once=True).names
 
 
 @query
@@ -174,19 +196,19 @@ def interactions(spark, sf_dir):
 @query
 def customer_histories(spark, sf_dir):
     """G4."""
-    return Data(spark, sf_dir).owned().groupBy("customer_id").agg(F.array_join(F.array_sort(F.collect_set("stock_code")), ",").alias("codes"))
+    return snapshot.history(*Data(spark, sf_dir, once=True).past).select("customer_id", "stock_code").groupBy("customer_id").agg(F.array_join(F.array_sort(F.collect_set("stock_code")), ",").alias("codes"))
 
 
 @query
 def rfm_cutpoints(spark, sf_dir):
     """G6, M5."""
-    return rules.cutpoints(Data(spark, sf_dir).profiles)
+    return rules.cutpoints(Data(spark, sf_dir, once=True).profiles)
 
 
 @query
 def rfm_scores(spark, sf_dir):
     """S13."""
-    return rules.scores(Data(spark, sf_dir).profiles).select("customer_id", "r_score", "f_score", "m_score")
+    return rules.scores(Data(spark, sf_dir, once=True).known).select("customer_id", "r_score", "f_score", "m_score")
 
 
 @query
@@ -262,7 +284,7 @@ def cf_candidate_scores(spark, sf_dir):
 def cf_supporters(spark, sf_dir):
     """R8, W6, S17, S19."""
     d = Data(spark, sf_dir, "early")
-    found = itemcf.supporters(d.pairs, d.neighbours())
+    found = itemcf.supporters(d.pairs, d.near.where(F.col("rank") <= DEFAULT.neighbours))
     return found.select("customer_id", "stock_code", F.array_join("supporters", ", ").alias("supporters"))
 
 
@@ -318,14 +340,14 @@ def recs_unknown_customers(spark, sf_dir):
 def response_status(spark, sf_dir):
     """V5."""
     d = Data(spark, sf_dir, "early")
-    return serve.response_status(d.lists(), d.profiles, d.n_items, DEFAULT.k)
+    return serve.response_status(d.lists(), d.known, d.n_items, DEFAULT.k)
 
 
 @query
 def recs_csv_safe(spark, sf_dir):
     """A7, R8, S17-S19."""
     d = Data(spark, sf_dir, "early")
-    return serve.csv_rows(serve.explained(d.lists(), itemcf.supporters(d.pairs, d.neighbours()), d.names, d.assigned))
+    return serve.csv_rows(serve.explained(d.lists(), itemcf.supporters(d.pairs, d.near.where(F.col("rank") <= DEFAULT.neighbours)), d.names, d.assigned))
 
 
 @query
@@ -378,9 +400,9 @@ def user_ranking_metrics(spark, sf_dir):
 
 
 def compared(d: Data) -> DataFrame:
-    models = {"GlobalPopularity": d.popular_lists(), "SegmentPopularity": d.segment_lists(), "ItemCF": d.lists()}
-    parts = [evaluate.summary(evaluate.user_metrics(x, d.truth("primary")), name) for name, x in models.items()]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    """A row for each model: both baselines and item-to-item filtering with each number of neighbours."""
+    parts = [evaluate.summary(x, name) for name, x in d.metrics.items()]
+    return stored(reduce(DataFrame.unionAll, parts), "compared")
 
 
 @query
@@ -392,33 +414,43 @@ def model_comparison(spark, sf_dir):
 @query
 def strongest_baseline(spark, sf_dir):
     """The popularity model to beat; the segment's only where it is better."""
-    return evaluate.strongest(compared(Data(spark, sf_dir)).where(F.col("model") != "ItemCF"), ("GlobalPopularity", "SegmentPopularity"))
+    return evaluate.strongest(compared(Data(spark, sf_dir)), BASELINES)
+
+
+@query
+def best_neighbour_count(spark, sf_dir):
+    """The number of neighbours to put forward; of equals the smaller one."""
+    return evaluate.strongest(compared(Data(spark, sf_dir)), CF_MODELS)
 
 
 @query
 def coverage_and_fallback(spark, sf_dir):
     """G11, G12."""
     d = Data(spark, sf_dir, "early")
-    return evaluate.list_shares(d.lists(), d.n_items)
+    return evaluate.list_shares(stored(d.lists(), "lists"), d.n_items)
 
 
 @query
 def bootstrap_ci_hash(spark, sf_dir):
     """E4."""
     d = Data(spark, sf_dir)
-    return evaluate.bootstrap(evaluate.user_metrics(d.lists(), d.truth("primary")), evaluate.user_metrics(d.segment_lists(), d.truth("primary")))
+    return evaluate.bootstrap(d.metrics[CF_MODELS[0]], d.metrics["SegmentPopularity"])
 
 
-@query
-def promotion_gate(spark, sf_dir):
-    """E5."""
-    d = Data(spark, sf_dir)
-    a, b = evaluate.user_metrics(d.lists(), d.truth("primary")), evaluate.user_metrics(d.segment_lists(), d.truth("primary"))
-    return evaluate.promotion(evaluate.summary(b, "SegmentPopularity"), evaluate.summary(a, "ItemCF"), evaluate.bootstrap(a, b))
+def gate(d: Data) -> DataFrame:
+    """E5 over the strongest baseline and the best number of neighbours, one row; the two are chosen from a few rows."""
+    means = compared(d)
+    baseline, candidate = (evaluate.strongest(means, names).first() for names in (BASELINES, CF_MODELS))
+    of = lambda x: means.where(F.col("model") == x.model)
+    judged = evaluate.promotion(of(baseline), of(candidate), evaluate.bootstrap(d.metrics[candidate.model], d.metrics[baseline.model]))
+    chosen = F.when(F.col("qualifies"), candidate.model).otherwise(baseline.model)
+    return judged.select(F.lit(baseline.model).alias("baseline"), F.lit(candidate.model).alias("candidate"), *judged.columns, chosen.alias("selected"))
 
 
-def _six(points: DataFrame) -> DataFrame:
-    return points.select("customer_id", *(half_even(F.col(c), 6).alias(c) for c in "rfm"))
+@query
+def promotion_gate(spark, sf_dir):
+    """Item-to-item filtering with 50 or 100 neighbours, whichever is better, against the stronger popularity model."""
+    return gate(Data(spark, sf_dir))
 
 
 @query
@@ -478,14 +510,13 @@ def gmm_diagonal_segments(spark, sf_dir):
 
 
 def _rule_labelled(d: Data) -> DataFrame:
-    z = cluster.standardized(cluster.log1p(d.points))
-    return z.join(d.assigned.select("customer_id", F.col("segment_id").alias("cluster")), "customer_id").select("customer_id", "cluster", *(half_even(F.col(c), 6).alias(c) for c in "rfm"))
+    return stored(cluster.rule_labelled(d.assigned), "labelled")
 
 
 @query
 def silhouette_rules(spark, sf_dir):
     """M8."""
-    return cluster.silhouette(_rule_labelled(Data(spark, sf_dir)).persist())
+    return cluster.silhouette(_rule_labelled(Data(spark, sf_dir)))
 
 
 @query
@@ -494,6 +525,12 @@ def davies_bouldin_rules(spark, sf_dir):
     return cluster.davies_bouldin(_rule_labelled(Data(spark, sf_dir)))
 
 
+@query
+def rule_baseline(spark, sf_dir):
+    """The rules judged like a model of the grid."""
+    return cluster.rule_baseline(Data(spark, sf_dir).assigned).select("family", "k", half_even(F.col("min_share"), 4).alias("min_share"), "silhouette", "davies_bouldin")
+
+
 @query
 def adjusted_rand(spark, sf_dir):
     """Rule segments at the validation and test cut-offs."""
@@ -504,9 +541,10 @@ def adjusted_rand(spark, sf_dir):
 
 @query
 def cluster_candidates(spark, sf_dir):
-    """Every model of the grid with what the gates read."""
-    found = fits.candidates(cluster.transformed(Data(spark, sf_dir).points))
-    return found.select("family", "covariance", "k", *(half_even(F.col(c), 4).alias(c) for c in ("min_share", "ari", "silhouette")), "bic")
+    """Every model of the grid with what the gates read, and the rules beside them."""
+    d = Data(spark, sf_dir)
+    found = fits.candidates(cluster.transformed(d.points)).unionByName(cluster.rule_baseline(d.assigned))
+    return found.select("family", "covariance", "k", *(half_even(F.col(c), 4).alias(c) for c in ("min_share", "ari", "silhouette", "davies_bouldin")), "bic")
 
 
 @query
@@ -515,38 +553,52 @@ def cluster_selection(spark, sf_dir):
     return cluster.selection(fits.candidates(cluster.transformed(Data(spark, sf_dir).points)))
 
 
+def chosen_model(d: Data) -> models.Model:
+    """The model that `cluster_selection` chooses, fitted, written as a table and read back."""
+    choice = cluster.selection(fits.candidates(cluster.transformed(d.points))).first()
+    return models.read(stored(models.fit(d.known, *choice), "model"))
+
+
+@query
+def learned_model(spark, sf_dir):
+    """The chosen model as a table."""
+    model = chosen_model(Data(spark, sf_dir))
+    return spark.createDataFrame(model.rows, models.SCHEMA)
+
+
 @query
 def learned_segments(spark, sf_dir):
-    """M14, W7, S15 on learned clusters: profile, order and name of each."""
+    """Profile, order and name of each segment of the chosen model."""
     d = Data(spark, sf_dir)
-    learned = cluster.kmeans(cluster.transformed(d.points), 3).select("customer_id", F.col("cluster").cast("string").alias("segment_id"))
-    active = d.profiles.where(F.col("status") == snapshot.ACTIVE).join(learned, "customer_id")
-    return rules.cluster_names(rules.ordinals(rules.segment_profiles(active))).drop("segment_id")
+    return models.summary(models.assign(d.known, chosen_model(d)), d.cutoff, d.role)
 
 
 @query
 def learned_assignment(spark, sf_dir):
-    """learned clusters by their ordinal; inactive customers are a segment apart."""
+    """the chosen model's segments; inactive customers are a segment apart."""
     d = Data(spark, sf_dir)
-    learned = cluster.kmeans(cluster.transformed(d.points), 3).select("customer_id", F.col("cluster").cast("string").alias("segment_id")).persist()
-    profiles = d.profiles
-    named = rules.cluster_names(rules.ordinals(rules.segment_profiles(profiles.where(F.col("status") == snapshot.ACTIVE).join(learned, "customer_id"))))
-    told = learned.join(F.broadcast(named.select("segment_id", "ordinal", "label")), "segment_id").select("customer_id", "ordinal", "label")  # a row for each cluster
-    sid, label = rules.INACTIVE_SEGMENT
-    return profiles.join(told, "customer_id", "left").select("customer_id", F.coalesce("ordinal", F.lit(sid)).alias("segment_id"), F.coalesce("label", F.lit(label)).alias("segment_label"))
+    return models.assign(d.known, chosen_model(d)).select("customer_id", "segment_id", "segment_label")
+
+
+@query
+def rule_model_segments(spark, sf_dir):
+    """The rules of the validation cut-off as a stored model that labels the customers of the test cut-off."""
+    d = Data(spark, sf_dir)
+    model = models.read(stored(models.fit(d.at("validation").known, *models.RULES), "model"))
+    return models.summary(models.assign(d.known, model), d.cutoff, d.role)
 
 
 @query
 def snapshot_summary(spark, sf_dir):
     """D1."""
-    return monitor.snapshot_summary(Data(spark, sf_dir).profiles)
+    return monitor.snapshot_summary(Data(spark, sf_dir, once=True).known)
 
 
 @query
 def drift_rfm(spark, sf_dir):
     """D2."""
     d = Data(spark, sf_dir)
-    return monitor.median_drift(monitor.snapshot_summary(d.at("early").profiles), monitor.snapshot_summary(d.profiles))
+    return monitor.median_drift(monitor.snapshot_summary(d.at("early").known), monitor.snapshot_summary(d.known))
 
 
 @query
@@ -564,12 +616,12 @@ def drift_catalog(spark, sf_dir):
 
 
 def _fallback_drift(d: Data) -> DataFrame:
-    return monitor.fallback_drift(monitor.fallback_share(d.lists()), monitor.fallback_share(d.at("early").lists()))
+    return monitor.fallback_drift(monitor.fallback_share(d.at("early").lists()), monitor.fallback_share(d.lists()))
 
 
 @query
 def drift_fallback(spark, sf_dir):
-    """From the test to the early cut-off, where lists fall back more."""
+    """From the early to the test cut-off."""
     return _fallback_drift(Data(spark, sf_dir))
 
 
@@ -577,7 +629,7 @@ def drift_fallback(spark, sf_dir):
 def snapshot_overview(spark, sf_dir):
     """D1."""
     d = Data(spark, sf_dir, "early")
-    return monitor.overview(d.profiles, d.items, monitor.fallback_share(d.lists()))
+    return monitor.overview(d.known, d.items, monitor.fallback_share(d.lists()))
 
 
 @query
@@ -586,8 +638,21 @@ def segment_shares(spark, sf_dir):
     return monitor.segment_shares(Data(spark, sf_dir).assigned)
 
 
+def snapshot_rows(d: Data) -> DataFrame:
+    """D1 as the rows of a snapshot table."""
+    return monitor.snapshot_rows(d.cutoff, d.known, d.assigned, d.items, monitor.fallback_share(d.lists()))
+
+
+@query
+def stored_snapshot(spark, sf_dir):
+    """All that a later comparison reads of a snapshot."""
+    return snapshot_rows(Data(spark, sf_dir))
+
+
 @query
 def drift_alerts(spark, sf_dir):
-    """D2-D6, S20; the fallback check looks from the test to the early cut-off, so that it has something to tell."""
+    """Two stored snapshots compared, the early one and that of the test cut-off."""
     d = Data(spark, sf_dir)
-    return monitor.report(monitor.alerts(drift_rfm(spark, sf_dir), drift_segments(spark, sf_dir), monitor.catalog_drift(d.at("early").items, d.items), _fallback_drift(d)))
+    early = d.at("early")
+    table = stored(snapshot_rows(early).unionAll(snapshot_rows(d)), "snapshots")
+    return monitor.report(monitor.compared(table, early.cutoff, d.cutoff))
