@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry import release
-from basketry.operators import itemcf, serve
+from basketry.operators import clean, cluster, fits, itemcf, models, monitor, selection, serve
 from basketry.params import CUTOFFS, DEFAULT
 from basketry.plans import registry
+from basketry.sources import stored, write_sorted
 
 
 def parser() -> argparse.ArgumentParser:
@@ -24,16 +25,24 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(o, required=True)
         return p
 
-    add("prepare", "clean the raw lines and write the purchases", "--data", "--output")
+    prepare = add("prepare", "clean the raw lines (a folder of tables, a .csv or a .xlsx file) and write the purchases in order of time", "--data", "--output")
+    prepare.add_argument("--report", help="JSON folder for lines removed by rule")
+    freeze = add("freeze", "choose models at the validation cut-off and tie the choice to data and parameters", "--data", "--output")
+    freeze.add_argument("--rules", action="store_true", help="keep the rule segments, without a search of models")
     train = add("train", "write a release for a cut-off", "--data", "--output")
     train.add_argument("--stage", choices=sorted(CUTOFFS), default="test")
+    train.add_argument("--selection", help="frozen choice to refit; refused where data or parameters have changed")
     train.add_argument("--runs", help="table of runs to append to")
+    train.add_argument("--snapshots", help="table of snapshots to append to")
     evaluate = add("evaluate", "compare the models after a cut-off", "--data")
     evaluate.add_argument("--stage", choices=sorted(CUTOFFS), default="test")
+    evaluate.add_argument("--output", help="JSON folder")
     ask = add("recommend", "answer a request from a release", "--release", "--customer-id")
     ask.add_argument("--mode", choices=release.MODES, default=release.MODES[0])
     ask.add_argument("--top-k", type=int, default=DEFAULT.k)
-    add("monitor", "drift between the early and the test cut-off", "--data", "--output")
+    add("monitor", "alerts between two snapshots of a table, the earlier one as the reference", "--snapshots", "--reference", "--current", "--output")
+    export = add("export", "write lists and segments of a release as CSV", "--release", "--output")
+    export.add_argument("--top-k", type=int, default=DEFAULT.k)
     timing = add("benchmark", "time single requests", "--release", "--output")
     timing.add_argument("--warm-up", type=int, default=10)
     timing.add_argument("--calls", type=int, default=200)
@@ -43,13 +52,34 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def release_tables(d: registry.Data, longest: int = 20) -> dict[str, DataFrame]:
-    backers, parts = itemcf.supporters(d.pairs, d.neighbours()), []
+def release_tables(d: registry.Data, version: str, recommender: str = registry.CF_MODELS[0], longest: int = release.MOST_ASKED) -> dict[str, DataFrame]:
+    """The release's tables at a cut-off, with the lists of the recommender and the segments that d has."""
+    parts = []
+    bound = int(recommender.rpartition("_N")[2]) if recommender in registry.CF_MODELS else 0
+    backers = itemcf.supporters(d.pairs, d.near.where(F.col("rank") <= bound))
     for mode in release.MODES:
-        lists = d.lists(new_only=mode == release.MODES[1], k=longest)
+        lists = d.lists_of(recommender, new_only=mode == release.MODES[1], k=longest)
         parts.append(serve.explained(lists, backers, d.names, d.assigned).withColumn("mode", F.lit(mode)))
     profiles = d.assigned.select("customer_id", "recency_days", "frequency_invoices", "monetary_gbp", "status", "segment_id", "segment_label")
-    return {"profiles": profiles, "lists": parts[0].unionAll(parts[1]), "world": d.world, "names": d.names}
+    return {"profiles": profiles, "lists": parts[0].unionAll(parts[1]), "world": d.world, "names": d.names, "segments": models.summary(d.assigned, d.cutoff, version)}
+
+
+def train(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Write a release; with a frozen choice its models are fitted again on the stage's customers."""
+    d, recommender, choice = registry.Data(spark, args.data, args.stage), registry.CF_MODELS[0], models.RULES
+    if args.selection:
+        row = selection.frozen(spark, args.selection, d.raw)
+        recommender, choice = row.recommender, (row.family, row.covariance, row.k)
+        d.assigned = stored(models.assign(d.known, models.read(stored(models.fit(d.known, *choice), "model"))), "assigned")
+    version = f"{args.stage}-{d.cutoff}"
+    manifest = release.write_release(release_tables(d, version, recommender), args.output, version, d.cutoff, recommender)
+    shown(manifest.select("table", "n_rows", "digest", "version"))
+    if args.runs:
+        chosen = dict(zip(selection.CHOICE, choice, strict=True)) | {"cutoff": d.cutoff, "k": DEFAULT.k, "recommender": recommender}
+        release.log_run(spark, args.runs, args.stage, chosen, {r.table: r.n_rows for r in manifest.collect()})
+    if args.snapshots:
+        share = monitor.fallback_share(d.lists_of(recommender))
+        monitor.append_snapshot(monitor.snapshot_rows(d.cutoff, d.known, d.assigned, d.items, share), args.snapshots)
 
 
 def shown(df: DataFrame) -> None:
@@ -61,22 +91,32 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
     if args.command == "prepare":
-        registry.Data(spark, args.data).bought.write.mode("overwrite").parquet(args.output)
+        d = registry.Data(spark, args.data)
+        write_sorted(d.bought, args.output, "ts", "invoice_no", "stock_code")
+        if args.report:
+            clean.audit(d.lines).coalesce(1).write.mode("overwrite").json(args.report)
+    elif args.command == "freeze":
+        d = registry.Data(spark, args.data, "validation")
+        choice = [models.RULES] if args.rules else cluster.selection(fits.candidates(cluster.transformed(d.points))).collect()  # one row
+        selection.freeze(selection.manifest(d.raw, registry.gate(d), d.cutoff), spark.createDataFrame(choice, "family string, covariance string, k int"), args.output)
+        shown(spark.read.schema(selection.SCHEMA).json(args.output))
     elif args.command == "train":
-        d = registry.Data(spark, args.data, args.stage)
-        manifest = release.write_release(release_tables(d), args.output, f"{args.stage}-{d.cutoff}", d.cutoff)
-        shown(manifest.select("table", "n_rows", "version"))
-        if args.runs:
-            release.log_run(spark, args.runs, args.stage, {"cutoff": d.cutoff, "k": DEFAULT.k, "neighbours": DEFAULT.neighbours}, {r.table: r.n_rows for r in manifest.collect()})
+        train(spark, args)
     elif args.command == "evaluate":
-        shown(registry.compared(registry.Data(spark, args.data, args.stage)))
+        found = registry.compared(registry.Data(spark, args.data, args.stage))
+        if args.output:
+            found.coalesce(1).write.mode("overwrite").json(args.output)
+        shown(found)
     elif args.command == "recommend":
-        shown(release.answer(release.read_release(spark, args.release), args.customer_id, args.top_k, args.mode))
+        print(json.dumps(release.Keyed(args.release).answer(args.customer_id, args.top_k, args.mode), ensure_ascii=False))
     elif args.command == "monitor":
-        registry.QUERIES["drift_alerts"](spark, args.data).coalesce(1).write.mode("overwrite").json(args.output)
+        found = monitor.report(monitor.compared(monitor.read_snapshots(spark, args.snapshots), args.reference, args.current))
+        found.coalesce(1).write.mode("overwrite").json(args.output)
+    elif args.command == "export":
+        release.export_csv(release.read_release(spark, args.release), args.output, args.top_k)
     elif args.command == "benchmark":
-        tables = {k: v.cache() for k, v in release.read_release(spark, args.release).items()}
-        times = release.response_times(spark, lambda cid: release.answer(tables, cid, args.top_k, release.MODES[0]).collect(), release.pool(tables["profiles"]), args.warm_up, args.calls)
+        keyed, profiles = release.Keyed(args.release), spark.read.parquet(f"{args.release}/profiles")
+        times = release.response_times(spark, lambda cid: keyed.answer(cid, args.top_k), release.pool(profiles), args.warm_up, args.calls)
         result = release.time_summary(times)
         result.coalesce(1).write.mode("overwrite").json(args.output)
         shown(result)

@@ -12,6 +12,8 @@ from basketry.params import DEFAULT, Params
 
 # Method names by tier.
 TIERS = ("item_cf", "segment_popularity", "global_popularity")
+# The fields of a recommended item.
+ITEM = ("rank", "stock_code", "description", "score", "method", "reason_code", "reason", "supporting_codes", "is_fallback")
 # Reason codes and what they say.
 REASONS = (
     ("similar_to_purchase_history", "Frequently bought together with "),
@@ -120,7 +122,7 @@ def answers(requests: DataFrame, profiles: DataFrame, named: DataFrame, world: D
     known customers, as long as the longest request; an unknown customer gets the global list.
     """
     asked = requests.join(profiles.select("customer_id", F.col("status").alias("customer_status"), "segment_id", "segment_label"), "customer_id", "left").withColumn("customer_status", F.coalesce("customer_status", F.lit("unknown_customer")))
-    columns = ["rank", "stock_code", "description", "score", "method", "reason_code", "reason", "supporting_codes", "is_fallback"]
+    columns = list(ITEM)
     strangers = asked.where("customer_status = 'unknown_customer'").select("customer_id")
     top = top_ranked(world, 20).join(names, "stock_code", "left")  # the longest list that may be asked for
     theirs = strangers.join(F.broadcast(top)).select(

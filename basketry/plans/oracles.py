@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from basketry.operators.selection import params_digest
 from basketry.params import CUTOFFS, DEFAULT
 
 _BASE = """
@@ -243,6 +244,17 @@ ORACLE_SQL["rule_baseline"] = (
     ORACLE_SQL["silhouette_rules"].replace("SELECT count(*) AS n_sampled", "SELECT 'RFMRules' AS family, CAST(max(t.k) AS INTEGER) AS k, max(t.min_share) AS min_share, max(db.davies_bouldin) AS davies_bouldin", 1)
     + f" CROSS JOIN (SELECT count(*) AS k, {_SHARE} AS min_share FROM (SELECT segment_id, count(*) AS n FROM assigned WHERE status = 'known_active' GROUP BY segment_id)) t CROSS JOIN (" + ORACLE_SQL["davies_bouldin_rules"].partition(")\nSELECT")[1].strip(")\n") + ORACLE_SQL["davies_bouldin_rules"].partition(")\nSELECT")[2] + ") db"
 )
+_COLUMNS = {"Country": "Country", "CustomerID": "CustomerID", "Description": "Description", "InvoiceDate": "strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S')", "InvoiceNo": "InvoiceNo"} | {c: f"CAST(CAST(round_even({c} * 1e6, 0) AS HUGEINT) AS VARCHAR)" for c in ("Quantity",)} | {"StockCode": "StockCode", "UnitPrice": "CAST(CAST(round_even(UnitPrice * 1e6, 0) AS HUGEINT) AS VARCHAR)"}
+_ROW = " || ',' || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in _COLUMNS.values())
+_SUMS = ", ".join(f"coalesce(sum(CAST(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT) AS HUGEINT)), 0) AS s{i}" for i in range(4))
+_DIGEST = f"SELECT n_rows, upper(sha256(n_rows || '|' || s0 || '|' || s1 || '|' || s2 || '|' || s3)) AS digest FROM (SELECT count(*) AS n_rows, {_SUMS} FROM (SELECT sha256({_ROW}) AS h FROM raw))"
+ORACLE_SQL["source_digest"] = _sql(_DIGEST, None)
+ORACLE_SQL["selection_manifest"] = _with(
+    _EACH + _MEANS_OF_EACH + _CHOSEN,
+    f"""SELECT n_rows AS n_lines, digest AS source_digest, '{params_digest()}' AS params_digest, '{CUTOFFS['validation']}' AS cutoff, selected AS recommender, qualifies, relative_gain, CASE WHEN qualifies THEN ndcg ELSE base_ndcg END AS validation_ndcg, CASE WHEN qualifies THEN recall ELSE base_recall END AS validation_recall, d_low FROM ({_DIGEST}) CROSS JOIN ({_GATE})""",
+    "validation",
+)
+
 _CUTS_THEN = "(SELECT * FROM cuts_0)"
 ORACLE_SQL["rule_model_segments"] = _sql(
     f"""SELECT p.segment_id, segment_label, n AS customer_count, {_r('n / (sum(n) OVER ())', 4)} AS customer_share, median_recency, median_frequency, median_monetary,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions import canonical_customer, half_even
-from basketry.operators import clean, cluster, evaluate, fits, itemcf, models, monitor, popularity, rules, serve, snapshot
+from basketry.operators import clean, cluster, evaluate, fits, itemcf, models, monitor, popularity, rules, selection, serve, snapshot
 from basketry.params import CUTOFFS, DEFAULT
 from basketry.plans import oracles
 from basketry.sources import invoice_lines, raw_lines, stored
@@ -80,9 +80,15 @@ class Data:
     def popular_lists(self, k: int = DEFAULT.k) -> DataFrame:
         return serve.global_lists(self.known.select("customer_id"), self.world, k)
 
-    def segment_lists(self, k: int = DEFAULT.k) -> DataFrame:
+    def segment_lists(self, k: int = DEFAULT.k, new_only: bool = False) -> DataFrame:
         nothing = self.spark.createDataFrame([], "customer_id string, stock_code string, score double")
-        return serve.fallback_lists(nothing, self.assigned.select("customer_id", "segment_id"), self.segment, self.world, None, k)
+        return serve.fallback_lists(nothing, self.assigned.select("customer_id", "segment_id"), self.segment, self.world, self.owned if new_only else None, k, new_only)
+
+    def lists_of(self, model: str, new_only: bool = False, k: int = DEFAULT.k) -> DataFrame:
+        """The lists of a model by its name; without item-to-item filtering a release serves the segment's popularity."""
+        if model in CF_MODELS:
+            return self.lists(new_only, k, int(model.rpartition("_N")[2]))
+        return self.segment_lists(k, new_only)
 
     def truth(self, cohort: str) -> DataFrame:
         return evaluate.truth(self.bought, self.items, self.cutoff, cohort)
@@ -453,6 +459,19 @@ def promotion_gate(spark, sf_dir):
     return gate(Data(spark, sf_dir))
 
 
+@query
+def source_digest(spark, sf_dir):
+    """The raw lines' digest, whatever their order."""
+    return selection.table_digest(raw_lines(spark, sf_dir), 6)
+
+
+@query
+def selection_manifest(spark, sf_dir):
+    """V1, V8: what the validation cut-off selects, with the digests that a refit checks."""
+    d = Data(spark, sf_dir, "validation")
+    return selection.manifest(d.raw, gate(d), d.cutoff)
+
+
 @query
 def rfm_log1p_standardized(spark, sf_dir):
     """M1, S11, S12."""
