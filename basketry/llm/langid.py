@@ -34,8 +34,11 @@ from basketry.llm.common import GRAM, U, mix, slices
 ORDERS = (2, 3, 4)
 TRAIN_DOCS = 3000
 TAU = 0.5
-#: Bounds of a filter: n-grams counted less often are left out, and so are those beyond the most frequent of a language.
+#: n-grams counted less often are left out. A language of fewer than ENOUGH_DOCS learned rows needs
+#: less in proportion, so every n-gram of a language of a few documents is in its filter.
 LEAST_COUNT = 5
+ENOUGH_DOCS = 1000
+#: A filter's size bounds its n-grams: the most frequent of a language, where there are more.
 TOP_GRAMS = 20_000
 ROWS = 1 << 19
 PROBES = 3
@@ -160,7 +163,8 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, rows: int = ROWS) -
     counted = sample.mapInArrow(count, "lang string, n int, gram bigint, times bigint").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
     of_lang, of_gram = Window.partitionBy("lang", "n"), Window.partitionBy("n", "gram")
     shares = counted.withColumn("share", F.col("times") / F.sum("times").over(of_lang))
-    shares = shares.withColumn("top", F.max("share").over(of_gram)).where((F.col("times") >= LEAST_COUNT) & (F.col("share") >= TAU * F.col("top")))
+    least = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(LEAST_COUNT * min(1.0, n / ENOUGH_DOCS)))))
+    shares = shares.withColumn("top", F.max("share").over(of_gram)).where((F.col("times") >= F.element_at(least, F.col("lang"))) & (F.col("share") >= TAU * F.col("top")))
     best = shares.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("times"), "gram"))).where(F.col("rn") <= TOP_GRAMS)
     found: dict[str, list[int]] = {lang: [] for lang in languages}
     for r in best.select("lang", "gram").toLocalIterator():  # at most TOP_GRAMS a language

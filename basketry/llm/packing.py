@@ -4,13 +4,12 @@ Every document becomes its token ids and an end id; only documents longer than a
 sequence are cut, from the end, so that the first piece takes the remainder. Pieces
 of one length are interchangeable, so the plan is made on the histogram of lengths
 (at most `capacity` counts, a fixed bound): full pieces stand alone; large lengths, from
-a sixth of a sequence on, are rounded up within groups of equal cardinality (linear
+a third of a sequence on, are rounded up within groups of equal cardinality (linear
 grouping); the configurations of those few sizes are optimised as a linear programme
 whose columns, multisets of sizes that fit, are generated by a knapsack over the duals;
-whole parts of its solution are used, the actual lengths are put back in for all but the
-last size, and the pieces left over and the small ones fill the freed room best fit first.
-Sequences that end up with room are taken apart and packed anew, best fit. The plan is a bounded list of runs
-"this length, these sequences, this offset", which Spark joins to the ranked pieces.
+whole parts of its solution are used, the actual lengths are put back in, and the pieces
+left over and the small ones fill the room best fit first. The plan is a bounded list of
+runs "this length, these sequences, this offset", which Spark joins to the ranked pieces.
 
 Defined cases: null text is empty and packs as the end id alone; repeated rows are
 packed once each; an empty table gives no rows; ties in length go by (doc_id, piece).
@@ -39,11 +38,11 @@ END_ID = 2
 #: Longer texts go to `tokenizers`: the other library's matcher recurses.
 LONG_TEXT = 1_000_000
 #: Lengths from this share of a sequence count as large.
-LARGE_SHARE = 6
+LARGE_SHARE = 3
 GROUPS = 48
 #: Tokens of room up to which a sequence counts as full.
 SLACK = 0
-#: Columns that are generated at most; the gain of later ones is a few sequences.
+#: Columns that are generated at most: a search that ends early leaves more to best fit, and every piece is placed.
 MOST_COLUMNS = 600
 PIECE_SCHEMA = "doc_id bigint, row_hash bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -173,13 +172,12 @@ def best_fit(stock: Counter, bins: list[Alike], capacity: int) -> list[Alike]:
     return done + rooms
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large_share: int = LARGE_SHARE, slack: int = SLACK) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, count, first sequence, offset) that place every piece below capacity.
+def sequences(bins: list[Alike]) -> int:
+    return sum(x.count for x in bins)
 
-    A run puts the pieces of one length with ranks first .. first + count - 1 into as many
-    consecutive sequences at one offset. Full pieces aren't in it: each is a sequence itself.
-    """
-    stock = Counter({n: c for n, c in histogram.items() if c and n < capacity})
+
+def configured(stock: Counter, capacity: int, groups: int, large_share: int) -> tuple[list[tuple[list[int], int]], dict[int, list[int]]]:
+    """(configurations as (rounded sizes, times), members): linear grouping of the large lengths and its optimised configurations."""
     large = sorted((n for n in stock if n >= max(1, capacity // large_share)), reverse=True)
     goal = max(1, -(-sum(stock[n] for n in large) // groups))
     held, members = 0, {}
@@ -188,33 +186,61 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
             held, members[n] = 0, []
         held += stock[n]
         members[next(reversed(members))].append(n)
-    left = +stock
+    found = configurations(list(members), [sum(stock[n] for n in m) for m in members.values()], capacity)
+    return [([top for top, c in zip(members, counts.tolist(), strict=True) for _ in range(c)], times) for counts, times in found], members
+
+
+def substituted(patterns: list[tuple[list[int], int]], members: dict[int, list[int]], stock: Counter, capacity: int, spare: int) -> list[Alike]:
+    """Sequences of the configurations with actual lengths, longest first, in place of all but the last `spare` rounded sizes; takes the lengths out of stock."""
     bins: list[Alike] = []
-    for counts, times in configurations(list(members), [sum(stock[n] for n in m) for m in members.values()], capacity):
-        # all but the last of a configuration: best fit finds what fills its room
-        pattern = [top for top, c in zip(members, counts.tolist(), strict=True) for _ in range(c)]
+    for pattern, times in patterns:
         parts = [Alike(capacity, (), times)]
-        for top in pattern[: max(1, len(pattern) - 1)]:  # actual lengths, longest first, in place of the rounded size
+        for top in pattern[: max(1, len(pattern) - spare)]:
             filled = []
             for room, lengths, count in parts:
-                while count and (n := next((m for m in members[top] if left[m]), 0)):
-                    take = min(count, left[n])
-                    left[n] -= take
+                while count and (n := next((m for m in members[top] if stock[m]), 0)):
+                    take = min(count, stock[n])
+                    stock[n] -= take
                     filled.append(Alike(room - n, (*lengths, n), take))
                     count -= take
                 if count:
                     filled.append(Alike(room, lengths, count))
             parts = filled
         bins += [x for x in parts if x.lengths]
-    bins = best_fit(+left, bins, capacity)
-    # Sequences with room left are given up, and their pieces put together best fit.
-    kept, again = [x for x in bins if x.room <= slack], Counter()
+    return bins
+
+
+def repacked(bins: list[Alike], capacity: int, slack: int) -> list[Alike]:
+    """The bins with those that have more than `slack` room given up, and their lengths put together best fit."""
+    again: Counter = Counter()
     for x in bins:
         if x.room > slack:
             for n in x.lengths:
                 again[n] += x.count
+    return best_fit(again, [x for x in bins if x.room <= slack], capacity)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large_share: int = LARGE_SHARE, slack: int = SLACK) -> list[tuple[int, int, int, int, int]]:
+    """Runs (length, first rank, count, first sequence, offset) that place every piece below capacity.
+
+    The configurations are filled with all of their sizes, or with all but the last, whose
+    place best fit chooses; sequences with room are kept, or given up and packed anew where
+    that makes fewer. Plain best fit without configurations is the bound: what is placed
+    never needs more sequences. A run puts the pieces of one length with ranks first ..
+    first + count - 1 into as many consecutive sequences at one offset. Full pieces aren't
+    in it: each is a sequence itself.
+    """
+    stock = Counter({n: c for n, c in histogram.items() if c and n < capacity})
+    patterns, members = configured(stock, capacity, groups, large_share)
+    plans = []
+    for spare in (0, 1):
+        left = +stock
+        bins = substituted(patterns, members, left, capacity, spare)
+        plans.append(best_fit(+left, bins, capacity))
+    plans += [repacked(x, capacity, slack) for x in plans]
+    plans.append(best_fit(stock, [], capacity))
     runs, used, seq = [], Counter(), 0
-    for _, lengths, count in best_fit(again, kept, capacity):
+    for _, lengths, count in min(plans, key=sequences):  # of equals the first: configurations as they are
         offset = 0
         for n in lengths:
             runs.append((n, used[n], count, seq, offset))

@@ -525,6 +525,21 @@ def test_overlaps_equal_brute_force(texts, items):
     assert index.find(h, at) == want
 
 
+def test_languages_of_few_documents(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklm"), 5)) for _ in range(300)]
+    data = [(i, " ".join(rng.choice(words, 40)), "xx") for i in range(120)]
+    few = [(200 + i, t, "zz") for i, t in enumerate(("nopq rstu vwxy", "qrst noyx wvut", "uvwx ponm tsrq"))]
+    docs = spark.createDataFrame([*data, *few], "doc_id bigint, text string, lang string")
+    filters = langid.train(docs, rows=1 << 14)
+    long = spark.createDataFrame([(901, "nopq rstu vwxy qrst noyx wvut " * 8), (902, " ".join(words[:60])), (903, None), (904, "12 34")], "doc_id bigint, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs.select("doc_id", "text").unionAll(long), filters).collect()}
+    assert all(got[200 + i] == "zz" for i in range(3)) and all(got[i] == "xx" for i in range(120)) and got[901] == "zz" and got[902] == "xx" and got[903] == got[904] == "und"
+    kept = {r.doc_id for r in langid.accepted(docs.unionByName(long, allowMissingColumns=True), filters).collect()}
+    assert {200, 201, 202, 901, 902} <= kept and not {903, 904} & kept
+
+
+
 # packing
 
 
@@ -590,6 +605,20 @@ def test_both_tokenisers_agree():
     assert len(long) >= packing.LONG_TEXT and enc.encode(long) == plain.encode(long)
 
 
+def test_packing_never_needs_more_than_best_fit():
+    rng = np.random.default_rng(12)
+    for lengths in (rng.integers(1, 1024, 3000), rng.integers(300, 600, 2000), rng.integers(1, 200, 500), np.repeat([513, 340, 171], 400), np.minimum(1023, rng.geometric(1 / 300, 4000))):
+        hist = Counter(lengths.tolist())
+        plain = packing.sequences(packing.best_fit(Counter(hist), [], 1024))
+        runs = packing.plan(dict(hist))
+        used = max(seq + count for _, _, count, seq, _ in runs)
+        assert -(-int(lengths.sum()) // 1024) <= used <= plain
+        placed = Counter()
+        for n, _, count, _, _ in runs:
+            placed[n] += count
+        assert placed == hist
+
+
 def test_packing_is_whole_and_tight(docs, none, spark):
     import public_tokenizers
     from tokenizers import Tokenizer
