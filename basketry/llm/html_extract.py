@@ -11,7 +11,9 @@ different pages to count as boilerplate, so copies of an article stay whole. A p
 text is its article's blocks, or its open ones where it has no article.
 
 Defined cases: null html is empty and gives the empty text; null urls are one host;
-pages with equal streams count as one page, so repeated rows give repeated results.
+pages with equal streams count as one page, so repeated rows give repeated results; end
+tags that may be left out are implied, a tag that no > ends is text, an unclosed quote
+counts for nothing, and an element that a page never closes ends with the page.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import buckets
+from basketry.llm.common import buckets, slices
 from basketry.llm.url_filter import host_of
 
 LEAST = 8
@@ -43,15 +45,31 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg select option button head object math".split())
 DROPPED = frozenset("nav aside footer form header dialog menu".split())
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscri\w*|comments?|disqus|related|recommend\w*|share|sharing|social|menu\w*|nav\w*|breadcrumbs?|footer|masthead|header|pagination|pager|toolbar|widget\w*|login|signup)(?:$|[\s_-])"
-)
+# Words in names of classes and ids. The first stand for boilerplate in any compound, the others alone or with a word of place or form.
+SURE = "advert|advertisement|advertising|ads|sidebar|footer|navbar|navigation|nav|breadcrumb|breadcrumbs|comments|disqus|newsletter|cookie|cookies|consent|pagination|popup|masthead|signup|subscribe".split("|")
+LIKELY = "ad|adv|sponsor|sponsored|promo|promotion|banner|notice|notices|alert|modal|comment|related|recommended|recommendations|share|sharing|social|menu|menus|menubar|header|pager|toolbar|widget|login|subscription".split("|")
+PLACES = "site|page|article|post|posts|entry|main|top|bottom|left|right|inline|sticky|global|content|block|box|bar|list|area|section|unit|slot|container|wrapper|wrap|inner|outer|link|links|item|items|articles|stories|story|form|button|buttons|icon|icons|group|panel|col|column|widget|text|title".split("|")
+# Items whose end tag may be left out, by group, and the elements in which such a group starts afresh.
+ITEMS = {"li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "thead": "tbody", "tbody": "tbody", "tfoot": "tbody"}
+SCOPES = {"ul": ("li",), "ol": ("li",), "menu": ("li",), "dl": ("dt",), "table": ("tbody", "tr", "td"), "tr": ("td",)}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_SURE, _LIKELY, _PLACES = frozenset(SURE), frozenset(LIKELY), frozenset(PLACES)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_EDGE = re.compile(r"[>\"']")
+_ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_ENDS = {name: re.compile(rf"</{name}[\s>/]", re.I) for name in RAW}
 ARTICLE, OPEN = 1, 0
 
 
+def _is_hint(token: str) -> bool:
+    """Whether a class or id names boilerplate: related-posts does, related-work and header-image don't."""
+    parts = [x for x in re.split(r"[-_]+|\d+", token) if x]
+    if any(x in _SURE for x in parts):
+        return True
+    return any(x in _LIKELY for x in parts) and all(x in _LIKELY or x in _PLACES for x in parts)
+
+
 def _unwanted(name: str, attrs: str, in_article: bool) -> bool:
     """Whether the element is boilerplate by its name or attributes."""
     if name in DROPPED and not (name == "header" and in_article):
@@ -60,76 +78,173 @@ def _unwanted(name: str, attrs: str, in_article: bool) -> bool:
         return False
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), (a or b or c).lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES or key == "style" and _HIDDEN.search(value):
             return True
-        if key in ("class", "id") and HINTS.search(value):
+        if key in ("class", "id") and any(map(_is_hint, value.split())):
             return True
     return False
 
 
-def blocks(page: str) -> list[tuple[int, str]]:
-    """(ARTICLE or OPEN, text) of each wanted block in page order: references decoded, white space single, trimmed."""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool]] = []  # open elements that aren't void: name, boilerplate
-    parts: list[str] = []
-    dropped = articles = 0
-
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
-        parts.clear()
-        if text and not dropped:
-            out.append((ARTICLE if articles else OPEN, text))
-
-    def close(name: str) -> None:
-        nonlocal dropped, articles
-        while stack:
-            top, bad = stack.pop()
-            dropped -= bad
-            articles -= top in ("article", "main")
-            if top == name:
-                break
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it closes, lower-case name, attributes) of each tag; comments and declarations without a name.
 
-    at = 0
-    while m := _TAG.search(page, at):
-        if m.start() > at and not dropped:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        if m[1]:
-            if name in BLOCKS:
-                flush()
-            if any(n == name for n, _ in stack):
-                close(name)
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}[\s>/]", re.I).search(page, at)
-            if name in ("head", "object", "button", "noscript", "template") and not end:
+    A quote opens a value only after =; one that is never closed counts for nothing, and is
+    looked for once, so malformed pages take time in proportion to their length.
+    """
+    at, n, unclosed = 0, len(page), set()
+    while (start := page.find("<", at)) >= 0:
+        m = _NAME.match(page, start + 1)
+        if m is None:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = n if end < 0 else end + 3
+            elif page[start + 1 : start + 2] in ("!", "?", "/"):
+                end = page.find(">", start)
+                if end < 0:
+                    return
+                at = end + 1
+            else:
+                at = start + 1
                 continue
-            at = end.start() if end else len(page)
+            yield start, at, False, "", ""
             continue
+        place = m.end()
+        while True:
+            edge = _EDGE.search(page, place)
+            if edge is None:
+                return
+            place, mark = edge.end(), edge[0]
+            if mark == ">":
+                break
+            k = edge.start() - 1
+            while page[k].isspace():
+                k -= 1
+            if page[k] == "=" and mark not in unclosed:
+                close = page.find(mark, place)
+                if close < 0:
+                    unclosed.add(mark)
+                else:
+                    place = close + 1
+        at = place
+        jump = yield start, at, bool(m[1]), m[2].lower(), page[m.end() : at - 1]
+        at = jump or at
+
+
+class _Open:
+    """The open elements of a page, with counts that make every question about them one look-up."""
+
+    def __init__(self) -> None:
+        self.out: list[tuple[int, str]] = []
+        self.parts: list[str] = []
+        self.stack: list[tuple[str, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.items: dict[str, list[int]] = {g: [] for g in ITEMS.values()}
+        self.dropped = self.articles = 0
+
+    def flush(self) -> None:
+        """The text so far is a block: nothing of a dropped element is in it."""
+        text = " ".join(html.unescape("".join(self.parts)).split())
+        self.parts.clear()
+        if text:
+            self.out.append((ARTICLE if self.articles else OPEN, text))
+
+    def push(self, name: str, bad: bool) -> None:
+        at = len(self.stack)
+        self.stack.append((name, bad))
+        self.places.setdefault(name, []).append(at)
+        self.dropped += bad
+        self.articles += name in ("article", "main")
         if name in BLOCKS:
-            flush()
-            if stack and stack[-1][0] == "p":
-                close("p")
-        elif name == "br":
-            parts.append(" ")
-        if name in VOID or m[3].endswith("/"):
-            continue
+            self.blocks.append(at)
+        if name in ITEMS:
+            self.items[ITEMS[name]].append(at)
+        for group in SCOPES.get(name, ()):
+            self.items[group].append(-1)
+
+    def close_to(self, at: int) -> None:
+        while len(self.stack) > at:
+            name, bad = self.stack[-1]
+            if name in BLOCKS and not self.dropped:
+                self.flush()
+            self.stack.pop()
+            self.dropped -= bad
+            if not name:
+                continue
+            self.places[name].pop()
+            self.articles -= name in ("article", "main")
+            if name in BLOCKS:
+                self.blocks.pop()
+            for group in SCOPES.get(name, ()):
+                self.items[group].pop()
+            if name in ITEMS:
+                self.items[ITEMS[name]].pop()
+
+    def start(self, name: str, attrs: str) -> None:
+        if name in ITEMS:
+            held = self.items[ITEMS[name]]
+            if held and held[-1] >= 0:
+                self.close_to(held[-1])
         if name in BLOCKS:
-            bad = _unwanted(name, m[3], articles > 0)
-            stack.append((name, bad))
-            dropped += bad
-            articles += name in ("article", "main")
-        elif _unwanted(name, m[3], articles > 0):
-            stack.append((name, True))
-            flush()
-            dropped += 1
-    if not dropped:
-        parts.append(page[at:])
-    flush()
-    return out
+            if self.blocks and self.stack[self.blocks[-1]][0] == "p":
+                self.close_to(self.blocks[-1])
+            if not self.dropped:
+                self.flush()
+        elif name == "br" and not self.dropped:
+            self.parts.append(" ")
+        if name not in VOID and not attrs.endswith("/"):
+            self.push(name, _unwanted(name, attrs, self.articles > 0))
+
+    def end(self, name: str) -> None:
+        held = self.places.get(name)
+        if not held:
+            if name in BLOCKS and not self.dropped:
+                self.flush()
+        elif name in BLOCKS or not self.blocks or self.blocks[-1] < held[-1]:
+            self.close_to(held[-1])
+        else:  # an inline element ends across blocks, which stay open
+            at = held.pop()
+            self.dropped -= self.stack[at][1]
+            self.stack[at] = ("", False)
+
+
+def blocks(page: str) -> list[tuple[int, str]]:
+    """(ARTICLE or OPEN, text) of each wanted block in page order: references decoded, white space single, trimmed.
+
+    Items of lists, definitions and tables and paragraphs may lack their end tags. A
+    dropped element inside a line leaves the rest of its block in one piece.
+    """
+    seen, at, endless = _Open(), 0, set()
+    found = tags(page)
+    tag = next(found, None)
+    while tag is not None:
+        start, end, closes, name, attrs = tag
+        if start > at and not seen.dropped:
+            seen.parts.append(page[at:start])
+        at, jump = end, None
+        if closes:
+            seen.end(name)
+        elif name in RAW:
+            # What no end tag was found for from an earlier place has none from here either.
+            m = None if name in endless else _ENDS[name].search(page, at)
+            if m:
+                at = jump = m.start()
+            else:
+                endless.add(name)
+                if name not in ("head", "object", "button", "noscript", "template"):
+                    at = len(page)
+                    break
+        elif name:
+            seen.start(name, attrs)
+        try:
+            tag = found.send(jump)
+        except StopIteration:
+            break
+    if not seen.dropped:
+        seen.parts.append(page[at:])
+    seen.close_to(0)
+    seen.flush()
+    return seen.out
 
 
 def shared_runs(streams: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,7 +311,7 @@ def extract(pages: DataFrame, least: int = LEAST, unit_pages: int = UNIT_PAGES)
     spark = pages.sparkSession
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [blocks(h or "") for h in batch.column(3).to_pylist()]
             kinds = [[k for k, _ in p] for p in found]
             texts = [[t for _, t in p] for p in found]
