@@ -9,6 +9,7 @@ from basketry.functions import formula_safe, json_codes
 from basketry.operators.itemcf import top_candidates, without_owned
 from basketry.operators.popularity import top_ranked
 from basketry.params import DEFAULT, Params
+from basketry.sources import small
 
 # Method names by tier.
 TIERS = ("item_cf", "segment_popularity", "global_popularity")
@@ -44,6 +45,8 @@ def fallback_lists(cf: DataFrame, customers: DataFrame, segment: DataFrame, worl
         longest = 2 * k
     seg = top_ranked(segment, longest, ("segment_id",)).select("segment_id", "stock_code", "score", F.col("rank").alias("place"))
     all_ = top_ranked(world, longest).select("stock_code", "score", F.col("rank").alias("place"))
+    # Few places, and so few values of the key: the lists go to the customers where they are counted to be short.
+    seg, all_ = small(seg), small(all_)
     places = short.withColumn("place", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("reach").cast("bigint"))))
     tiers = [
         best.select("customer_id", F.lit(0).alias("tier"), "stock_code", F.col("score").cast("double")),

@@ -36,6 +36,13 @@ def rfm_metadata(profiles: DataFrame) -> DataFrame:
     )
 
 
+def reconciliation(profiles: DataFrame, bought: DataFrame, cutoff: str, p: Params = DEFAULT) -> DataFrame:
+    """One row: what the profiles add up to, what the window's purchases add up to, and whether they agree to the penny."""
+    window = history(bought, cutoff).where(F.col("ts") >= days_before(stamp(cutoff), p.rfm_days))
+    sums = profiles.agg(half_even(F.coalesce(exact_sum(F.col("monetary_gbp")), F.lit(0.0)), 2).alias("profiles_total")).join(window.agg(half_even(F.coalesce(exact_sum(F.col("value")), F.lit(0.0)), 2).alias("purchases_total")))
+    return sums.withColumn("difference", half_even(F.col("profiles_total") - F.col("purchases_total"), 2)).withColumn("agrees", F.abs("difference") < 0.01)
+
+
 def catalog(bought: DataFrame, cutoff: str, p: Params = DEFAULT) -> DataFrame:
     """Items with enough buyers in all history and a purchase in the last days before the cut-off."""
     pairs = history(bought, cutoff).groupBy("stock_code", "customer_id").agg(F.max("ts").alias("last"))

@@ -170,6 +170,8 @@ ORACLE_SQL: dict[str, str] = {
     "rfm_profiles_early": _sql("SELECT * FROM rfm", "early"),
     "known_inactive": _sql("SELECT customer_id, recency_days FROM rfm WHERE status = 'known_inactive'"),
     "rfm_metadata": _sql(f"SELECT count(*) AS n_known, count(*) FILTER (status = 'known_active') AS n_active, count(*) FILTER (status = 'known_inactive') AS n_inactive, {_r('CAST(sum(CAST(monetary_gbp AS DECIMAL(28,4))) AS DOUBLE)', 2)} AS monetary_total FROM rfm"),
+    "rfm_reconciliation": _sql(f"""SELECT *, {_r('profiles_total - purchases_total', 2)} AS difference, abs({_r('profiles_total - purchases_total', 2)}) < 0.01 AS agrees FROM (SELECT (SELECT {_r('CAST(sum(CAST(monetary_gbp AS DECIMAL(28,4))) AS DOUBLE)', 2)} FROM rfm) AS profiles_total,
+  (SELECT {_r('CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE)', 2)} FROM hist WHERE ts >= TIMESTAMP '{CUTOFFS['test']}' - INTERVAL {DEFAULT.rfm_days} DAY) AS purchases_total)"""),
     "catalog_items": _sql("SELECT * FROM items"),
     "catalog_descriptions": _sql("SELECT * FROM names"),
     "interactions": _sql("SELECT * FROM pairs"),

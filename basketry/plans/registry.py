@@ -180,6 +180,13 @@ def rfm_metadata(spark, sf_dir):
     return snapshot.rfm_metadata(Data(spark, sf_dir, once=True).profiles)
 
 
+@query
+def rfm_reconciliation(spark, sf_dir):
+    """Spend by customer against spend by purchase."""
+    d = Data(spark, sf_dir)
+    return snapshot.reconciliation(d.profiles, d.bought, d.cutoff)
+
+
 @query
 def catalog_items(spark, sf_dir):
     """F3, J12."""

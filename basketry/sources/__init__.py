@@ -35,6 +35,11 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has `most` rows at most (counted), else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def write_sorted(df: DataFrame, path: str, *keys: str, kind: str = "parquet", mode: str = "overwrite", **options: str) -> None:
     """Write df sorted across its files: ranges of the keys are dealt to tasks, and the files' names follow the ranges."""
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).options(**options).format(kind).save(path)
