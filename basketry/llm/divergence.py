@@ -23,6 +23,7 @@ rows; other columns aren't looked at.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -44,7 +45,7 @@ TILE = 8
 #: Tiles that are compared at once.
 SLAB_TILES = 512
 #: Triples that a task counts before it hands them on.
-HELD_TRIPLES = 200_000
+HELD_TRIPLES = 400_000
 #: A table of groups with more rows isn't broadcast.
 FEW_GROUPS = 50_000
 
@@ -55,33 +56,27 @@ COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and rows; a null term stands for the group itself. Several rows a triple, one or a few from each task."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-        triples = 0
-
-        def told() -> pa.RecordBatch:
-            rows = [(lang, source, term and term.decode(), n, d) for (lang, source), terms in held.items() for term, (n, d) in terms.items()]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names=["lang", "source", "term", "n", "docs"])
+    def told(held: dict[tuple[str, str], tuple[Counter, Counter, int]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, in_docs, rows) in held.items():
+            size = len(n) + 1
+            terms = pa.array([*n, None], pa.binary()).cast(pa.string())
+            counts = np.fromiter(itertools.chain(n.values(), (0,)), dtype=np.int64, count=size)
+            with_term = np.fromiter(itertools.chain(map(in_docs.__getitem__, n), (rows,)), dtype=np.int64, count=size)
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), size), pa.repeat(pa.scalar(source, pa.string()), size), terms, pa.array(counts), pa.array(with_term)], names=["lang", "source", "term", "n", "docs"])
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter, Counter, int]] = {}
         for batch in slices(batches, 200):
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
-                group = held.setdefault((lang or "", source or ""), {})
-                before = len(group)
-                found = Counter(_TERM.findall(text.lower()))  # bytes: A-Z alone are lowered
-                found[None] = 0
-                for term, n in found.items():
-                    if term in group:
-                        group[term][0] += n
-                        group[term][1] += 1
-                    else:
-                        group[term] = [n, 1]
-                triples += len(group) - before
-                if triples > HELD_TRIPLES:
-                    yield told()
-                    held, triples = {}, 0
-        if triples:
-            yield told()
+                found = _TERM.findall(text.lower())  # bytes: A-Z alone are lowered
+                n, in_docs, rows = held.get((lang or "", source or "")) or (Counter(), Counter(), 0)
+                n.update(found)
+                in_docs.update(set(found))
+                held[lang or "", source or ""] = (n, in_docs, rows + 1)
+            if sum(len(n) for n, _, _ in held.values()) > HELD_TRIPLES:
+                yield from told(held)
+                held = {}
+        yield from told(held)
 
     return docs.select("lang", "source", "text").mapInArrow(work, COUNTS)
 
