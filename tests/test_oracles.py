@@ -11,7 +11,7 @@ TABLES = ("lineitem", "orders", "part", "customer", "nation")
 
 
 @pytest.mark.skipif(not DIR.exists(), reason="no tables here")
-@pytest.mark.parametrize("name", ["clean_audit", "rfm_profiles", "catalog_items", "rfm_rule_segments", "segment_popularity", "item_cosine_neighbors", "recs_with_fallback", "cohort_counts", "drift_alerts"])
+@pytest.mark.parametrize("name", ["clean_audit", "rfm_profiles", "catalog_items", "rfm_rule_segments", "segment_popularity", "item_cosine_neighbors", "recs_with_fallback", "cohort_counts", "drift_alerts", "rfm_log1p_standardized", "rfm_reconciliation", "rule_model_segments", "selection_manifest"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
