@@ -4,8 +4,8 @@ Every document becomes its token ids and an end id; only documents longer than a
 sequence are cut, from the end, so that the first piece takes the remainder. Pieces
 of one length are interchangeable, so the plan is made on the histogram of lengths
 (at most `capacity` counts, a fixed bound): full pieces stand alone; large lengths, from
-a third of a sequence on, are rounded up within groups of equal cardinality (linear
-grouping); the configurations of those few sizes are optimised as a linear programme
+a sixth or a third of a sequence on, are rounded up within groups of equal cardinality
+(linear grouping); the configurations of those few sizes are optimised as a linear programme
 whose columns, multisets of sizes that fit, are generated by a knapsack over the duals;
 whole parts of its solution are used, the actual lengths are put back in, and the pieces
 left over and the small ones fill the room best fit first. The plan is a bounded list of
@@ -37,8 +37,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Longer texts go to `tokenizers`: the other library's matcher recurses.
 LONG_TEXT = 1_000_000
-#: Lengths from this share of a sequence count as large.
-LARGE_SHARE = 3
+#: From which shares of a sequence on lengths count as large; each is tried.
+LARGE_SHARES = (6, 3)
 GROUPS = 48
 #: Tokens of room up to which a sequence counts as full.
 SLACK = 0
@@ -220,7 +220,7 @@ def repacked(bins: list[Alike], capacity: int, slack: int) -> list[Alike]:
     return best_fit(again, [x for x in bins if x.room <= slack], capacity)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large_share: int = LARGE_SHARE, slack: int = SLACK) -> list[tuple[int, int, int, int, int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large_shares: tuple[int, ...] = LARGE_SHARES, slack: int = SLACK) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first rank, count, first sequence, offset) that place every piece below capacity.
 
     The configurations are filled with all of their sizes, or with all but the last, whose
@@ -231,12 +231,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     in it: each is a sequence itself.
     """
     stock = Counter({n: c for n, c in histogram.items() if c and n < capacity})
-    patterns, members = configured(stock, capacity, groups, large_share)
     plans = []
-    for spare in (0, 1):
-        left = +stock
-        bins = substituted(patterns, members, left, capacity, spare)
-        plans.append(best_fit(+left, bins, capacity))
+    for share in large_shares:
+        patterns, members = configured(stock, capacity, groups, share)
+        for spare in (0, 1):
+            left = +stock
+            bins = substituted(patterns, members, left, capacity, spare)
+            plans.append(best_fit(+left, bins, capacity))
     plans += [repacked(x, capacity, slack) for x in plans]
     plans.append(best_fit(stock, [], capacity))
     runs, used, seq = [], Counter(), 0
