@@ -1,14 +1,21 @@
-"""Main text of web pages: markup cut into blocks, boilerplate found by a suffix array over each host.
+"""Main text of web pages: markup cut into blocks, boilerplate found by suffix arrays over each host.
 
 Every page becomes its text blocks with their place in the markup: inside an article (or
 main) element, inside an element that by name or class is a menu, header, footer,
-sidebar, notice, advert, form or comments (dropped), or neither (open). Pages of one
-host meet in units of about `unit_pages` pages, whatever the size of the host; a unit's
-token streams are concatenated and sorted as suffixes by doubling ranks up to `least`
-tokens; runs of that many tokens that several distinct pages share are boilerplate and
-leave the open blocks. Inside an article a run must stand on nearly all of many
-different pages to count as boilerplate, so copies of an article stay whole. A page's
-text is its article's blocks, or its open ones where it has no article.
+sidebar, notice, advert, form or comments (dropped), or neither (open). A page's text is
+its article's blocks, or its open ones where it has no article, without the boilerplate
+runs. A run is `least` consecutive tokens. It is boilerplate in open blocks if it stands in
+the open blocks of two different pages of its host; in articles, where copies must stay
+whole, if it stands in the articles of 8 or more pages and 9 of 10 pages of the host.
+
+A host's pages are dealt to units of about `unit_pages` pages; a unit's token streams are
+concatenated and sorted as suffixes by doubling ranks up to `least` tokens. Where a host has
+several units, each sends its runs with the pages they stand on to an exchange by host and
+run, and what counts as boilerplate over the whole host comes back to the units that hold
+it, so the size of a unit changes no result. Of the runs in articles a unit sends those on
+half of its pages (all, where it has fewer than 64): units are drawn by hash, so a run on 9
+of 10 pages of a host stays below half of a unit's 64 with a chance below 10^-13, and then
+counts for less, never for more. Runs are told by 128 bits.
 
 Defined cases: null html is empty and gives the empty text; null urls are one host;
 pages with equal streams count as one page, so repeated rows give repeated results; end
@@ -18,6 +25,7 @@ counts for nothing, and an element that a page never closes ends with the page.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -27,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import buckets, slices
+from basketry.llm.common import buckets, grams, slabs, slices, windows, words_of
 from basketry.llm.url_filter import host_of
 
 LEAST = 8
@@ -35,6 +43,9 @@ UNIT_PAGES = 200
 OPEN_PAGES = 2
 ARTICLE_PAGES = 8
 ARTICLE_SHARE = 0.9
+#: A unit of a larger host sends the runs in articles that stand on this share of its pages, or all where it has fewer pages than SURE_PAGES.
+SENT_SHARE = 0.5
+SURE_PAGES = 64
 #: Hosts above UNIT_PAGES that may be broadcast; more of them meet the pages by a join.
 MOST_BROADCAST = 100_000
 
@@ -267,43 +278,92 @@ def shared_runs(streams: list[np.ndarray], least: int) -> tuple[np.ndarray, np.n
     return order, rank[order], pages[order]
 
 
-def boilerplate(pages: list[list[tuple[int, str]]], least: int) -> list[list[np.ndarray]]:
-    """For each page and block the mask of tokens that shared runs cover."""
-    tokens = [[b.split() for _, b in page] for page in pages]
-    names: dict[str, int] = {}
-    streams = [np.array([names.setdefault(w, len(names)) for b in page for w in b], dtype=np.int64) for page in tokens]
-    first: dict[bytes, int] = {}
-    owner = [first.setdefault(s.tobytes(), k) for k, s in enumerate(streams)]
-    single = sorted(set(owner))
-    place, run, page = shared_runs([streams[k] for k in single], least)
-    start = np.concatenate(([0], np.cumsum([len(streams[k]) for k in single]))).astype(np.int64)
-    inner = np.concatenate([np.repeat([kind for kind, _ in pages[k]], [len(b) for b in tokens[k]]) for k in single]) if start[-1] else np.zeros(0, int)
-    hit = np.zeros(start[-1] + 1, dtype=np.int64)
-    if len(run):
-        head = np.concatenate(([True], run[1:] != run[:-1]))
-        fresh = head | np.concatenate(([True], page[1:] != page[:-1]))  # places are in page order within a run
-        spread = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(head))[np.cumsum(head) - 1]
-        strong = (spread >= ARTICLE_PAGES) & (spread >= ARTICLE_SHARE * len(single))
-        bad = strong | (spread >= OPEN_PAGES) & (inner[place] == OPEN)
-        np.add.at(hit, place[bad], 1)
-        np.add.at(hit, place[bad] + least, -1)
-    covered = np.cumsum(hit[:-1]) > 0
-    index = {k: i for i, k in enumerate(single)}
-    out = []
-    for k, page_tokens in enumerate(tokens):
-        at = start[index[owner[k]]]
-        masks = []
-        for b in page_tokens:
-            masks.append(covered[at : at + len(b)])
-            at += len(b)
-        out.append(masks)
-    return out
-
-
-def page_text(page: list[tuple[int, str]], masks: list[np.ndarray]) -> str:
-    wanted = ARTICLE if any(kind == ARTICLE for kind, _ in page) else OPEN
-    lines = [" ".join(w for w, x in zip(b.split(), m, strict=True) if not x) if m.any() else b for (kind, b), m in zip(page, masks, strict=True) if kind == wanted]
-    return "\n".join(line for line in lines if line)
+class Unit:
+    """Pages that are judged together: their token streams, the suffix array over the different ones and its runs by kind."""
+
+    def __init__(self, pages: list[list[tuple[int, str]]], least: int) -> None:
+        self.pages, self.least = pages, least
+        whole = [" ".join(text for _, text in page).encode("utf-8", "surrogatepass") for page in pages]
+        self.streams = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True) for w in whole], dtype=np.int64)
+        _, first, self.owner = np.unique(self.streams, return_index=True, return_inverse=True)
+        different = [whole[k] for k in first]
+        cut = [words_of(different[lo:hi]) for lo, hi in slabs(different)]
+        token = np.concatenate([np.zeros(0, np.uint64), *(c[0] for c in cut)])
+        self.start = at = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(np.diff(c[3]) for c in cut)]))
+        place, run, page = shared_runs([token[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], least)
+        kinds = [np.repeat([kind for kind, _ in pages[k]], [text.count(" ") + 1 for _, text in pages[k]]) for k in first]
+        kind = np.concatenate([np.zeros(0, np.int64), *kinds]).astype(np.int64)[place]
+        order = np.lexsort((page, run, kind))
+        self.place, self.page, self.kind, run = place[order], page[order], kind[order], run[order]
+        self.head = np.ones(len(run), dtype=bool)
+        self.head[1:] = (run[1:] != run[:-1]) | (self.kind[1:] != self.kind[:-1])
+        fresh = self.head.copy()
+        fresh[1:] |= self.page[1:] != self.page[:-1]
+        self.fresh, self.group, heads = fresh, np.cumsum(self.head) - 1, np.flatnonzero(self.head)
+        self.spread = np.add.reduceat(fresh.astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64)
+        self.kinds, at = self.kind[heads], self.place[heads]
+        self.runs, self.twins = grams(token, least)[at].view(np.int64), windows(token, least)[at].view(np.int64)
+        self.size = len(first)
+        self.ids = self.streams[first]
+
+    def sent(self) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(kind, run, twin, streams) of each run that may be boilerplate of the host; of runs in open blocks two streams suffice."""
+        sure = np.full(len(self.spread), self.size < SURE_PAGES) | (self.spread >= SENT_SHARE * self.size)
+        wanted = np.flatnonzero((self.kinds == OPEN) | sure)
+        pages = self.ids[self.page[self.fresh]]
+        ends = np.cumsum(self.spread)
+        for g in wanted.tolist():
+            most = self.spread[g] if self.kinds[g] == ARTICLE else min(OPEN_PAGES, self.spread[g])
+            start = ends[g] - self.spread[g]
+            yield int(self.kinds[g]), int(self.runs[g]), int(self.twins[g]), pages[start : start + most]
+
+    def alone(self) -> np.ndarray:
+        """Which runs are boilerplate where these are all pages of the host."""
+        strong = (self.spread >= ARTICLE_PAGES) & (self.spread >= ARTICLE_SHARE * self.size)
+        return np.where(self.kinds == ARTICLE, strong, self.spread >= OPEN_PAGES)
+
+    def among(self, told: set[tuple[int, int, int]]) -> np.ndarray:
+        """Which runs the host's verdict names."""
+        return np.fromiter(((k, r, t) in told for k, r, t in zip(self.kinds.tolist(), self.runs.tolist(), self.twins.tolist(), strict=True)), dtype=bool, count=len(self.runs))
+
+    def texts(self, bad: np.ndarray) -> list[str]:
+        """The text of each page without the tokens that a bad run covers."""
+        hit = np.zeros(self.start[-1] + 1, dtype=np.int64)
+        place = self.place[bad[self.group]]
+        np.add.at(hit, place, 1)
+        np.add.at(hit, place + self.least, -1)
+        covered = np.cumsum(hit[:-1]) > 0
+        out = []
+        for page, owner in zip(self.pages, self.owner.tolist(), strict=True):
+            wanted = ARTICLE if any(kind == ARTICLE for kind, _ in page) else OPEN
+            at, lines = int(self.start[owner]), []
+            for kind, text in page:
+                mask = covered[at : at + text.count(" ") + 1]
+                at += len(mask)
+                if kind == wanted:
+                    lines.append(" ".join(w for w, x in zip(text.split(" "), mask, strict=True) if not x) if mask.any() else text)
+            out.append("\n".join(line for line in lines if line))
+        return out
+
+
+def _units(table: pa.Table) -> Iterator[tuple[str, int, list[int]]]:
+    """(host, units of the host, rows) of each unit in a table."""
+    held: dict[tuple, list[int]] = {}
+    hosts, units, unit = (table.column(c).to_pylist() for c in ("host", "units", "unit"))
+    for k, key in enumerate(zip(hosts, units, unit, strict=True)):
+        held.setdefault(key, []).append(k)
+    for (host, units, _), rows in held.items():
+        yield host, units, rows
+
+
+def _unit(table: pa.Table, rows: list[int], least: int) -> Unit:
+    part = table.take(pa.array(rows, pa.int64()))
+    return Unit([list(zip(k, t, strict=True)) for k, t in zip(part.column("kinds").to_pylist(), part.column("texts").to_pylist(), strict=True)], least)
+
+
+RUNS = "seat bigint, host string, kind int, run bigint, twin bigint, streams array<bigint>"
+_RUNS = pa.schema([("seat", pa.int64()), ("host", pa.string()), ("kind", pa.int32()), ("run", pa.int64()), ("twin", pa.int64()), ("streams", pa.list_(pa.int64()))])
+_TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
 
 def extract(pages: DataFrame, least: int = LEAST, unit_pages: int = UNIT_PAGES) -> DataFrame:
@@ -317,29 +377,45 @@ def extract(pages: DataFrame, least: int = LEAST, unit_pages: int = UNIT_PAGES)
             texts = [[t for _, t in p] for p in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "host", "kinds", "texts"])
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(rows: list[tuple]) -> pa.RecordBatch:
-            found = [list(zip(r[2], r[3], strict=True)) for r in rows]
-            texts = [page_text(p, m) for p, m in zip(found, boilerplate(found, least), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-        held, now = [], None
-        for batch in batches:  # sorted by unit: one unit is in memory
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[4:] != now and held:
-                    yield told(held)
-                    held = []
-                now = row[4:]
-                held.append(row[:4])
-        if held:
-            yield told(held)
-
-    hosted = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
-    large = hosted.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > unit_pages)
-    large = large.select("host", F.ceil(F.col("n") / unit_pages).cast("int").alias("units"))
+    def runs(table: pa.Table) -> pa.Table:
+        seat, out = table.column("seat")[0].as_py(), []
+        for host, units, rows in _units(table):
+            if units > 1:
+                unit = _unit(table, rows, least)
+                out += [(host, *x) for x in unit.sent()]
+                out.append((host, -1, 0, 0, unit.ids))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        return pa.Table.from_arrays([pa.array([seat] * len(out), pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(_RUNS)[1:], strict=True))], schema=_RUNS)
+
+    def settle(table: pa.Table, judged: pa.Table) -> pa.Table:
+        told: dict[str, set] = {}
+        for host, *key in zip(*(judged.column(c).to_pylist() for c in ("host", "kind", "run", "twin")), strict=True):
+            told.setdefault(host, set()).add(tuple(key))
+        order, texts = [], []
+        for host, units, rows in _units(table):
+            unit = _unit(table, rows, least)
+            order += rows
+            texts += unit.texts(unit.among(told.get(host, set())) if units > 1 else unit.alone())
+        where = pa.array(order, pa.int64())
+        return pa.Table.from_arrays([table.column("page_id").take(where), table.column("url").take(where), pa.array(texts, pa.string())], schema=_TEXTS)
+
+    hosted = pages.select("page_id", "url", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), "html")
+    hosts = hosted.groupBy("host").agg(F.count("*").alias("n"))
+    large = hosts.where(F.col("n") > unit_pages).select("host", F.ceil(F.col("n") / unit_pages).cast("int").alias("units"))
     if large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         large = F.broadcast(large)
-    parsed = hosted.mapInArrow(parse, "page_id bigint, url string, host string, kinds array<int>, texts array<string>").join(large, "host", "left")
-    unit = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("units", F.lit(1)))
-    dealt = parsed.select("page_id", "url", "kinds", "texts", "host", unit.alias("unit")).repartition(buckets(spark), "host", "unit").sortWithinPartitions("host", "unit")
-    return dealt.mapInArrow(settle, "page_id bigint, url string, text string").withColumn("n_chars", F.length("text").cast("bigint"))
+    # A seat is what a task holds at a time: a unit, or several small hosts.
+    seats = hosts.agg(F.ceil(F.sum("n") / unit_pages)).first()[0] or 1
+    unit = F.pmod(F.xxhash64("page_id", "url", F.xxhash64("texts")), F.col("units")).cast("int")
+    parsed = hosted.mapInArrow(parse, "page_id bigint, url string, host string, kinds array<int>, texts array<string>").join(large, "host", "left").withColumn("units", F.coalesce("units", F.lit(1))).withColumn("unit", unit)
+    dealt = parsed.select(F.pmod(F.xxhash64("host", "unit"), F.lit(seats)).alias("seat"), "page_id", "url", "kinds", "texts", "host", "units", "unit").repartition(buckets(spark), "seat")
+
+    held = dealt.groupBy("seat").applyInArrow(runs, RUNS)
+    counted = held.select("host", "kind", "run", "twin", F.explode("streams").alias("stream")).groupBy("host", "kind", "run", "twin").agg(F.count_distinct("stream").alias("n"))
+    total = counted.where(F.col("kind") == -1).select("host", F.col("n").alias("total"))
+    least_n = F.when(F.col("kind") == ARTICLE, ARTICLE_PAGES).otherwise(OPEN_PAGES)
+    share = F.when(F.col("kind") == ARTICLE, ARTICLE_SHARE).otherwise(0.0)
+    boiler = counted.where((F.col("kind") >= 0) & (F.col("n") >= least_n)).join(total, "host").where(F.col("n") >= share * F.col("total"))
+    judged = held.where(F.col("kind") >= 0).select("seat", "host", "kind", "run", "twin").join(boiler.select("host", "kind", "run", "twin"), ["host", "kind", "run", "twin"]).select("seat", "host", "kind", "run", "twin")
+    done = dealt.groupBy("seat").cogroup(judged.groupBy("seat")).applyInArrow(settle, "page_id bigint, url string, text string")
+    return done.withColumn("n_chars", F.length("text").cast("bigint"))

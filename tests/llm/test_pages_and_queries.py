@@ -1,6 +1,7 @@
 """Page markup against trees it was made from, malformed pages, and the registered queries with their folds."""
 
 import hashlib
+import random
 import time
 from pathlib import Path
 
@@ -89,6 +90,55 @@ def test_pages_with_clashing_columns(spark):
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract(df).collect()) == [(1, "text", 4), (1, "text", 4), (2, "", 0)]
 
 
+def plain_texts(rows, least=html_extract.LEAST):
+    """The definition over whole hosts: (page_id, url, html) to texts."""
+    found = [html_extract.blocks(h or "") for _, _, h in rows]
+    tokens = [[(w, kind) for kind, t in page for w in t.split()] for page in found]
+    hosts = [(u or "").partition("://")[2].split("/")[0] for _, u, _ in rows]
+    on, all_of = {}, {}
+    for host, page in zip(hosts, tokens):
+        stream = tuple(w for w, _ in page)
+        all_of.setdefault(host, set()).add(stream)
+        for i in range(len(page) - least + 1):
+            on.setdefault((host, page[i][1], stream[i : i + least]), set()).add(stream)
+    out = []
+    for host, page, parts in zip(hosts, tokens, found):
+        gone, stream = set(), tuple(w for w, _ in page)
+        for i in range(len(page) - least + 1):
+            kind = page[i][1]
+            n = len(on[host, kind, stream[i : i + least]])
+            if n >= 2 if kind == html_extract.OPEN else n >= 8 and n >= 0.9 * len(all_of[host]):
+                gone |= set(range(i, i + least))
+        wanted, at, lines = max((k for k, _ in parts), default=0), 0, []
+        for kind, t in parts:
+            words = t.split()
+            if kind == wanted:
+                lines.append(" ".join(w for i, w in enumerate(words, at) if i not in gone))
+            at += len(words)
+        out.append("\n".join(line for line in lines if line))
+    return out
+
+
+@pytest.mark.parametrize("unit_pages", [1, 7, 40, 1000])
+def test_boilerplate_over_whole_hosts(spark, unit_pages):
+    rng, rows = random.Random(5), []
+    word = lambda n: " ".join(rng.choice("abcdefghijklmnopqrst") * 2 for _ in range(n))
+    notice, byline, pair = word(12), word(10), word(20)
+    for i in range(160):
+        host = f"http://{'one two three four'.split()[min(3, i // 40 if i < 120 else i % 5)]}.org/{i}"
+        body = f"<p>{word(rng.randrange(40))}</p><p>{notice if rng.random() < 0.3 else ''}</p>" + f"<p>{pair}</p>" * (i in (3, 33))
+        if i % 4 == 0 or 40 <= i < 80:
+            body = f"<article>{body}<p>{byline if i % 40 or i == 40 else ''} {word(3)}</p></article><p>{notice}</p>"
+        rows.append((i, host, f"<body><nav>menu</nav>{body}</body>"))
+    rows += [(500 + k, rows[41][1], rows[41][2]) for k in range(60)] + [(600 + k, None, None) for k in range(9)] + [(700, rows[2][1], "<p>" + notice + "</p>"), (701, rows[2][1], "<p></p>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.extract(df, unit_pages=unit_pages).collect()}
+    want = dict(zip((r[0] for r in rows), plain_texts(rows), strict=True))
+    assert got == want
+    whole = {i: "\n".join(t for k, t in p if k == max(x for x, _ in p)) for i, p in ((r[0], html_extract.blocks(r[2])) for r in rows if r[2]) if p}
+    assert 20 < sum(want[i] != t for i, t in whole.items()) < len(whole)
+
+
 def table_dir(spark, path, **tables):
     for name, df in tables.items():
         df.write.parquet(f"{path}/{name}.parquet")
