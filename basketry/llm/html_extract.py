@@ -32,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import buckets, grams, slabs, slices, windows, words_of
+from basketry.llm.common import buckets, grams, slabs, slices, stored, windows, words_of
 from basketry.llm.url_filter import host_of
 
 LEAST = 8
@@ -46,6 +47,8 @@ ARTICLE_SHARE = 0.9
 #: A unit of a larger host sends the runs in articles that stand on this share of its pages, or all where it has fewer pages than SURE_PAGES.
 SENT_SHARE = 0.5
 SURE_PAGES = 64
+#: Compression of parsed pages.
+LEVEL = 9
 #: Hosts above UNIT_PAGES that may be broadcast; more of them meet the pages by a join.
 MOST_BROADCAST = 100_000
 
@@ -356,9 +359,18 @@ def _units(table: pa.Table) -> Iterator[tuple[str, int, list[int]]]:
         yield host, units, rows
 
 
+def packed(page: list[tuple[int, str]]) -> bytes:
+    """Blocks compressed for their way to the units; no block holds a line feed."""
+    return zstandard.ZstdCompressor(level=LEVEL).compress("\n".join(f"{kind}{text}" for kind, text in page).encode("utf-8", "surrogatepass"))
+
+
+def unpacked(body: bytes) -> list[tuple[int, str]]:
+    whole = zstandard.ZstdDecompressor().decompress(body).decode("utf-8", "surrogatepass")
+    return [(int(line[0]), line[1:]) for line in whole.split("\n")] if whole else []
+
+
 def _unit(table: pa.Table, rows: list[int], least: int) -> Unit:
-    part = table.take(pa.array(rows, pa.int64()))
-    return Unit([list(zip(k, t, strict=True)) for k, t in zip(part.column("kinds").to_pylist(), part.column("texts").to_pylist(), strict=True)], least)
+    return Unit([unpacked(body) for body in table.column("body").take(pa.array(rows, pa.int64())).to_pylist()], least)
 
 
 RUNS = "seat bigint, host string, kind int, run bigint, twin bigint, streams array<bigint>"
@@ -372,10 +384,8 @@ def extract(pages: DataFrame, least: int = LEAST, unit_pages: int = UNIT_PAGES)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [blocks(h or "") for h in batch.column(3).to_pylist()]
-            kinds = [[k for k, _ in p] for p in found]
-            texts = [[t for _, t in p] for p in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "host", "kinds", "texts"])
+            bodies = [packed(blocks(h or "")) for h in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bodies, pa.binary())], names=["page_id", "url", "host", "body"])
 
     def runs(table: pa.Table) -> pa.Table:
         seat, out = table.column("seat")[0].as_py(), []
@@ -406,16 +416,19 @@ def extract(pages: DataFrame, least: int = LEAST, unit_pages: int = UNIT_PAGES)
         large = F.broadcast(large)
     # A seat is what a task holds at a time: a unit, or several small hosts.
     seats = hosts.agg(F.ceil(F.sum("n") / unit_pages)).first()[0] or 1
-    unit = F.pmod(F.xxhash64("page_id", "url", F.xxhash64("texts")), F.col("units")).cast("int")
-    parsed = hosted.mapInArrow(parse, "page_id bigint, url string, host string, kinds array<int>, texts array<string>").join(large, "host", "left").withColumn("units", F.coalesce("units", F.lit(1))).withColumn("unit", unit)
-    dealt = parsed.select(F.pmod(F.xxhash64("host", "unit"), F.lit(seats)).alias("seat"), "page_id", "url", "kinds", "texts", "host", "units", "unit").repartition(buckets(spark), "seat")
+    parsed = hosted.mapInArrow(parse, "page_id bigint, url string, host string, body binary").join(large, "host", "left").withColumn("units", F.coalesce("units", F.lit(1)))
+    parsed = parsed.withColumn("unit", F.pmod(F.xxhash64("page_id", "url", "body"), F.col("units")).cast("int"))
+    parsed = parsed.withColumn("seat", F.pmod(F.xxhash64("host", "unit"), F.lit(seats)))
 
-    held = dealt.groupBy("seat").applyInArrow(runs, RUNS)
+    # The runs are written before anything reads them; pages of hosts of one unit need none.
+    shared = parsed.where("units > 1").select("seat", "host", "units", "unit", "body").repartition(buckets(spark), "seat")
+    held = stored(shared.groupBy("seat").applyInArrow(runs, RUNS), "runs")
     counted = held.select("host", "kind", "run", "twin", F.explode("streams").alias("stream")).groupBy("host", "kind", "run", "twin").agg(F.count_distinct("stream").alias("n"))
     total = counted.where(F.col("kind") == -1).select("host", F.col("n").alias("total"))
     least_n = F.when(F.col("kind") == ARTICLE, ARTICLE_PAGES).otherwise(OPEN_PAGES)
     share = F.when(F.col("kind") == ARTICLE, ARTICLE_SHARE).otherwise(0.0)
     boiler = counted.where((F.col("kind") >= 0) & (F.col("n") >= least_n)).join(total, "host").where(F.col("n") >= share * F.col("total"))
     judged = held.where(F.col("kind") >= 0).select("seat", "host", "kind", "run", "twin").join(boiler.select("host", "kind", "run", "twin"), ["host", "kind", "run", "twin"]).select("seat", "host", "kind", "run", "twin")
+    dealt = parsed.select("seat", "page_id", "url", "host", "units", "unit", "body").repartition(buckets(spark), "seat")
     done = dealt.groupBy("seat").cogroup(judged.groupBy("seat")).applyInArrow(settle, "page_id bigint, url string, text string")
     return done.withColumn("n_chars", F.length("text").cast("bigint"))
