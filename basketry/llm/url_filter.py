@@ -37,6 +37,8 @@ DAMPING = 0.85
 LEAST = 1e-3
 #: Steps between two tables in the shared folder.
 STEPS = 4
+#: Edges that a task of a step takes on average.
+TASK_EDGES = 500_000
 SHARE = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
@@ -77,16 +79,18 @@ def propagate(edges: DataFrame, seeds: DataFrame, least: float = LEAST, damping:
     """
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     moves = stored(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total") * damping).alias("part")), "edges")
+    tasks = 1 + moves.count() // TASK_EDGES
+    moves = stored(moves.coalesce(tasks), "moves")
     front = seeds.select("kind", "host", F.col("mass").alias("rank"))
     total = front
     while True:
         for _ in range(STEPS):
             moved = front.join(moves, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("part")).alias("rank"))
-            front = moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+            front = moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank")).coalesce(tasks)
             total = total.unionAll(front)
         # the sum so far and the last step in one table, so that each step is taken once
         both = total.groupBy("kind", "host").agg(F.sum("rank").alias("rank")).withColumn("last", F.lit(False)).unionAll(front.withColumn("last", F.lit(True)))
-        both = stored(both, "ranks")
+        both = stored(both.coalesce(tasks), "ranks")
         total, front = (both.where(F.col("last") == x).select("kind", "host", "rank") for x in (False, True))
         moving = front.groupBy("kind").agg(F.sum("rank").alias("m")).agg(F.max("m")).first()[0] or 0.0
         if moving * damping / (1 - damping) <= least:
