@@ -454,7 +454,9 @@ def crowds(cells: DataFrame, points: DataFrame, t: Fraction) -> DataFrame:
     sizes = cells.groupBy("cell").agg(F.count("*").alias("total"), F.min("sig").alias("hub"), F.bit_xor("sig").alias("x"), F.bit_xor(F.xxhash64("sig")).alias("y"))
     # Of cells with just the same members one is enough.
     kept = stored(sizes.groupBy("total", "x", "y").agg(F.min(F.struct("cell", "hub")).alias("c")).select(F.col("c.cell").alias("cell"), "total", F.col("c.hub").alias("hub")), "kept")
-    members = cells.join(kept.select("cell"), "cell").join(points.select("sig", "n", "vec"), "sig")
+    # A node meets its point once, with all its cells in one row.
+    cells_of = cells.join(kept.select("cell"), "cell").groupBy("sig").agg(F.collect_list("cell").alias("cells"))
+    members = cells_of.join(points.select("sig", "n", "vec"), "sig").select("sig", "n", "vec", F.explode("cells").alias("cell"))
     rows = members.select(F.col("cell").alias("key"), "sig", F.lit(1).alias("weight"), "n", "vec")
     hot = kept.where(F.col("total") > UNIT).select(F.col("cell").alias("key"), "total", "hub")
     near = joining_links(rows, hot, UNIT, bounded_links, t, "near")

@@ -668,3 +668,24 @@ def test_pipeline_stages(docs, spark, tmp_path):
     assert {r.doc_id for r in frames[2].collect()} == {min(d for d in left if groups[d] == g) for g in {groups[d] for d in left}}
     assert 7 not in {r.doc_id for r in frames[3].collect()} and frames[4].count() == frames[3].count()
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {r.doc_id for r in frames[4].collect()}
+
+
+def test_no_join_makes_a_row_for_each_cell(spark):
+    from fractions import Fraction
+
+    points = spark.createDataFrame([(s, 20, bytes([1] * 64), bytes([1] * 64)) for s in range(6)], "sig bigint, n bigint, vec binary, fine binary")
+    cells = spark.createDataFrame([(c, s) for c in range(9) for s in range(6) if (c + s) % 3], "cell bigint, sig bigint")
+    members, seen = [], ngram_join.joining_links
+
+    def spy(rows, *rest):
+        members.append((rows.count(), rows._jdf.queryExecution().optimizedPlan().toString()))
+        return seen(rows, *rest)
+
+    ngram_join.joining_links = spy
+    try:
+        ngram_join.crowds(cells, points, Fraction(4, 5)).collect()
+    finally:
+        ngram_join.joining_links = seen
+    n, plan = members[0]
+    # the cells of a node are unfolded after it met its point
+    assert n > 6 and plan.index("Generate explode") < plan.index("Join Inner")
