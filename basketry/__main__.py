@@ -57,10 +57,7 @@ def release_tables(d: registry.Data, version: str, recommender: str = registry.C
     parts = []
     bound = int(recommender.rpartition("_N")[2]) if recommender in registry.CF_MODELS else 0
     for mode in release.MODES:
-        new_only = mode == release.MODES[1]
-        lists = d.lists_of(recommender, new_only=new_only, k=longest)
-        backers = d.backers(bound, longest, new_only) if bound else d.spark.createDataFrame([], "customer_id string, stock_code string, supporters array<string>")
-        parts.append(serve.explained(lists, backers, d.names, d.assigned).withColumn("mode", F.lit(mode)))
+        parts.append(d.explained(mode == release.MODES[1], longest, bound).withColumn("mode", F.lit(mode)))
     profiles = d.assigned.select("customer_id", "recency_days", "frequency_invoices", "monetary_gbp", "status", "segment_id", "segment_label")
     return {"profiles": profiles, "lists": parts[0].unionAll(parts[1]), "world": d.world, "names": d.names, "segments": models.summary(d.assigned, d.cutoff, version)}
 

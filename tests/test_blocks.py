@@ -87,3 +87,35 @@ def test_no_exchange_of_terms_of_scores(spark):
     d.spark, d.pairs = spark, spark.createDataFrame(data, "customer_id string, stock_code string").cache()
     d.near.count()
     assert shuffled(spark, d.candidates()) < 30_000 < 400 * 30 * 50
+
+
+def test_only_what_a_query_asks_for_is_scored(spark, monkeypatch):
+    from basketry.plans import registry
+
+    asked = []
+    real = itemcf.best_candidates
+
+    def noted(bought, codes, near, bounds, k=None, new_only=False, backers=0):
+        asked.append((bounds, backers))
+        return real(bought, codes, near, bounds, k, new_only, backers)
+
+    monkeypatch.setattr(itemcf, "best_candidates", noted)
+    d = registry.Data(spark, "/root/testdata/sf0.001")
+    d.lists()
+    d.lists()
+    d.explained()
+    assert asked == [((50,), 0), ((50,), 3)]
+    assert set(d.metrics) == {"GlobalPopularity", "SegmentPopularity", *registry.CF_MODELS} and len(asked) == 3
+    early = registry.Data.of(d.bought, "test")
+    early.lists(n=100, choices=(50, 100))
+    early.lists(n=50)
+    assert asked[3:] == [((50, 100), 0)]
+
+
+def test_terms_are_grouped_in_order():
+    key, place = np.array([7, 3, 7, 3, 2**61]), np.array([10, 11, 12, 13, 14])
+    for last in (9, 2**61):
+        key[-1] = last
+        keys, said, at, order = itemcf._grouped(key, place)
+        assert keys.tolist() == [3, 7, last] and said.tolist() == [0, 0, 1, 1, 2]
+        assert at.tolist() == [11, 13, 10, 12, 14] and order.tolist() == [1, 3, 0, 2, 4]
