@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry import release
-from basketry.operators import clean, cluster, fits, itemcf, models, monitor, selection, serve
+from basketry.operators import clean, cluster, fits, models, monitor, selection
 from basketry.params import CUTOFFS, DEFAULT
 from basketry.plans import registry
 from basketry.sources import stored, write_sorted
