@@ -119,3 +119,32 @@ def test_terms_are_grouped_in_order():
         keys, said, at, order = itemcf._grouped(key, place)
         assert keys.tolist() == [3, 7, last] and said.tolist() == [0, 0, 1, 1, 2]
         assert at.tolist() == [11, 13, 10, 12, 14] and order.tolist() == [1, 3, 0, 2, 4]
+
+
+def test_baskets_travel_packed(spark):
+    """Fewer rows go through the exchanges of a count than there are baskets, even without a copy for each unit."""
+    rng = np.random.default_rng(9)
+    data = [(f"C{c}", f"{i:05d}") for c in range(400) for i in rng.permutation(60)[:30].tolist()]
+    pairs = spark.createDataFrame(data, "customer_id string, stock_code string").repartition(2)
+    codes = itemcf.numbered(pairs).cache()
+    bought = itemcf.baskets(pairs, codes).cache()
+    assert codes.count() == 60 and bought.count() == 400
+    assert shuffled(spark, itemcf.near_items(bought, codes)) < 100
+    assert shuffled(spark, itemcf.pair_counts(bought, codes)) < 100
+
+
+def test_packed_lists_come_back():
+    width, values = np.array([3, 1, 2]), np.array([5, 90_000, 2**31 - 1, 7, 0, 1], np.int32)
+    both = itemcf._unpacked(itemcf._packed(width, itemcf._steps(values, width)), 9)
+    assert both[:3].tolist() == width.tolist() and itemcf._summed(both[3:], width).tolist() == values.tolist()
+
+
+def test_last_purchases_give_what_the_history_gives(spark):
+    from basketry.operators import snapshot
+    from basketry.plans import registry
+
+    d = registry.Data(spark, "/root/testdata/sf0.001")
+    history = snapshot.history(d.bought, d.cutoff).select("customer_id", "stock_code").distinct()
+    assert rows(d.owned, "customer_id", "stock_code") == rows(history, "customer_id", "stock_code")
+    assert rows(d.items, "stock_code", "n_buyers") == rows(snapshot.catalog(d.bought, d.cutoff), "stock_code", "n_buyers")
+    assert rows(d.pairs, "customer_id", "stock_code") == rows(snapshot.interactions(d.bought, d.items, d.cutoff), "customer_id", "stock_code")
