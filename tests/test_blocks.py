@@ -148,3 +148,41 @@ def test_last_purchases_give_what_the_history_gives(spark):
     assert rows(d.owned, "customer_id", "stock_code") == rows(history, "customer_id", "stock_code")
     assert rows(d.items, "stock_code", "n_buyers") == rows(snapshot.catalog(d.bought, d.cutoff), "stock_code", "n_buyers")
     assert rows(d.pairs, "customer_id", "stock_code") == rows(snapshot.interactions(d.bought, d.items, d.cutoff), "customer_id", "stock_code")
+
+
+def test_recent_pairs_come_from_the_last_purchases(spark):
+    from basketry.functions import days_before, stamp
+    from basketry.operators import popularity
+    from basketry.params import DEFAULT
+    from basketry.plans import registry
+
+    d = registry.Data(spark, "/root/testdata/sf0.001")
+    ts = F.col("ts")
+    want = d.bought.where((ts >= days_before(stamp(d.cutoff), DEFAULT.popular_days)) & (ts < stamp(d.cutoff))).select("customer_id", "stock_code").distinct()
+    assert want.count() and rows(popularity.recent_pairs(d.lasts, d.cutoff), "customer_id", "stock_code") == rows(want, "customer_id", "stock_code")
+
+
+def test_metrics_ask_for_those_with_a_truth_only(spark, monkeypatch):
+    from basketry.operators import evaluate
+    from basketry.plans import registry
+
+    d = registry.Data(spark, "/root/testdata/sf0.001")
+    truth = d.truth("primary")
+    lists = {"GlobalPopularity": d.popular_lists(), "SegmentPopularity": d.segment_lists(), "ItemItemCF_N50": d.lists(n=50), "ItemItemCF_N100": d.lists(n=100)}
+    asked = truth.select("customer_id").distinct().count()
+    assert 0 < asked < d.known.count()
+    scored, real = [], itemcf.best_candidates
+    monkeypatch.setattr(itemcf, "best_candidates", lambda bought, *a: scored.append(bought.count()) or real(bought, *a))
+    columns = ("customer_id", "recall", "precision", "hit", "ndcg")
+    for name, got in d.metrics.items():
+        assert rows(got, *columns) == rows(evaluate.user_metrics(lists[name], truth), *columns)
+    assert len(scored) == 1 and scored[0] <= asked
+
+
+def test_units_of_scores_send_little():
+    """Many neighbours and few customers: neighbours are dealt to blocks; many customers: customers to shares."""
+    assert itemcf._dealt(10_000_000, 500_000, 300_000, 8)[0] > 1
+    assert itemcf._dealt(5_000_000, 15_000_000, 9_000_000, 8) == (1, 8)
+    for n_near, n_bought, n_best, busy in ((0, 0, 0, 1), (30_000_000, 100, 10, 8), (10, 40_000_000, 0, 8)):
+        blocks, shares = itemcf._dealt(n_near, n_bought, n_best, busy)
+        assert blocks * itemcf.HELD >= n_near and shares * itemcf.SCORED >= n_bought and blocks * shares >= busy
