@@ -64,7 +64,7 @@ def release_tables(d: registry.Data, version: str, recommender: str = registry.C
 
 def train(spark: SparkSession, args: argparse.Namespace) -> None:
     """Write a release; with a frozen choice its models are fitted again on the stage's customers."""
-    d, recommender, choice = registry.Data(spark, args.data, args.stage, texts=True), registry.CF_MODELS[0], models.RULES
+    d, recommender, choice = registry.Data(spark, args.data, args.stage), registry.CF_MODELS[0], models.RULES
     if args.selection:
         row = selection.frozen(spark, args.selection, d.raw)
         recommender, choice = row.recommender, (row.family, row.covariance, row.k)
@@ -89,19 +89,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
     if args.command == "prepare":
-        d = registry.Data(spark, args.data, texts=True)
+        d = registry.Data(spark, args.data)
         write_sorted(d.bought, args.output, "ts", "invoice_no", "stock_code")
         if args.report:
             clean.audit(d.lines).coalesce(1).write.mode("overwrite").json(args.report)
     elif args.command == "freeze":
-        d = registry.Data(spark, args.data, "validation")
+        d = registry.lean(spark, args.data, "validation")
         choice = [models.RULES] if args.rules else cluster.selection(fits.candidates(cluster.transformed(d.points))).collect()  # one row
         selection.freeze(selection.manifest(d.raw, registry.gate(d), d.cutoff), spark.createDataFrame(choice, "family string, covariance string, k int"), args.output)
         shown(spark.read.schema(selection.SCHEMA).json(args.output))
     elif args.command == "train":
         train(spark, args)
     elif args.command == "evaluate":
-        found = registry.compared(registry.Data(spark, args.data, args.stage))
+        found = registry.compared(registry.lean(spark, args.data, args.stage))
         if args.output:
             found.coalesce(1).write.mode("overwrite").json(args.output)
         shown(found)

@@ -62,7 +62,7 @@ def test_sound_lines_give_the_same_purchases(spark, tmp_path):
 def test_exchanged_lines_have_no_texts(spark, monkeypatch):
     """Three exchanges of lines and orders, none of which takes a text or a line that the tables tell to be removed."""
     monkeypatch.setattr(sources, "TASK_LINES", 500)
-    plan = plan_of(registry.Data(spark, SF, once=True).bought)
+    plan = plan_of(registry.lean(spark, SF, once=True).bought)
     assert "p_name" in plan  # the names are still told apart
     lines = plan[: plan.index("hashpartitioning(l_orderkey")]
     assert "n_name" not in plan and "Description" not in lines[lines.rindex("Exchange") :]
