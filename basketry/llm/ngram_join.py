@@ -13,8 +13,8 @@ Equal sets are one node from the start. Only linked groups are wanted, so no tas
 sends pairs: inside a cell the bounds join members to a forest (at most members - 1
 rows), the components of all forests are crowds that a link can't leave. In a crowd each
 node's finer vector, whose length follows its set, bounds again and splits it, and each
-node's shingle set travels once to what is left, where exact overlaps from postings give
-the forest of true links.
+node's text travels once, compressed, to what is left, where exact overlaps from postings
+of its shingles give the forest of true links.
 
 A key (cell or crowd) above the limit is dealt to parts, each with the key's least
 member beside its own. What the parts leave apart from the key's largest group is then
@@ -22,7 +22,12 @@ compared with all of the key, block by block; so a large group that hangs togeth
 two passes, and only members that are alike but not linked cost the square.
 
 Mappers gather entries, keep one per cell and send packed arrays, one row for each
-bucket, so a cell shared by many documents reaches a task a few times.
+bucket, so a cell shared by many documents reaches a task a few times. An entry takes
+about 7 bytes: cells are sorted and coded by their gaps, nodes go by a short name.
+
+Passages that many documents share make cells that grow with the corpus. The spare
+blocks let each node stay out of as many of its cells as it has room, most shared first
+(see room): so nodes with no more than such passages in common don't meet.
 
 Defined cases: null texts and texts without words have an empty set and stay alone;
 fewer words than a shingle make one shingle; rows repeated under one doc_id are rows of
@@ -36,14 +41,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import cache
+from functools import cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import U, as_bytes, buckets, mix, shingle_sets, slices, small, spare_name, stored
+from basketry.llm.common import U, as_bytes, buckets, mix, pieces, shingle_sets, slices, small, spare_name, stored
 from basketry.llm.components import components
 
 #: Each size class reaches to this multiple of its lower end.
@@ -57,10 +62,14 @@ UNIT_SHINGLES = 1 << 18
 #: Shingles whose cells meet in one bucket, about.
 BUCKET_SHINGLES = 1 << 21
 #: Cell entries that a task gathers, each cell once, before it sends them on.
-PACKED_ENTRIES = 400_000
+PACKED_ENTRIES = 1_000_000
+PACKED_NODES_BITS = 16
+PACKED_NODES = 1 << PACKED_NODES_BITS
+#: The bits of a node's name that go with its cells.
+SHORT = (1 << 31) - 1
 #: Sets whose 64-bit names clash that are told to all tasks at most.
 MOST_CLASHES = 10_000
-#: Ids of documents, 8 or 16 bytes each, that are broadcast at most; with more of them the texts are exchanged.
+#: Ids of documents that are broadcast at once at most; with more than a few times as many the texts are exchanged.
 MOST_BROADCAST = 500_000
 #: Points under one box.
 LEAF = 64
@@ -143,21 +152,22 @@ def linked(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
     return both > 0 and t.denominator * both >= t.numerator * (len(a) + len(b) - both)
 
 
-def nodes(docs: DataFrame, size: int, bits: int = 64) -> DataFrame:
-    """(doc_id, n, sig, check, vec, fine) of each row's shingle set."""
+def nodes(docs: DataFrame, size: int, t: Fraction, bits: int = 64) -> DataFrame:
+    """(doc_id, n, sig, check, vec, fine, room) of each row's shingle set."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            n, sig, vec, fine = [], [], [], []
+            n, sig, vec, fine, rooms = [], [], [], [], []
             for s in shingle_sets(as_bytes(batch.column(1), lower=True), size):
                 n.append(len(s))
                 sig.append(signature(s, bits))
                 vec.append(coarse_vector(s))
                 fine.append(fine_vector(s) if len(s) >= 16 * COARSE else vec[-1])
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array([x for x, _ in sig], pa.int64()), pa.array([x for _, x in sig], pa.int64()), pa.array(vec, pa.binary()), pa.array(fine, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "check", "vec", "fine"])
+                rooms.append(room(s, t))
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array([x for x, _ in sig], pa.int64()), pa.array([x for _, x in sig], pa.int64()), pa.array(vec, pa.binary()), pa.array(fine, pa.binary()), pa.array(rooms, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "check", "vec", "fine", "room"])
 
-    return docs.select("doc_id", "text").mapInArrow(name, "doc_id bigint, n bigint, sig bigint, check bigint, vec binary, fine binary")
+    return docs.select("doc_id", "text").mapInArrow(name, "doc_id bigint, n bigint, sig bigint, check bigint, vec binary, fine binary, room int")
 
 
 def clashes(named: DataFrame) -> dict[tuple[int, int], int]:
@@ -182,29 +192,77 @@ def _sorted_entries(keys: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.
     return keys[keep], sigs[keep]
 
 
+def room(s: np.ndarray, t: Fraction) -> int:
+    """How many of its cells one set may leave out, if all sets leave out their most shared ones.
+
+    Linked sets have 1 + spare equal blocks of their class, of which no more are empty
+    than either has empty ones. So they share 1 + (spare - empty) cells at least, and of
+    those the one that fewest share is left out by neither. One more stays, for two cells
+    of a set that have one name.
+    """
+    most, n = len(s), len(s)
+    for c in range(size_class(max(1, math.ceil(n * t))), size_class(n) + 1) if n else ():
+        k, spare = blocks_of_class(c, t)
+        block = np.minimum(s // U((2**64 - 1) // k), U(k - 1))
+        most = min(most, spare - k + 1 + int(np.count_nonzero(block[1:] != block[:-1])) - 1)
+    return max(0, most)
+
+
+def sorted_bytes(x: np.ndarray) -> bytes:
+    """Sorted numbers in about 2 bits more than the logarithm of their mean gap: low bits as they are, high ones as places of set bits."""
+    y, k = x - x[0], len(x)
+    r = max(0, (int(y[-1]) // k).bit_length() - 1)
+    low = y.view(np.uint8).reshape(k, 8)
+    rest = np.packbits(np.unpackbits(low[:, r // 8, None], axis=1, bitorder="little")[:, : r % 8])
+    at = (y >> U(r)).astype(np.int64) + np.arange(k)
+    high = np.zeros(at[-1] + 1, np.uint8)
+    high[at] = 1
+    return x[:1].tobytes() + bytes([r]) + low[:, : r // 8].tobytes() + rest.tobytes() + np.packbits(high).tobytes()
+
+
+def sorted_numbers(data: bytes, k: int) -> np.ndarray:
+    """What sorted_bytes had: k numbers."""
+    raw, r = np.frombuffer(data, np.uint8), data[8]
+    low = np.zeros((k, 8), np.uint8)
+    at, end = 9 + k * (r // 8), 9 + k * (r // 8) + (k * (r % 8) + 7) // 8
+    low[:, : r // 8] = raw[9:at].reshape(k, r // 8)
+    if r % 8:
+        bits = np.unpackbits(raw[at:end], count=k * (r % 8)).reshape(k, r % 8)
+        low[:, r // 8] = np.packbits(bits, axis=1, bitorder="little")[:, 0]
+    high = np.flatnonzero(np.unpackbits(raw[end:]))[:k] - np.arange(k)
+    return low.view(np.uint64)[:, 0] + (high.astype(np.uint64) << U(r)) + np.frombuffer(data, np.uint64, 1)
+
+
 def shared_cells(docs: DataFrame, size: int, t: Fraction, names: dict[tuple[int, int], int], shingles: int, bits: int = 64) -> DataFrame:
-    """(cell, sig): the nodes of every cell that holds more than one, each once."""
+    """(cell, total, x, y, shorts): every cell that holds more than one node, in one row with its nodes' short names, each once.
+
+    Cells are named by some bits more than tell apart all entries, nodes by 31 bits.
+    Where two have one name a cell holds a few nodes more, and none less: see crowds
+    for nodes of one short name. x and y tell the same members.
+    """
     n_buckets = max(8 * buckets(docs.sparkSession), shingles // BUCKET_SHINGLES)
+    name_bits = min(48, max(32, int(shingles).bit_length() + 14))
 
-    def packed(keys: list[np.ndarray], sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        k, s = _sorted_entries(np.concatenate(keys), np.concatenate(sigs))
+    def packed(keys: list[np.ndarray], sigs: list[int]) -> Iterator[pa.RecordBatch]:
+        place = np.repeat(np.arange(len(keys), dtype=np.uint64), [len(x) for x in keys])
+        both = np.sort((np.concatenate(keys) >> U(64 - name_bits) << U(PACKED_NODES_BITS)) | place)
+        both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+        k, s = both >> U(PACKED_NODES_BITS), np.array(sigs, np.int32)[(both & U(PACKED_NODES - 1)).astype(np.int64)]
         start, length = _runs(k)
         multi = np.repeat(length > 1, length)
         # One entry a cell goes on; cells shared within the entries at hand are told at once.
-        for local, (kk, ss) in enumerate(((k[start], s[start]), (k[multi], s[multi]))):
-            bucket = (kk % U(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            at, count = _runs(bucket[order])
-            kk, ss = kk[order], ss[order]
+        for known, (kk, ss) in enumerate(((k[start], s[start]), (k[multi], s[multi]))):
+            bucket = ((kk >> U(name_bits - 32)) * U(n_buckets) >> U(32)).astype(np.int32)
+            at, count = _runs(bucket)
             if len(at):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(bucket[order][at].astype(np.int32)),
-                        pa.array(np.full(len(at), bool(local))),
-                        pa.array([kk[i : i + c].tobytes() for i, c in zip(at, count, strict=True)], pa.binary()),
+                        pa.array(bucket[at]),
+                        pa.array(np.full(len(at), bool(known))),
+                        pa.array([sorted_bytes(kk[i : i + c]) for i, c in zip(at, count, strict=True)], pa.binary()),
                         pa.array([ss[i : i + c].tobytes() for i, c in zip(at, count, strict=True)], pa.binary()),
                     ],
-                    names=["bucket", "known", "cells", "sigs"],
+                    names=["bucket", "known", "cells", "shorts"],
                 )
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +274,9 @@ def shared_cells(docs: DataFrame, size: int, t: Fraction, names: dict[tuple[int,
                 continue
             seen.add(sig)
             keys.append(np.concatenate(list(cell_keys(s, t))))
-            sigs.append(np.full(len(keys[-1]), sig, dtype=np.int64))
+            sigs.append(sig & SHORT)
             held += len(keys[-1])
-            if held > PACKED_ENTRIES:
+            if held > PACKED_ENTRIES or len(keys) == PACKED_NODES:
                 yield from packed(keys, sigs)
                 keys, sigs, held, seen = [], [], 0, set()
         if keys:
@@ -226,20 +284,28 @@ def shared_cells(docs: DataFrame, size: int, t: Fraction, names: dict[tuple[int,
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(rows):
-            out = []
+            out = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))]
             for known in (False, True):
                 own = [r for r in rows if r[0] == known]
                 if own:
-                    k = np.frombuffer(b"".join(r[1] for r in own), dtype=np.uint64)
-                    s = np.frombuffer(b"".join(r[2] for r in own), dtype=np.int64)
-                    k, s = _sorted_entries(k, s)
+                    k = np.concatenate([sorted_numbers(r[1], len(r[2]) // 4) for r in own])
+                    s = np.frombuffer(b"".join(r[2] for r in own), dtype=np.int32)
                     if not known:
-                        start, length = _runs(k)
+                        order = np.argsort(k)
+                        k, s = k[order], s[order]
+                        _, length = _runs(k)
                         multi = np.repeat(length > 1, length)
                         k, s = k[multi], s[multi]
                     out.append((k, s))
             k, s = _sorted_entries(np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out]))
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(s)], names=["cell", "sig"])
+            _, length = _runs(k)
+            multi = np.repeat(length > 1, length)
+            k, s = k[multi], s[multi]
+            start, length = _runs(k)
+            h = s.astype(np.uint64)
+            x, y = (np.add.reduceat(mix(h * U(2) + U(i)), start).view(np.int64) if len(start) else np.zeros(0, np.int64) for i in (0, 1))
+            shorts = pa.ListArray.from_arrays(pa.array(np.append(start, len(k)).astype(np.int32)), pa.array(s))
+            return pa.RecordBatch.from_arrays([pa.array(k[start].view(np.int64)), pa.array(length.astype(np.int64)), pa.array(x), pa.array(y), shorts], names=["cell", "total", "x", "y", "shorts"])
 
         held, now = [], None
         for batch in batches:  # sorted by bucket: one bucket at a time is in memory
@@ -252,9 +318,9 @@ def shared_cells(docs: DataFrame, size: int, t: Fraction, names: dict[tuple[int,
         if held:
             yield told(held)
 
-    sent = docs.select("text").mapInArrow(entries, "bucket int, known boolean, cells binary, sigs binary")
+    sent = docs.select("text").mapInArrow(entries, "bucket int, known boolean, cells binary, shorts binary")
     dealt = sent.repartition(buckets(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(meet, "cell bigint, sig bigint")
+    return dealt.mapInArrow(meet, "cell bigint, total bigint, x bigint, y bigint, shorts array<int>")
 
 
 def forest(grp: np.ndarray, pivots: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
@@ -350,16 +416,18 @@ def fine_links(table: pa.Table, start: np.ndarray, t: Fraction) -> list[np.ndarr
     return out
 
 
-def exact_links(table: pa.Table, start: np.ndarray, t: Fraction) -> list[np.ndarray]:
-    """Pairs of rows that join the groups of each unit of (..., sig, grp, left, set), by the overlaps of their shingle sets."""
+def exact_links(table: pa.Table, start: np.ndarray, t: Fraction, shingle: int) -> list[np.ndarray]:
+    """Pairs of rows that join the groups of each unit of (..., sig, grp, left, bytes, text), by the overlaps of their shingle sets."""
     p, q = t.numerator, t.denominator
-    grp, left, raw = table.column("grp").to_numpy(), table.column("left").to_numpy(), table.column("set").to_pylist()
+    grp, left = table.column("grp").to_numpy(), table.column("left").to_numpy()
+    texts, length = table.column("text").to_pylist(), table.column("bytes").to_pylist()
     out = []
     for a, z in zip(start, np.append(start[1:], len(grp)), strict=True):
         if z - a < 2 or (grp[a:z] == grp[a]).all():
             continue
-        n = np.array([len(x) // 8 for x in raw[a:z]])
-        every, place = np.unique(np.frombuffer(b"".join(raw[a:z]), dtype=np.uint64), return_inverse=True)
+        sets = list(shingle_sets([pa.decompress(x, m, "zstd", asbytes=True) for x, m in zip(texts[a:z], length[a:z], strict=True)], shingle))
+        n = np.array([len(x) for x in sets])
+        every, place = np.unique(np.concatenate(sets), return_inverse=True)
         owner = np.repeat(np.arange(z - a), n)[np.argsort(place, kind="stable")]  # the postings: owners of each shingle
         count = np.bincount(place, minlength=len(every))
         first, at = np.cumsum(count) - count, np.concatenate(([0], np.cumsum(n)))
@@ -450,15 +518,31 @@ def joining_links(rows: DataFrame, hot: DataFrame, limit: int, kernel, t: Fracti
 
 
 def crowds(cells: DataFrame, points: DataFrame, t: Fraction) -> DataFrame:
-    """(sig, crowd): nodes that sizes and count vectors don't keep from links with each other; a crowd holds all links of its nodes."""
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("total"), F.min("sig").alias("hub"), F.bit_xor("sig").alias("x"), F.bit_xor(F.xxhash64("sig")).alias("y"))
+    """(sig, crowd): nodes that sizes and count vectors don't keep from links with each other; a crowd holds all links of its nodes.
+
+    cells: what shared_cells gives, or plain (cell, sig). Points with a room stay out of
+    that many of their cells, those that most share.
+    """
+    short = F.col("sig").bitwiseAND(F.lit(SHORT)).cast("int").alias("short")
+    if "shorts" not in cells.columns:
+        plain = cells.select("cell", short).distinct()
+        cells = plain.groupBy("cell").agg(F.count("*").alias("total"), F.bit_xor("short").cast("bigint").alias("x"), F.bit_xor(F.xxhash64("short")).alias("y"), F.collect_list("short").alias("shorts"))
     # Of cells with just the same members one is enough.
-    kept = stored(sizes.groupBy("total", "x", "y").agg(F.min(F.struct("cell", "hub")).alias("c")).select(F.col("c.cell").alias("cell"), "total", F.col("c.hub").alias("hub")), "kept")
+    kept = cells.groupBy("total", "x", "y").agg(F.min("cell").alias("cell"), F.count("*").alias("copies"), F.any_value("shorts").alias("shorts")).select("cell", "total", "copies", "shorts")
+    # Nodes of one short name share a cell of their own, which no room leaves out.
+    placed = points.select(short, "sig", *(["room"] if "room" in points.columns else [F.lit(0).alias("room")]))
+    alike = placed.groupBy("short").agg(F.count("*").alias("total")).where("total > 1")
+    alike = alike.select((-1 - F.col("short")).cast("bigint").alias("cell"), "total", F.lit(1 << 40).alias("copies"), F.array("short").alias("shorts"))
+    kept = stored(kept.unionByName(alike), "kept")
+    order = Window.partitionBy("short", "sig").orderBy(F.desc("total"), "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = kept.select("cell", "total", "copies", F.explode("shorts").alias("short")).join(placed, "short")
+    met = met.withColumn("upto", F.sum("copies").over(order)).where("upto > room")
+    cells_of = stored(met.groupBy("short", "sig").agg(F.collect_list("cell").alias("cells")).select("sig", "cells"), "cells_of")
     # A node meets its point once, with all its cells in one row.
-    cells_of = cells.join(kept.select("cell"), "cell").groupBy("sig").agg(F.collect_list("cell").alias("cells"))
     members = cells_of.join(points.select("sig", "n", "vec"), "sig").select("sig", "n", "vec", F.explode("cells").alias("cell"))
     rows = members.select(F.col("cell").alias("key"), "sig", F.lit(1).alias("weight"), "n", "vec")
-    hot = kept.where(F.col("total") > UNIT).select(F.col("cell").alias("key"), "total", "hub")
+    large = small(kept.where(F.col("total") > UNIT).select(F.col("cell").alias("key")), MOST_BROADCAST)
+    hot = cells_of.select("sig", F.explode("cells").alias("key")).join(large, "key").groupBy("key").agg(F.count("*").alias("total"), F.min("sig").alias("hub")).where(F.col("total") > UNIT)
     near = joining_links(rows, hot, UNIT, bounded_links, t, "near")
     # Long sets differ little in a coarse vector: within the crowds each node's fine one tells more.
     members = stored(points.select("sig", "n", "fine").join(_with_heads(components(near)), "sig"), "members")
@@ -478,19 +562,19 @@ def links(docs: DataFrame, members: DataFrame, size: int, t: Fraction, names: di
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            wanted, raw = batch.column(1).to_pylist(), []
-            for k, s in enumerate(shingle_sets(as_bytes(batch.column(3), lower=True), size)):
+            wanted, raw, blobs = batch.column(1).to_pylist(), [], as_bytes(batch.column(3), lower=True)
+            for k, s in enumerate(shingle_sets(blobs, size)):
                 sig = signature(s, bits)
                 # a doc_id may stand on several rows: only the text that bears the node's name counts
-                raw.append(s.tobytes() if names.get(sig, sig[0]) == wanted[k] else None)
-            out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary())], names=["key", "sig", "weight", "set"])
-            yield out.filter(out.column(3).is_valid())
+                raw.append(pa.compress(blobs[k], "zstd", asbytes=True) if names.get(sig, sig[0]) == wanted[k] else None)
+            out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) for x in blobs], pa.int64()), pa.array(raw, pa.binary())], names=["key", "sig", "weight", "bytes", "text"])
+            yield out.filter(out.column(4).is_valid())
 
-    wanted = small(members.select("doc_id", F.col("crowd").alias("key"), "sig", F.col("n").alias("weight")), MOST_BROADCAST)
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("key", "sig", "weight", "text")
-    rows = stored(texts.mapInArrow(read, "key bigint, sig bigint, weight bigint, set binary"), "sets")
+    wanted = pieces(members.select("doc_id", F.col("crowd").alias("key"), "sig", F.col("n").alias("weight")), MOST_BROADCAST)
+    texts = reduce(DataFrame.unionAll, [docs.select("doc_id", "text").join(w, "doc_id").select("key", "sig", "weight", "text") for w in wanted])
+    rows = stored(texts.mapInArrow(read, "key bigint, sig bigint, weight bigint, bytes bigint, text binary"), "texts")
     hot = members.groupBy(F.col("crowd").alias("key")).agg(F.sum("n").alias("total"), F.min("sig").alias("hub")).where(F.col("total") > UNIT_SHINGLES)
-    return joining_links(rows, hot, UNIT_SHINGLES, exact_links, t, "links")
+    return joining_links(rows, hot, UNIT_SHINGLES, partial(exact_links, shingle=size), t, "links")
 
 
 def linked_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, bits: int = 64) -> DataFrame:
@@ -502,12 +586,12 @@ def linked_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     """
     t = Fraction(num, den)
     spark = docs.sparkSession
-    named = stored(nodes(docs, size, bits), "nodes")
+    named = stored(nodes(docs, size, t, bits), "nodes")
     names = clashes(named)
     if names:
         again = spark.createDataFrame([(*k, v) for k, v in names.items()], "sig bigint, check bigint, own bigint")
         named = stored(named.join(F.broadcast(again), ["sig", "check"], "left").withColumn("sig", F.coalesce("own", "sig")).drop("own"), "nodes")
-    points = stored(named.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("fine").alias("fine")), "points")
+    points = stored(named.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("fine").alias("fine"), F.first("room").alias("room")), "points")
     shingles = points.agg(F.sum("n")).first()[0] or 0
     cells = stored(shared_cells(docs, size, t, names, shingles, bits), "cells")
     crowd = crowds(cells, points, t)
@@ -525,11 +609,16 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
 
     Of rows repeated under one doc_id the first by content stays; rows without a doc_id stay.
     """
-    groups = stored(linked_groups(docs, size, num, den).where("doc_id IS NOT NULL"), "groups")
-    per = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("head"))
+    groups = linked_groups(docs, size, num, den).where("doc_id IS NOT NULL")
+    per = stored(groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("head")), "groups")
     again = small(per.where("rows > 1 AND head").select("doc_id"), MOST_BROADCAST)
-    gone = small(stored(per.where("rows > 1 OR NOT head").select("doc_id"), "gone"), MOST_BROADCAST)
     order = Window.partitionBy("doc_id").orderBy(*(F.col(c).cast("string") for c in docs.columns if c != "doc_id"))
     row = spare_name(docs)
     firsts = docs.join(again, "doc_id", "left_semi").withColumn(row, F.row_number().over(order)).where(F.col(row) == 1)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns).unionAll(firsts.select(docs.columns))
+    # The lesser of what goes and what stays meets the texts.
+    gone, stay = per.where("rows > 1 OR NOT head").select("doc_id"), per.where("rows = 1 AND head").select("doc_id")
+    if gone.count() > stay.count():
+        rest = [docs.join(p, "doc_id", "left_semi").select(docs.columns) for p in pieces(stay, MOST_BROADCAST)] + [docs.where("doc_id IS NULL")]
+        return reduce(DataFrame.unionAll, [*rest, firsts.select(docs.columns)])
+    rest = reduce(lambda left, p: left.join(p, "doc_id", "left_anti"), pieces(gone, MOST_BROADCAST), docs)
+    return rest.select(docs.columns).unionAll(firsts.select(docs.columns))

@@ -689,3 +689,42 @@ def test_no_join_makes_a_row_for_each_cell(spark):
     n, plan = members[0]
     # the cells of a node are unfolded after it met its point
     assert n > 6 and plan.index("Generate explode") < plan.index("Join Inner")
+
+
+@pytest.mark.parametrize("k,most", [(1, 1 << 40), (3, 2), (999, 1 << 48), (2500, 1 << 31), (700, 50)])
+def test_sorted_numbers_come_back(k, most):
+    x = np.sort(np.random.default_rng(k).integers(0, most, k, dtype=np.uint64))
+    coded = ngram_join.sorted_bytes(x)
+    assert (ngram_join.sorted_numbers(coded, k) == x).all() and len(coded) <= 10 + k * (3 + max(0, np.log2(most / k))) / 8 + 2
+
+
+def test_a_passage_that_all_share_brings_few_together(spark, monkeypatch):
+    rng, members, seen = random.Random(8), [], ngram_join.joining_links
+    passage = " ".join(f"p{k}" for k in range(60))
+    data = [(i, " ".join(f"w{rng.getrandbits(40)}" for _ in range(200)) + " " + passage) for i in range(80)]
+    data += [(100 + i, f"{t} more") for i, t in data[:10]]
+
+    def spy(rows, *rest):
+        members.append(rows.select("sig").distinct().count())
+        return seen(rows, *rest)
+
+    monkeypatch.setattr(ngram_join, "joining_links", spy)
+    got = ngram_join.linked_groups(spark.createDataFrame(data, "doc_id bigint, text string").repartition(4), 5, 80, 100)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {d: d % 100 for d, _ in data}
+    assert members[0] <= 40
+
+
+def test_nodes_of_one_short_name_meet(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHORT", 3)
+    data = list(enumerate(alike(20)))
+    want = ngram_join.linked_groups(spark.createDataFrame(data, "doc_id bigint, text string"), 3, 80, 100).collect()
+    monkeypatch.undo()
+    assert sorted(want) == sorted(ngram_join.linked_groups(spark.createDataFrame(data, "doc_id bigint, text string"), 3, 80, 100).collect())
+
+
+@pytest.mark.parametrize("most", [8, 1])
+def test_texts_stay_where_they_lie_with_many_ids(docs, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "MOST_BROADCAST", most)
+    kept = ngram_join.one_of_each(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({g for _, _, g in groups_by_force(5, 80, 100)})
+    assert most == 1 or kept._jdf.queryExecution().analyzed().toString().count("strategy=broadcast") >= 3
